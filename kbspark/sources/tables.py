@@ -212,7 +212,7 @@ SESSIONS_SQL = """sessions AS (
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog turns, one per order line; the matched page is the quantity."""
     return load(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("t"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("_id"),
+        F.concat(F.lit("t"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_quantity").cast("bigint").cast("string"))).alias("_id"),
         F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("session_id"),
         F.concat(F.lit("kb"), F.col("l_partkey").cast("string")).alias("kb_id"),
         F.when(F.col("l_linenumber") % 4 == 1, "").otherwise(F.concat(F.lit("q"), F.col("l_partkey").cast("string"))).alias("user_query"),
@@ -224,7 +224,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TURNS_SQL = """turns AS (
-  SELECT 't' || l_orderkey || '-' || l_linenumber AS _id, 's' || l_orderkey AS session_id, 'kb' || l_partkey AS kb_id,
+  SELECT 't' || concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_quantity) AS BIGINT)) AS _id, 's' || l_orderkey AS session_id, 'kb' || l_partkey AS kb_id,
          CASE WHEN l_linenumber % 4 = 1 THEN '' ELSE 'q' || l_partkey END AS user_query, CAST(trunc(l_quantity) AS BIGINT) AS page,
          CAST(l_linenumber AS BIGINT) AS rank, l_orderkey, l_shipdate + to_seconds(l_linenumber) AS created_at
   FROM lineitem)"""

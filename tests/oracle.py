@@ -72,8 +72,9 @@ def compare(spark_df, con, sql: str):
     if bad:
         return False, f"types {bad}"
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        got_set, want_set = set(got), set(want)
+        only_got = [r for r in got if r not in want_set][:3]
+        only_want = [r for r in want if r not in got_set][:3]
         return False, f"rows {len(got)} vs {len(want)}; cols {sorted(cols)}; spark only {only_got}; sql only {only_want}"
     return True, f"{len(got)} rows"
 
