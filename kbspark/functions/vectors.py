@@ -21,8 +21,10 @@ def norm(v) -> Column:
 
 def normalise(v) -> Column:
     """Unit vector; a zero vector stays zero."""
-    length = norm(v)
-    return F.transform(_col(v), lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+    # the length is bound once as the argument of an outer lambda; inlined it would be computed per element
+    return F.transform(
+        F.array(norm(v)), lambda n: F.transform(_col(v), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    )[0]
 
 
 def knn_score(cosine: Column) -> Column:

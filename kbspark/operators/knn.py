@@ -130,23 +130,19 @@ def register_embedder(name: str, embed: Embedder) -> None:
 
 
 def hashed_bag(dims: int = 256) -> Embedder:
-    """Built-in model: signed hashing of the tokens into ``dims`` buckets, as built-in expressions only."""
+    """Built-in model: signed hashing of the tokens into ``dims`` buckets."""
     from ..functions.text import tokens
 
-    def embed(text: Column) -> Column:
-        hashes = F.transform(tokens(text), lambda t: F.xxhash64(t))
-        zero = F.array_repeat(F.lit(0.0), dims)
-        # counts per signed bucket through a histogram of sorted bucket numbers
-        buckets = F.transform(hashes, lambda h: F.pmod(h, F.lit(dims)).cast("int"))
-        signs = F.transform(hashes, lambda h: F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-        pairs = F.arrays_zip(buckets.alias("b"), signs.alias("s"))
-        return F.when(F.size(pairs) <= 0, zero).otherwise(_bucket_sums(buckets, signs))
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _bucket_sums(buckets: pd.Series, signs: pd.Series) -> pd.Series:
-        return pd.Series(
-            [np.bincount(np.asarray(b, dtype=np.int64), weights=np.asarray(s), minlength=dims) for b, s in zip(buckets, signs)]
-        )
+    def bucket_sums(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            h = np.asarray(h if h is not None else [], dtype=np.int64)
+            out.append(np.bincount(h % dims, weights=np.where((h >> 32) & 1, -1.0, 1.0), minlength=dims))
+        return pd.Series(out)
+
+    def embed(text: Column) -> Column:
+        return bucket_sums(F.transform(tokens(text), lambda t: F.xxhash64(t)))
 
     return embed
 
