@@ -46,13 +46,20 @@ def visible_text(html: pd.Series) -> pd.Series:
     return html.map(_text)
 
 
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def unescape(text: Column) -> Column:
+    """Replace the entities that mark-up itself needs."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def _clean(fragment: Column) -> Column:
     from .text import strip
 
-    plain = F.regexp_replace(fragment, r"(?s)<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return strip(plain)
+    return strip(unescape(F.regexp_replace(fragment, r"(?s)<[^>]*>", "")))
 
 
 def page_title(html: Column) -> Column:
@@ -65,4 +72,5 @@ def page_title(html: Column) -> Column:
 
 def hrefs(html: Column) -> Column:
     """Targets of the links in document order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    return F.transform(found, unescape)

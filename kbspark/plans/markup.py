@@ -49,8 +49,8 @@ tot AS (SELECT doc_id, count(*) AS n_lines, sum(len(line) + 1)::BIGINT AS c FROM
 f AS (SELECT *, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
   CASE WHEN s = 0 THEN CAST(regexp_extract(line, '[0-9]+') AS BIGINT) END AS marker, trim(line) = '' AS blank,
   CASE WHEN s = 1 THEN len(regexp_extract(line, '^#+')) END AS level, CASE WHEN s = 1 THEN regexp_replace(line, '^#+ ', '') END AS heading FROM ml),
-ps AS (SELECT doc_id, marker, (SELECT min(n) FROM f b WHERE b.doc_id = a.doc_id AND b.n > a.n AND NOT b.blank) AS at FROM f a WHERE marker IS NOT NULL),
-fp AS (SELECT f.*, coalesce((SELECT max(marker) FROM ps WHERE ps.doc_id = f.doc_id AND at <= f.n), 0) AS page, count(level) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM f),
+ps AS (SELECT doc_id, marker, (SELECT min(n) FROM f b WHERE b.doc_id = a.doc_id AND b.n > a.n AND NOT b.blank) AS st FROM f a WHERE marker IS NOT NULL),
+fp AS (SELECT f.*, coalesce((SELECT max(marker) FROM ps WHERE ps.doc_id = f.doc_id AND st <= f.n), 0) AS page, count(level) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM f),
 hd AS (SELECT * FROM fp WHERE level IS NOT NULL),
 nx AS (SELECT h.*, (SELECT min(b.n) FROM hd b WHERE b.doc_id = h.doc_id AND b.n > h.n AND b.level <= h.level) AS nxt,
   coalesce((SELECT max(b.sec) FROM hd b WHERE b.doc_id = h.doc_id AND b.n < h.n AND b.level < h.level), 0) AS psec FROM hd h),
