@@ -118,12 +118,14 @@ def crawl_plan(
     found = pages.select(F.col("url").alias("final_url"), "html", "content_type")
     moved = redirects.select("url", F.col("final_url").alias("_to"))
     start = F.col("start_url")
+    is_html = F.col("mimetype") == "text/html"
+    # every row carries what its crawl may still visit, so no extra table follows the rounds
     frontier = seeds.select(
-        "crawl_id", F.col("url").alias("start_url"), urls.normalise_url(F.col("url"), F.lit("")).alias("url"), F.lit("").alias("visit_key")
+        "crawl_id", F.col("url").alias("start_url"), urls.normalise_url(F.col("url"), F.lit("")).alias("url"), F.lit("").alias("visit_key"),
+        F.lit(opts.max_pages).cast("long").alias("left"),
     )
     seen: list[DataFrame] = []
     visited: list[DataFrame] = []
-    left = None
     depth = 0
     while opts.max_depth is None or depth <= opts.max_depth:
         first = Window.partitionBy("crawl_id", "url").orderBy("visit_key")
@@ -136,6 +138,8 @@ def crawl_plan(
             checked = robots_allowed(checked, rules, agent).withColumn("ok", F.col("ok") & F.col("allowed")).drop("allowed")
         resolved = checked.join(moved, "url", "left").withColumn("final_url", F.coalesce("_to", "url")).drop("_to")
         level = cut(resolved.withColumn("final_ok", F.col("ok") & admitted(F.col("final_url"), start, opts)))
+        if level.isEmpty():
+            break
         # a URL goes to the first that claims it: as its own address or as the target of an admitted redirect
         claims = level.where((F.col("final_url") == F.col("url")) | F.col("ok"))
         turn = Window.partitionBy("crawl_id", "final_url").orderBy("visit_key")
@@ -146,35 +150,28 @@ def crawl_plan(
             claims = claims.where(F.col("final_url") == F.col("url")).unionByName(redirected.join(old, ["crawl_id", "final_url"], "left_anti"))
         fetched = claims.join(found, "final_url").withColumn("mimetype", urls.mime_type(F.col("final_url"), F.col("url"), F.col("content_type")))
         fetched = cut(fetched.where(F.col("mimetype").isin(*opts.supported_mimetypes())))
-        is_html = F.col("mimetype") == "text/html"
-        # cut the level behind the last HTML page that still counts
+        # cut the level behind the last HTML page that still counts; the rank is bounded by max_pages below the shuffle
         place = Window.partitionBy("crawl_id").orderBy("visit_key")
-        budget = left if left is not None else seeds.select("crawl_id", F.lit(opts.max_pages).cast("long").alias("budget")).distinct()
-        last = (
-            fetched.where(is_html).select("crawl_id", "visit_key").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= opts.max_pages)
-            .join(budget, "crawl_id").where(F.col("_n") == F.col("budget")).select("crawl_id", F.col("visit_key").alias("_last"))
+        counted = fetched.where(is_html).select("crawl_id", "visit_key", "left").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= opts.max_pages)
+        used = counted.where(F.col("_n") <= F.col("left")).groupBy("crawl_id").agg(
+            F.count(F.lit(1)).alias("_used"), F.max(F.when(F.col("_n") == F.col("left"), F.col("visit_key"))).alias("_last")
         )
-        kept = fetched.join(last, "crawl_id", "left").where(F.col("_last").isNull() | (F.col("visit_key") <= F.col("_last"))).drop("_last")
-        kept = kept.withColumn("depth", F.lit(depth).cast("long"))
-        used = kept.where(is_html).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("_used"))
-        left = cut(
-            budget.join(used, "crawl_id", "left").select("crawl_id", (F.col("budget") - F.coalesce("_used", F.lit(0))).alias("budget"))
+        kept = fetched.join(used, "crawl_id", "left").where(F.col("_last").isNull() | (F.col("visit_key") <= F.col("_last")))
+        visited.append(
+            kept.select(
+                "crawl_id", "url", "final_url", F.lit(depth).cast("long").alias("depth"), "visit_key", "mimetype", html.page_title(F.col("html")).alias("title")
+            )
         )
-        visited.append(kept.select("crawl_id", "url", "final_url", "depth", "visit_key", "mimetype", html.page_title(F.col("html")).alias("title")))
         seen.append(level.select("crawl_id", "url"))
         seen.append(level.where(F.col("ok") & (F.col("final_url") != F.col("url"))).select("crawl_id", F.col("final_url").alias("url")))
-        if len(seen) > 40:
+        if len(seen) > 20:
             seen = [cut(reduce(lambda a, b: a.unionByName(b), seen).distinct())]
-        links = page_links(kept.where(is_html).join(left.where(F.col("budget") > 0), "crawl_id", "left_semi"), ["crawl_id", "start_url", "visit_key"])
-        frontier = cut(
-            links.select(
-                "crawl_id", "start_url", F.col("link").alias("url"),
-                F.concat("visit_key", F.format_string("%06d", F.col("pos"))).alias("visit_key"),
-            )
+        parents = kept.where(is_html).withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0))).where(F.col("left") > 0)
+        links = page_links(parents, ["crawl_id", "start_url", "visit_key", "left"])
+        frontier = links.select(
+            "crawl_id", "start_url", F.col("link").alias("url"), F.concat("visit_key", F.format_string("%06d", F.col("pos"))).alias("visit_key"), "left"
         )
         depth += 1
-        if frontier.isEmpty():
-            break
     return reduce(lambda a, b: a.unionByName(b), visited)
 
 
