@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import SOURCE_MIME
-from ..functions.text import lookup
+from ..functions.text import lookup, strip
 
 # --- stored paths --------------------------------------------------------------------------------------------
 
@@ -126,7 +126,7 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = with_source_type(files)
     documents = None
     for source_type, parser in PARSERS.items():
-        part = parser(typed.where(F.col("source_type") == source_type)).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+        part = parser(typed.where(F.col("source_type") == source_type)).where(strip(F.coalesce("text", F.lit(""))) != "")
         documents = part if documents is None else documents.unionByName(part)
     reason = (
         F.when(F.col("source_type").isNull(), "unsupported type")
