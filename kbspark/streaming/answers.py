@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,37 +33,50 @@ def assemble(pieces: DataFrame) -> DataFrame:
 
 
 _OUT = f"response_id string, session_id string, text_full string, matched {MATCHES}"
-_STATE = f"session_id string, parts map<bigint, string>, last bigint, matched {MATCHES}, done boolean"
+_STATE = "held string"  # JSON of the pieces that wait for the rest of their answer
+_EMPTY = {"session": None, "parts": {}, "last": -1, "matched": [], "done": False}
 
 
-def _as_matches(value):
-    return [] if value is None else [(m["kb_id"], m["page"]) if not isinstance(m, tuple) else tuple(m) for m in value]
-
-
-def _collect(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _collect(key, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None = None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:  # abandoned answer
         state.remove()
         return
-    session, parts, last, matched, done = state.get if state.exists else (None, {}, -1, [], False)
-    parts = dict(parts or {})
+    held = json.loads(state.get[0]) if state.exists else dict(_EMPTY, parts={})
+    parts = held["parts"]
     for frame in frames:
-        for row in frame.itertuples(index=False):
-            parts.setdefault(int(row.chunk_index), row.text or "")
-            session = row.session_id if session is None and row.session_id is not None else session
-            if row.is_last_chunk:
-                last, matched = int(row.chunk_index), _as_matches(row.matched)
-    complete = last >= 0 and all(i in parts for i in range(last + 1))
-    if complete and not done:
-        text = "".join(parts[i] for i in range(last + 1))
-        yield pd.DataFrame({"response_id": [key[0]], "session_id": [session], "text_full": [text], "matched": [[{"kb_id": k, "page": p} for k, p in _as_matches(matched)]]})
-    # a finished answer only keeps its mark, so that late copies do not emit it again
-    state.update((session, {}, -1, [], True) if complete or done else (session, parts, last, matched, False))
-    state.setTimeoutDuration(10 * 60 * 1000)
-
-
-def assemble_stream(pieces: DataFrame) -> DataFrame:
-    """Emit an answer once, as soon as its last missing piece is there; unfinished answers time out."""
-    return pieces.groupBy("response_id").applyInPandasWithState(_collect, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        for row in frame.to_dict("records"):
+            parts.setdefault(str(row["chunk_index"]), row["text"] or "")
+            held["session"] = held["session"] or row["session_id"]
+            if row["is_last_chunk"]:
+                found = row["matched"] if row["matched"] is not None else []
+                held["last"] = int(row["chunk_index"])
+                held["matched"] = [{"kb_id": m["kb_id"], "page": int(m["page"])} for m in found]
+    last = held["last"]
+    if not held["done"] and last >= 0 and all(str(i) in parts for i in range(last + 1)):
+        text = "".join(parts[str(i)] for i in range(last + 1))
+        yield pd.DataFrame({"response_id": [key[0]], "session_id": [held["session"]], "text_full": [text], "matched": [held["matched"]]})
+        # a finished answer only keeps its mark, so that late copies do not emit it again
+        held = dict(_EMPTY, parts={}, done=True)
+    elif held["done"]:
+        held = dict(_EMPTY, parts={}, done=True)
+    state.update((json.dumps(held),))
+    if timeout_ms:
+        state.setTimeoutDuration(timeout_ms)
+
+
+def assemble_stream(pieces: DataFrame, timeout_minutes: int | None = None) -> DataFrame:
+    """Emit an answer once, as soon as its last missing piece is there.
+
+    With a timeout, answers that get no piece for so long are dropped; this suits a continuous run, because a drained
+    run with a processing-time timeout never ends.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_minutes else GroupStateTimeout.NoTimeout
+    timeout_ms = timeout_minutes * 60_000 if timeout_minutes else None
+
+    def collect(key, frames, state):
+        return _collect(key, frames, state, timeout_ms)
+
+    return pieces.groupBy("response_id").applyInPandasWithState(collect, _OUT, _STATE, "append", timeout)
 
 
 def turns(answers: DataFrame, questions: DataFrame) -> DataFrame:
