@@ -7,11 +7,13 @@ document and query inside a task and is never joined or shuffled as postings.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..constants import BM25_B, BM25_K1, K_BM25
 from ..functions.text import tokens
@@ -33,8 +35,10 @@ def term_statistics(docs: DataFrame, vocabulary: DataFrame | None = None, text:
 
     One scan. Only the terms of ``vocabulary`` are counted when it is given.
     """
-    toks = docs.select(tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    terms = toks.select(F.size("t").alias("n"), F.explode(F.concat(F.array(F.lit(ALL)), F.array_distinct("t"))).alias("term"))
+    # no filter on the tokens: it would be pushed below the projection and tokenise every text twice
+    toks = docs.select(tokens(F.col(text)).alias("t"))
+    once = F.when(F.size("t") > 0, F.concat(F.array(F.lit(ALL)), F.array_distinct("t")))
+    terms = toks.select(F.size("t").alias("n"), F.explode(once).alias("term"))
     if vocabulary is not None:
         wanted = vocabulary.select("term").distinct()
         terms = terms.join(wanted.unionByName(docs.sparkSession.range(1).select(F.lit(ALL).alias("term"))), "term", "left_semi")
@@ -176,6 +180,18 @@ def _phrase_scores(pack: PhrasePack, docs: Docs) -> np.ndarray:
     return out
 
 
+@F.pandas_udf(T.DoubleType())
+def pair_score(tokens: pd.Series, terms: pd.Series, weights: pd.Series, average: pd.Series) -> pd.Series:
+    """BM25 of a query and one text in the same row, for short lists of candidates."""
+    out = []
+    for toks, ts, ws, avg in zip(tokens, terms, weights, average):
+        counts = Counter(toks)
+        base, slope = BM25_K1 * (1 - BM25_B), BM25_K1 * BM25_B / (avg or 1.0)
+        norm = base + slope * len(toks)
+        out.append(sum((w * counts[t] / (counts[t] + norm) for t, w in zip(ts, ws) if t in counts), 0.0) if ts is not None else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
 def _shape(total_docs: float, total_tokens: float) -> tuple[float, float]:
     average = total_tokens / max(total_docs, 1)
     return BM25_K1 * (1 - BM25_B), BM25_K1 * BM25_B / max(average, 1e-9)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..constants import CRAWL_MAX_PAGES
 from ..functions import html, urls
 from ..functions.text import url_id
-from ..session import cut
+from ..session import scratch_path, stored
 
 
 def clean(values, strip_slash: bool = False) -> list[str]:
@@ -112,8 +112,8 @@ def crawl_plan(
 
     ``seeds``: crawl_id, url. ``pages``: url, html, content_type. ``redirects``: url, final_url (final URLs do not redirect
     again). Returns crawl_id, url, final_url, depth, visit_key, mimetype, title; ordering by depth and visit_key is the
-    order of the visit. A round is a few joins over the whole frontier and ends in a reliable checkpoint; the driver
-    only learns counts per round. Only HTML pages count to ``max_pages``.
+    order of the visit. A round is a few joins over the whole frontier; what it claims and fetches is written to the
+    shared folder, so lineage never grows and a lost executor costs one round. The driver only learns whether a level is empty. Only HTML pages count to ``max_pages``.
     """
     found = pages.select(F.col("url").alias("final_url"), "html", "content_type")
     moved = redirects.select("url", F.col("final_url").alias("_to"))
@@ -124,20 +124,20 @@ def crawl_plan(
         "crawl_id", F.col("url").alias("start_url"), urls.normalise_url(F.col("url"), F.lit("")).alias("url"), F.lit("").alias("visit_key"),
         F.lit(opts.max_pages).cast("long").alias("left"),
     )
-    seen: list[DataFrame] = []
-    visited: list[DataFrame] = []
+    base = scratch_path(spark, "crawl")
+    known = None
+    visits = None
     depth = 0
     while opts.max_depth is None or depth <= opts.max_depth:
         first = Window.partitionBy("crawl_id", "url").orderBy("visit_key")
         fresh = frontier.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
-        known = reduce(lambda a, b: a.unionByName(b), seen) if seen else None
         if known is not None:
             fresh = fresh.join(known, ["crawl_id", "url"], "left_anti")
         checked = fresh.withColumn("ok", admitted(F.col("url"), start, opts))
         if rules is not None:
             checked = robots_allowed(checked, rules, agent).withColumn("ok", F.col("ok") & F.col("allowed")).drop("allowed")
         resolved = checked.join(moved, "url", "left").withColumn("final_url", F.coalesce("_to", "url")).drop("_to")
-        level = cut(resolved.withColumn("final_ok", F.col("ok") & admitted(F.col("final_url"), start, opts)))
+        level = stored(resolved.withColumn("final_ok", F.col("ok") & admitted(F.col("final_url"), start, opts)), f"{base}/level/round={depth}")
         if level.isEmpty():
             break
         # a URL goes to the first that claims it: as its own address or as the target of an admitted redirect
@@ -149,7 +149,8 @@ def crawl_plan(
             old = known.withColumnRenamed("url", "final_url")
             claims = claims.where(F.col("final_url") == F.col("url")).unionByName(redirected.join(old, ["crawl_id", "final_url"], "left_anti"))
         fetched = claims.join(found, "final_url").withColumn("mimetype", urls.mime_type(F.col("final_url"), F.col("url"), F.col("content_type")))
-        fetched = cut(fetched.where(F.col("mimetype").isin(*opts.supported_mimetypes())))
+        fetched = fetched.where(F.col("mimetype").isin(*opts.supported_mimetypes()))
+        fetched = stored(fetched.withColumn("title", html.page_title(F.col("html"))), f"{base}/fetched/round={depth}")
         # cut the level behind the last HTML page that still counts; the rank is bounded by max_pages below the shuffle
         place = Window.partitionBy("crawl_id").orderBy("visit_key")
         counted = fetched.where(is_html).select("crawl_id", "visit_key", "left").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= opts.max_pages)
@@ -157,22 +158,19 @@ def crawl_plan(
             F.count(F.lit(1)).alias("_used"), F.max(F.when(F.col("_n") == F.col("left"), F.col("visit_key"))).alias("_last")
         )
         kept = fetched.join(used, "crawl_id", "left").where(F.col("_last").isNull() | (F.col("visit_key") <= F.col("_last")))
-        visited.append(
-            kept.select(
-                "crawl_id", "url", "final_url", F.lit(depth).cast("long").alias("depth"), "visit_key", "mimetype", html.page_title(F.col("html")).alias("title")
-            )
-        )
-        seen.append(level.select("crawl_id", "url"))
-        seen.append(level.where(F.col("ok") & (F.col("final_url") != F.col("url"))).select("crawl_id", F.col("final_url").alias("url")))
-        if len(seen) > 20:
-            seen = [cut(reduce(lambda a, b: a.unionByName(b), seen).distinct())]
+        kept = stored(kept.withColumn("depth", F.lit(depth).cast("long")), f"{base}/kept/round={depth}")
+        # every address of the level and every target of an admitted redirect is known from now on
+        levels = spark.read.schema(level.schema).parquet(f"{base}/level")
+        addresses = F.array_distinct(F.array("url", F.when(F.col("ok"), F.col("final_url")).otherwise(F.col("url"))))
+        known = levels.select("crawl_id", F.explode(addresses).alias("url"))
+        visits = spark.read.schema(kept.schema).parquet(f"{base}/kept").drop("html", "content_type")
         parents = kept.where(is_html).withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0))).where(F.col("left") > 0)
         links = page_links(parents, ["crawl_id", "start_url", "visit_key", "left"])
         frontier = links.select(
             "crawl_id", "start_url", F.col("link").alias("url"), F.concat("visit_key", F.format_string("%06d", F.col("pos"))).alias("visit_key"), "left"
         )
         depth += 1
-    return reduce(lambda a, b: a.unionByName(b), visited)
+    return visits.select("crawl_id", "url", "final_url", "depth", "visit_key", "mimetype", "title")
 
 
 def crawl_records(visited: DataFrame, project_id: str, language: str) -> DataFrame:

@@ -77,7 +77,7 @@ def line_facts(docs: DataFrame) -> DataFrame:
     """Every line with its offset, page, heading level and the headings that are open at it."""
     base = lines(docs)
     w = _lines_window()
-    blank = strip(F.col("line")) == ""
+    blank = ~F.col("line").rlike(r"(?U)\S")
     base = base.withColumns(
         {
             "blank": blank,

@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# Tables whose rows are expensive to process, with the key they may be spread by.
+HEAVY = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table that arrives in fewer partitions than there are cores.
+
+    A table of many files already has more partitions than that and is left alone, so at scale nothing is shuffled.
+    Hashing by the key is repeatable after a lost task and spares later windows per key their exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, HEAVY[name]) if name in HEAVY else df
 
 
 def event_log(events: DataFrame) -> DataFrame:
