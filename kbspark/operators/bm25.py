@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..constants import BM25_B, BM25_K1, K_BM25
 from ..functions.text import tokens
+from ..session import scratch_path, stored
 from . import topk
 
 MAX_TERMS = 200_000
@@ -250,6 +251,7 @@ def search(
 
 def _search_blocks(q: DataFrame, rows: DataFrame, stats: DataFrame, phrase: bool, id_type: str) -> DataFrame:
     """Many queries: weights are joined by term, then block pairs of queries and documents meet."""
+    stats = stored(stats, scratch_path(rows.sparkSession, "statistics"))
     totals = stats.where(F.col("term") == ALL).select("df", "dl")
     n = totals.select(F.col("df").cast("double")).scalar()
     average = totals.select(F.col("dl") / F.col("df")).scalar()
