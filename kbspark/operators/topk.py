@@ -55,7 +55,7 @@ class LocalTopK:
     def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
         found = [q for q in range(len(self.k)) if self.ids[q] is not None]
         if not found:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "value": [], "k": []})
+            return pd.DataFrame(columns=["query_id", "doc_id", "value", "k"])
         return pd.DataFrame(
             {
                 "query_id": np.repeat(query_ids[found], [len(self.values[q]) for q in found]),
