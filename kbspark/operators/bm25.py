@@ -31,21 +31,26 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def term_statistics(docs: DataFrame, vocabulary: DataFrame | None = None, text: str = "text") -> DataFrame:
+def term_statistics(docs: DataFrame, vocabulary: DataFrame | None = None, text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
     """(term, df, dl): document frequency per term, and in the row with the empty term the number of documents and tokens.
 
-    One scan. Only the terms of ``vocabulary`` are counted when it is given.
+    One scan. Only the terms of ``vocabulary`` are counted when it is given: up to ``max_terms`` are broadcast and filter
+    the tokens before they are counted, more meet the counted terms, so single tokens are never shuffled.
     """
     # no filter on the tokens: it would be pushed below the projection and tokenise every text twice
     toks = docs.select(tokens(F.col(text)).alias("t"))
     once = F.when(F.size("t") > 0, F.concat(F.array(F.lit(ALL)), F.array_distinct("t")))
     terms = toks.select(F.size("t").alias("n"), F.explode(once).alias("term"))
+    wanted = few = None
     if vocabulary is not None:
-        wanted = vocabulary.select("term").distinct()
-        terms = terms.join(wanted.unionByName(docs.sparkSession.range(1).select(F.lit(ALL).alias("term"))), "term", "left_semi")
-    return terms.groupBy("term").agg(
+        wanted = vocabulary.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(ALL).alias("term")))
+        few = topk.bounded_rows(wanted, max_terms + 1, F.length("term"))
+    if few is not None:
+        terms = terms.join(F.broadcast(docs.sparkSession.createDataFrame([(r["term"],) for r in few], "term string")), "term", "left_semi")
+    counts = terms.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == ALL, F.col("n"))).alias("dl")
     )
+    return counts.join(wanted, "term", "left_semi") if wanted is not None and few is None else counts
 
 
 def idf(n, df):
@@ -224,7 +229,7 @@ def search(
     id_type = topk.id_type_of(docs)
     vocabulary = q.select(F.explode("terms").alias("term")).distinct()
     stats = statistics if statistics is not None else term_statistics(docs, vocabulary)
-    small = topk.bounded_rows(q, max_queries)
+    small = topk.bounded_rows(q, max_queries, F.size("terms"))
     if small is not None and len({t for r in small for t in r["terms"]}) <= max_terms:
         if statistics is not None:
             stats = stats.join(vocabulary.unionByName(docs.sparkSession.range(1).select(F.lit(ALL).alias("term"))), "term", "left_semi")
@@ -281,4 +286,4 @@ def _search_blocks(q: DataFrame, rows: DataFrame, stats: DataFrame, phrase: bool
             weight_lists.append(list(sums.values()))
         return Pack(term_lists, weight_lists, k1b)
 
-    return topk.block_topk(rows, ready, pack, _load_pandas, _take, _phrase_scores if phrase else _scores, id_type)
+    return topk.block_topk(rows.withColumn("_size", F.size("tokens")), ready.withColumn("_size", F.size("terms")), pack, _load_pandas, _take, _phrase_scores if phrase else _scores, id_type)

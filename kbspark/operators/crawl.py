@@ -100,8 +100,8 @@ def robots_allowed(rows: DataFrame, rules: DataFrame, agent: str, url: str = "ur
 
 
 def page_links(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Normalised links of HTML pages in document order."""
-    rows = pages.select(*keep, "final_url", F.posexplode(html.hrefs(F.col("html"))).alias("pos", "href"))
+    """Normalised links of pages with their ``hrefs``, in document order."""
+    rows = pages.select(*keep, "final_url", F.posexplode("hrefs").alias("pos", "href"))
     return rows.withColumn("link", urls.normalise_url(F.col("final_url"), F.col("href"))).where(F.col("link").isNotNull())
 
 
@@ -113,9 +113,15 @@ def crawl_plan(
     ``seeds``: crawl_id, url. ``pages``: url, html, content_type. ``redirects``: url, final_url (final URLs do not redirect
     again). Returns crawl_id, url, final_url, depth, visit_key, mimetype, title; ordering by depth and visit_key is the
     order of the visit. A round is a few joins over the whole frontier; what it claims and fetches is written to the
-    shared folder, so lineage never grows and a lost executor costs one round. The driver only learns whether a level is empty. Only HTML pages count to ``max_pages``.
+    shared folder, so lineage never grows and a lost executor costs one round. The HTML is parsed in one pass before the
+    first round; rounds meet only titles and links, and a small frontier is broadcast by its stored size, so the pages are
+    not shuffled for it. The driver only learns whether a level is empty. Only HTML pages count to ``max_pages``.
     """
-    found = pages.select(F.col("url").alias("final_url"), "html", "content_type")
+    base = scratch_path(spark, "crawl")
+    parsed = pages.select(
+        F.col("url").alias("final_url"), "content_type", html.page_title(F.col("html")).alias("title"), html.hrefs(F.col("html")).alias("hrefs")
+    )
+    found = stored(parsed, f"{base}/pages")
     moved = redirects.select("url", F.col("final_url").alias("_to"))
     start = F.col("start_url")
     is_html = F.col("mimetype") == "text/html"
@@ -124,7 +130,6 @@ def crawl_plan(
         "crawl_id", F.col("url").alias("start_url"), urls.normalise_url(F.col("url"), F.lit("")).alias("url"), F.lit("").alias("visit_key"),
         F.lit(opts.max_pages).cast("long").alias("left"),
     )
-    base = scratch_path(spark, "crawl")
     known = None
     visits = None
     depth = 0
@@ -150,7 +155,7 @@ def crawl_plan(
             claims = claims.where(F.col("final_url") == F.col("url")).unionByName(redirected.join(old, ["crawl_id", "final_url"], "left_anti"))
         fetched = claims.join(found, "final_url").withColumn("mimetype", urls.mime_type(F.col("final_url"), F.col("url"), F.col("content_type")))
         fetched = fetched.where(F.col("mimetype").isin(*opts.supported_mimetypes()))
-        fetched = stored(fetched.withColumn("title", html.page_title(F.col("html"))), f"{base}/fetched/round={depth}")
+        fetched = stored(fetched, f"{base}/fetched/round={depth}")
         # cut the level behind the last HTML page that still counts; the rank is bounded by max_pages below the shuffle
         place = Window.partitionBy("crawl_id").orderBy("visit_key")
         counted = fetched.where(is_html).select("crawl_id", "visit_key", "left").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= opts.max_pages)
@@ -163,7 +168,7 @@ def crawl_plan(
         levels = spark.read.schema(level.schema).parquet(f"{base}/level")
         addresses = F.array_distinct(F.array("url", F.when(F.col("ok"), F.col("final_url")).otherwise(F.col("url"))))
         known = levels.select("crawl_id", F.explode(addresses).alias("url"))
-        visits = spark.read.schema(kept.schema).parquet(f"{base}/kept").drop("html", "content_type")
+        visits = spark.read.schema(kept.schema).parquet(f"{base}/kept").drop("hrefs", "content_type")
         parents = kept.where(is_html).withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0))).where(F.col("left") > 0)
         links = page_links(parents, ["crawl_id", "start_url", "visit_key", "left"])
         frontier = links.select(

@@ -38,7 +38,7 @@ def search(queries: DataFrame, chunks: DataFrame, by: tuple[str, ...] = (), k: i
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector", kcol.alias("k"), topk.key_column(by).alias("_key"))
     rows = chunks.where(F.col("vector").isNotNull()).select("doc_id", "vector", topk.key_column(by).alias("_key"))
     id_type = topk.id_type_of(chunks)
-    small = topk.bounded_rows(q, max_queries)
+    small = topk.bounded_rows(q, max_queries, F.size("vector"))
     if small is not None:
         packs = {}
         for key in {r["_key"] for r in small}:
@@ -50,8 +50,9 @@ def search(queries: DataFrame, chunks: DataFrame, by: tuple[str, ...] = (), k: i
             )
         local = topk.scan_topk(topk.only_keys(rows, by, set(packs)), packs, _matrix, lambda m, i: m[i], _cosines, id_type)
     else:
+        sized = F.size("vector").alias("_size")
         local = topk.block_topk(
-            rows, q, lambda f: _stack(f["vector"]), lambda f: _stack(f["vector"]), lambda m, i: m[i], _cosines, id_type
+            rows.select("*", sized), q.select("*", sized), lambda f: _stack(f["vector"]), lambda f: _stack(f["vector"]), lambda m, i: m[i], _cosines, id_type
         )
     return topk.merge_topk(local).select("query_id", "doc_id", F.col("value").alias("cosine"), knn_score(F.col("value")).alias("score"), "rank")
 

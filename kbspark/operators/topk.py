@@ -19,9 +19,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import scratch_path, stored
+
 MAX_QUERIES = 4096
 BLOCK_ROWS = 20_000
 BLOCK_QUERIES = 2_000
+BLOCK_VALUES = 5_000_000  # vector elements or tokens of one block
+MAX_QUERY_VALUES = 8_000_000  # vector elements or tokens of all queries that are shipped to the tasks
 MAX_CELLS = 4_000_000
 
 RESULT = "query_id string, doc_id {id_type}, value double, k int"
@@ -76,9 +80,17 @@ def key_column(by: tuple[str, ...]) -> Column:
     return F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in by]) if by else F.lit("")
 
 
-def bounded_rows(df: DataFrame, limit: int) -> list | None:
-    """All rows when there are at most ``limit``, else ``None``; never fetches more than ``limit + 1``."""
-    rows = df.limit(limit + 1).collect()
+def bounded_rows(df: DataFrame, limit: int, size: Column | None = None, budget: int = MAX_QUERY_VALUES) -> list | None:
+    """All rows when there are at most ``limit`` and their ``size`` sums up to at most ``budget``, else ``None``.
+
+    The sizes are summed by Spark first, so neither many rows nor a few huge ones reach the driver.
+    """
+    head = df.limit(limit + 1)
+    if size is not None:
+        n, total = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        if n > limit or total > budget:
+            return None
+    rows = head.collect()
     return None if len(rows) > limit else rows
 
 
@@ -152,11 +164,17 @@ def _typed(run, id_type: str):
 def with_blocks(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str) -> tuple[DataFrame, DataFrame]:
     """Assign both sides to block pairs (``_key``, ``_rb``, ``_qb``) of bounded size.
 
-    Block numbers come from counts per key, so a hot key is spread over as many tasks as its size asks for.
+    Block numbers come from the rows and values (``_size``) per key, so a hot key is spread over as many tasks as its size
+    asks for. The small table of block numbers is stored: its size is then known, and Spark broadcasts it below its own bound.
     """
-    row_blocks = rows.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_nr"))
-    query_blocks = queries.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("_nq"))
-    blocks = row_blocks.join(query_blocks, "_key")
+
+    def blocks_of(most: int) -> Column:
+        return F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("_size") / BLOCK_VALUES)).cast("int")
+
+    row_blocks = rows.groupBy("_key").agg(blocks_of(BLOCK_ROWS).alias("_nr"))
+    query_blocks = queries.groupBy("_key").agg(blocks_of(BLOCK_QUERIES).alias("_nq"))
+    blocks = stored(row_blocks.join(query_blocks, "_key"), scratch_path(rows.sparkSession, "blocks"))
+    rows, queries = rows.drop("_size"), queries.drop("_size")
     spread_rows = rows.join(blocks, "_key").withColumns(
         {
             "_rb": F.pmod(F.xxhash64(row_id), F.col("_nr")).cast("int"),
@@ -181,7 +199,7 @@ def block_topk(
     kernel: Kernel,
     id_type: str,
 ) -> DataFrame:
-    """Many queries: co-group the block pairs and keep each pair's top k."""
+    """Many queries: co-group the block pairs and keep each pair's top k. Both sides carry ``_size``, their number of values."""
     spread_rows, spread_queries = with_blocks(rows, queries, "doc_id", "query_id")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

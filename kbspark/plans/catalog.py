@@ -231,7 +231,7 @@ def cascade_delete_remaining(spark, sf):
     "update_metadata",
     f"""WITH {KB_SQL}, u AS (
   SELECT 'kb' || l_partkey AS kb_id, CASE l_linenumber % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'custom.brand' ELSE 'custom.added' END AS path,
-         CASE WHEN l_linenumber = 5 THEN NULL ELSE 'v' || l_orderkey END AS value, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS v FROM lineitem WHERE l_orderkey % 3 = 0),
+         CASE WHEN l_linenumber = 5 THEN NULL ELSE 'v' || l_orderkey END AS value, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS v FROM lineitem),
 last AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY kb_id, path ORDER BY v DESC) = 1)
 SELECT kb._id AS kb_id, CASE WHEN t.kb_id IS NULL THEN kb.name ELSE t.value END AS title, kb.description AS subject,
   CASE WHEN b.kb_id IS NULL THEN kb.source_type ELSE b.value END AS brand, a.value AS added
@@ -244,7 +244,7 @@ def update_metadata(spark, sf):
         F.struct(F.col("name").alias("title"), F.col("description").alias("subject"), F.create_map(F.lit("brand"), F.col("source_type")).alias("custom")).alias("metadata"),
     )
     n = F.col("l_linenumber")
-    updates = load(spark, sf, "lineitem").where(F.col("l_orderkey") % 3 == 0).select(
+    updates = load(spark, sf, "lineitem").select(
         F.concat(F.lit("kb"), F.col("l_partkey").cast("string")).alias("kb_id"),
         F.when(n % 3 == 0, "title").when(n % 3 == 1, "custom.brand").otherwise("custom.added").alias("path"),
         F.when(n != 5, F.concat(F.lit("v"), F.col("l_orderkey").cast("string"))).alias("value"),

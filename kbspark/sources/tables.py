@@ -109,7 +109,7 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("created"),
-        F.when(response, "uvicorn.access").when(k % 5 == 1, "urllib3.connectionpool").otherwise("maestro").alias("name"),
+        F.when(response, "uvicorn.access").when(k % 5 == 1, "urllib3.connectionpool").otherwise("app").alias("name"),
         F.col("props").alias("message"),
         F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),
         F.lit("wrapper").alias("func_name"),
@@ -143,7 +143,7 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW_LOGS_SQL = """raw AS (
   SELECT event_id, user_id, ts AS created, event_type, props, event_id % 2 = 0 AS response,
-         CASE WHEN event_id % 2 = 0 THEN 'uvicorn.access' WHEN event_id % 5 = 1 THEN 'urllib3.connectionpool' ELSE 'maestro' END AS name,
+         CASE WHEN event_id % 2 = 0 THEN 'uvicorn.access' WHEN event_id % 5 = 1 THEN 'urllib3.connectionpool' ELSE 'app' END AS name,
          CASE WHEN event_id % 3 = 0 THEN 'handle_' || event_type ELSE 'wrapper' END AS func_name,
          CASE WHEN event_id % 4 = 0 THEN 'api.nlp' ELSE 'decorators' END AS module,
          CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_type = 'error' THEN 500 ELSE 200 END END AS status_code,
