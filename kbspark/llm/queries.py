@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality_classifier, quality_rules, simhash, line_templates
+from . import html_blocks, licenses, line_templates, nearest, packing, pieces, quality_classifier, quality_rules, sharding, simhash
 from .common import hash_sample, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,40 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_templates.dedup_lines(table(spark, sf_dir, "documents"))
     left = F.coalesce(F.col("text"), F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped", F.char_length(left).cast("long").alias("n_chars"), F.crc32(F.encode(left, "UTF-8")).alias("text_crc32"))
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; the shards' bytes are near equal, so nothing is said of one more shard."""
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.with_text(table(spark, sf_dir, "pages"), "html").select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return nearest.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice that a document holds."""
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+ORACLES["op4_license_scan"] = licenses.oracle()
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every document's ids, and whether they decode to its text."""
+    out = pieces.with_pieces(table(spark, sf_dir, "documents"), "text", with_ids=False)
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), pieces.SPACE, " ")
+    return out.select("doc_id", "n_ids", "ids_crc32", (F.col("decoded_crc32") == F.crc32(F.encode(text, "UTF-8"))).alias("round_trip"))
