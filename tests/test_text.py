@@ -10,27 +10,90 @@ SEPARATORS = ["\n\n", "\n", ". ", ", ", " "]
 text = st.text(alphabet="ab é😀.,\n ", max_size=300)
 
 
-@settings(max_examples=200, deadline=None)
+def folded(value, size, overlap, separators):
+    """The separator splitter, part by part."""
+    if len(value) <= size:
+        return [value] if value.strip() else []
+    separator = next((s for s in separators if s in value), None)
+    if separator is None:
+        starts = [0]
+        while starts[-1] + size < len(value):
+            starts.append(starts[-1] + size - overlap)
+        return [value[i:i + size] for i in starts if value[i:i + size].strip()]
+    out, current, rest = [], "", value
+    while rest:
+        cut = rest.find(separator)
+        part, rest = (rest, "") if cut < 0 else (rest[:cut + len(separator)], rest[cut + len(separator):])
+        if len(current + part) > size:
+            out.append(current)
+            current = ""
+            if len(part) > size:
+                out += folded(part, size, overlap, separators[1:])
+                continue
+        current += part
+    return [p for p in [*out, current] if p.strip()]
+
+
+@settings(max_examples=300, deadline=None)
 @given(text, st.integers(5, 40), st.integers(0, 4))
 def test_separator_pieces(value, size, overlap):
-    pieces = sp.by_separator(value, size, overlap, SEPARATORS)
-    assert all(len(p) <= size for p in pieces) and all(p.strip() for p in pieces)
-    if overlap == 0:
-        assert "".join("".join(pieces).split()) == "".join(value.split())
-    for _, piece, start, end in sp.locate(value, pieces, overlap):
-        assert end - start <= len(piece) and 0 <= start <= end <= len(value)
-
-
-@settings(max_examples=200, deadline=None)
+    pieces = sp.span_pieces(value, size, overlap, SEPARATORS)
+    assert [p for _, p, _, _ in pieces] == [p.strip() for p in folded(value, size, overlap, SEPARATORS)]
+    assert [n for n, *_ in pieces] == list(range(len(pieces)))
+    covered = set()
+    for _, piece, start, end in pieces:
+        assert len(piece) <= size and value[start:end] == piece
+        covered |= set(range(start, end))
+    assert all(i in covered for i, c in enumerate(value) if not c.isspace())
+
+
+def merged(value, size, overlap, separators):
+    """The recursive splitter, part by part."""
+    level = next(i for i, s in enumerate(separators) if s in value)
+    separator, parts = separators[level], list(value)
+    if separator:
+        first, *others = value.split(separator)
+        parts = [p for p in [first, *[separator + x for x in others]] if p]
+    out, held = [], []
+    for part in [*parts, None]:
+        if part is not None and len(part) < size:
+            if sum(map(len, held)) + len(part) > size:
+                out.append("".join(held))
+                while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(part) > size):
+                    held.pop(0)
+            held.append(part)
+            continue
+        if held:
+            out.append("".join(held))
+            held = []
+        if part is not None:
+            out += merged(part, size, overlap, separators[level + 1:]) if separators[level + 1:] and separator else [part]
+    return out
+
+
+@settings(max_examples=300, deadline=None)
 @given(text, st.integers(5, 40), st.integers(0, 4))
 def test_recursive_pieces(value, size, overlap):
+    separators = ["\n\n", "\n", " ", ""]
+    pieces = sp.recursive_pieces(value, size, overlap, separators)
+    assert [p for _, p, _, _ in pieces] == [p.strip() for p in merged(value, size, overlap, separators) if p.strip()]
     covered = set()
-    for _, piece, start, end in sp.recursive_pieces(value, size, overlap, ["\n\n", "\n", " ", ""]):
+    for _, piece, start, end in pieces:
         assert len(piece) <= size and value[start:end] == piece
         covered |= set(range(start, end))
-    # with overlap a chunk may be located at an equal text inside the previous chunk, so coverage is exact without
-    if overlap == 0:
-        assert all(i in covered for i, c in enumerate(value) if not c.isspace())
+    assert all(i in covered for i, c in enumerate(value) if not c.isspace())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab. !", max_size=30).map(str.strip).filter(bool), max_size=12), st.integers(4, 40))
+def test_packed_paragraphs(texts, limit):
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    out = sp.pack_paragraphs(rows, limit)
+    assert all(len(t) <= limit for _, _, t in out) and [a for a, _, _ in out] == sorted(a for a, _, _ in out)
+    assert "".join("".join(t for _, _, t in out).split()) == "".join("".join(texts).split())
+    for (_, last, one), (first, _, two) in zip(out, out[1:]):  # neighbours that would have fitted are together
+        if last != first and len(texts[last]) <= limit and texts[first] == two.split("\n\n")[0]:
+            assert len(one) + 2 + len(texts[first]) > limit
 
 
 @settings(max_examples=100, deadline=None)
@@ -44,8 +107,8 @@ def test_greedy_batches(sizes):
 
 
 def test_windows_end():
-    assert sp.by_separator("x" * 25, 10, 3, SEPARATORS) == ["x" * 10, "x" * 10, "x" * 10, "x" * 4]
-    assert sp.by_separator("   ", 10, 0, SEPARATORS) == []
+    assert [p for _, p, _, _ in sp.span_pieces("x" * 25, 10, 3, SEPARATORS)] == ["x" * 10, "x" * 10, "x" * 10, "x" * 4]
+    assert sp.span_pieces("   ", 10, 0, SEPARATORS) == []
 
 
 def test_urls():
