@@ -25,7 +25,6 @@ PHRASE_BOOST = 1.5
 SPAN_L0_WEIGHT, SPAN_AVG_WEIGHT, SPAN_VOTE_WEIGHT = 0.5, 0.3, 0.2
 
 # analytics
-MAX_SESSIONS, MAX_EVENTS, MAX_ERROR_SESSIONS = 1000, 1000, 10_000
 TIMELINE_SHIFT_HOURS = 2
 
 # misc

@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..constants import MAX_ERROR_SESSIONS, MAX_EVENTS, TIMELINE_SHIFT_HOURS
+from ..constants import TIMELINE_SHIFT_HOURS
 
 
 def day_bounds(start_date: str, end_date: str) -> tuple[Column, Column]:
@@ -55,15 +55,6 @@ def feedback_percentage(part: str, positive: str = "positive", negative: str = "
     return F.when(total > 0, F.round(F.col(part) * 100.0 / total, 2)).otherwise(F.lit(0.0))
 
 
-def session_starts(logs: DataFrame) -> DataFrame:
-    """First start of every session."""
-    return logs.where(is_start()).groupBy("project_id", "session_id").agg(F.min("ts").alias("started_at"))
-
-
-def session_metrics(logs: DataFrame) -> DataFrame:
-    return logs.groupBy("project_id", "session_id").agg(*metric_columns())
-
-
 def session_report(logs: DataFrame, start=None, end=None) -> DataFrame:
     """Started sessions with their query and feedback counts, in one pass over the log.
 
@@ -153,12 +144,13 @@ def latest_logs(logs: DataFrame, n: int) -> DataFrame:
     return logs.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n).withColumn("total", total.scalar())
 
 
-def error_counts(logs: DataFrame, limit: int | None = MAX_ERROR_SESSIONS) -> DataFrame:
-    """Error events per session, most first."""
+def error_counts(logs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Error events per session; with a limit, the sessions of each project that have most."""
     counted = logs.where(F.col("logs").isNotNull()).groupBy("project_id", "session_id").agg(F.count(F.lit(1)).alias("errors"))
     if limit is None:
         return counted
-    return counted.orderBy(F.col("errors").desc(), "session_id", "project_id").limit(limit)
+    most = Window.partitionBy("project_id").orderBy(F.col("errors").desc(), "session_id")
+    return counted.withColumn("_n", F.row_number().over(most)).where(F.col("_n") <= limit).drop("_n")
 
 
 TIMELINE_MESSAGES = ("start_session", "query", "answer", "user_feedback")
@@ -182,16 +174,30 @@ def event_payload(message: Column) -> Column:
     )
 
 
-def session_timeline(logs: DataFrame, cap: int | None = MAX_EVENTS, strict: bool = False) -> DataFrame:
-    """Events of every session in time order with their payload.
+def in_time_order(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """Rows numbered from 1 in each session by time, in column ``seq``; with a cap, only the first ones.
 
-    The per-session cap is pushed below the shuffle as a window group limit.
+    A cap is pushed below the shuffle as a window group limit. Without one, a session may hold any number of events, so the hours of a session
+    are numbered apart and each starts where those before it end; the counts are one row per session and hour.
     """
-    rows = logs.withColumn("kind", timeline_message(strict)).where(F.col("kind").isin(*TIMELINE_MESSAGES))
-    order = Window.partitionBy("project_id", "session_id").orderBy("ts", "event_id")
-    rows = rows.withColumn("seq", F.row_number().over(order))
+    keys = ["project_id", "session_id"]
     if cap is not None:
-        rows = rows.where(F.col("seq") <= cap)
+        seq = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
+        return rows.withColumn("seq", seq).where(F.col("seq") <= cap)
+    rows = rows.withColumn("_hour", F.date_trunc("hour", "ts"))
+    counts = rows.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_hour").orderBy("ts", "event_id")))
+    same = [own[c].eqNullSafe(starts[c]) for c in (*keys, "_hour")]
+    joined = own.join(starts, same[0] & same[1] & same[2])
+    return joined.select(*[own[c] for c in rows.columns if c != "_hour"], (own["_own"] + starts["_before"]).alias("seq"))
+
+
+def session_timeline(logs: DataFrame, cap: int | None = None, strict: bool = False) -> DataFrame:
+    """Events of every session in time order with their payload."""
+    rows = logs.withColumn("kind", timeline_message(strict)).where(F.col("kind").isin(*TIMELINE_MESSAGES))
+    rows = in_time_order(rows, cap)
     shifted = F.col("ts") + F.make_dt_interval(hours=F.lit(TIMELINE_SHIFT_HOURS))
     return rows.select(
         "project_id",
@@ -207,13 +213,10 @@ def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def error_timeline(logs: DataFrame, cap: int | None = MAX_EVENTS) -> DataFrame:
+def error_timeline(logs: DataFrame, cap: int | None = None) -> DataFrame:
     """Client errors of every session; the time is the client's own and missing fields are empty strings."""
     rows = logs.where(F.col("logs").isNotNull())
-    order = Window.partitionBy("project_id", "session_id").orderBy("ts", "event_id")
-    rows = rows.withColumn("seq", F.row_number().over(order))
-    if cap is not None:
-        rows = rows.where(F.col("seq") <= cap)
+    rows = in_time_order(rows, cap)
     text = [F.coalesce(F.col(f"logs.{c}"), F.lit("")).alias(c) for c in ("type", "level", "stack", "message")]
     return rows.select(
         "project_id", "session_id", F.col("seq").cast("long").alias("seq"), iso_utc(F.col("logs.timestamp")).alias("timestamp"), *text

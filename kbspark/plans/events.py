@@ -92,41 +92,68 @@ def latest_logs(spark, sf):
 @query(
     "error_counts",
     f"""WITH {LOGS_SQL} SELECT project_id, session_id, count(*) AS errors FROM logs WHERE func_name = 'log_client_event'
-GROUP BY project_id, session_id ORDER BY errors DESC, session_id, project_id LIMIT 10000""",
+GROUP BY project_id, session_id""",
 )
 def error_counts(spark, sf):
     return ev.error_counts(logs(spark, sf))
 
 
 @query(
-    "session_timeline",
-    f"""WITH {LOGS_SQL}, r AS (
-  SELECT *, CASE WHEN func_name = 'start_session' THEN 'start_session' ELSE message END AS kind FROM logs), n AS (
+    "error_counts_top",
+    f"""WITH {LOGS_SQL}, c AS (SELECT project_id, session_id, count(*) AS errors FROM logs WHERE func_name = 'log_client_event' GROUP BY project_id, session_id)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY errors DESC, session_id) <= 10""",
+)
+def error_counts_top(spark, sf):
+    """The sessions of each project that have most errors."""
+    return ev.error_counts(logs(spark, sf), 10)
+
+
+def _session_timeline_sql(session="session_id"):
+    return f"""WITH {LOGS_SQL}, r AS (
+  SELECT * REPLACE ({session} AS session_id), CASE WHEN func_name = 'start_session' THEN 'start_session' ELSE message END AS kind FROM logs), n AS (
   SELECT *, row_number() OVER (PARTITION BY project_id, session_id ORDER BY ts, event_id) AS seq FROM r
   WHERE kind IN ('start_session', 'query', 'answer', 'user_feedback'))
 SELECT project_id, session_id, seq, kind AS message, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp,
   CASE WHEN kind = 'start_session' THEN component_id END AS component_id, CASE WHEN kind = 'start_session' THEN user_id END AS user_id,
   CASE WHEN kind = 'query' THEN query END AS query, CASE WHEN kind = 'answer' THEN answer END AS answer,
   CAST(CASE WHEN kind = 'user_feedback' THEN feedback END AS BIGINT) AS feedback
-FROM n WHERE seq <= 1000""",
-)
+FROM n"""
+
+
+@query("session_timeline", _session_timeline_sql())
 def session_timeline(spark, sf):
     out = ev.session_timeline(logs(spark, sf)).select("*", "data.*").drop("data")
     return out.withColumn("feedback", F.col("feedback").cast("long"))
 
 
-@query(
-    "error_timeline",
-    f"""WITH {LOGS_SQL}, n AS (
-  SELECT *, row_number() OVER (PARTITION BY project_id, session_id ORDER BY ts, event_id) AS seq FROM logs WHERE func_name = 'log_client_event')
+# All events of a project as one session of thousands of events.
+ONE_SESSION = "'all'"
+
+
+@query("session_timeline_long", _session_timeline_sql(ONE_SESSION))
+def session_timeline_long(spark, sf):
+    out = ev.session_timeline(logs(spark, sf).withColumn("session_id", F.expr(ONE_SESSION))).select("*", "data.*").drop("data")
+    return out.withColumn("feedback", F.col("feedback").cast("long"))
+
+
+def _error_timeline_sql(session="session_id"):
+    return f"""WITH {LOGS_SQL}, n AS (
+  SELECT * REPLACE ({session} AS session_id), row_number() OVER (PARTITION BY project_id, {session} ORDER BY ts, event_id) AS seq FROM logs WHERE func_name = 'log_client_event')
 SELECT project_id, session_id, seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, 'client' AS type,
   coalesce(log_level, '') AS level, coalesce(log_stack, '') AS stack, coalesce(log_message, '') AS message
-FROM n WHERE seq <= 1000""",
-)
+FROM n"""
+
+
+@query("error_timeline", _error_timeline_sql())
 def error_timeline(spark, sf):
     return ev.error_timeline(logs(spark, sf))
 
 
+@query("error_timeline_long", _error_timeline_sql(ONE_SESSION))
+def error_timeline_long(spark, sf):
+    return ev.error_timeline(logs(spark, sf).withColumn("session_id", F.expr(ONE_SESSION)))
+
+
 @query(
     "log_normalise",
     f"""WITH {RAW_LOGS_SQL}
