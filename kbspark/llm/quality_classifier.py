@@ -1,7 +1,7 @@
 """Hierarchical empirical Bayes quality classifier.
 
-A document's own evidence is the log-odds of a logistic regression over the features (hashed words and thresholds of statistics) that grouped
-counts of the labelled sample find significant. The share of good documents of its host, and of its path below the host, is
+A document's own evidence comes from logistic regressions, one for each thing that a good document must pass, over the features (hashed words and
+thresholds of statistics) that grouped counts of the labelled sample find significant; a document is good if it passes all. The share of good documents of its host, and of its path below the host, is
 estimated from all documents by grouped sums of their probabilities; the share of a sparse path is shrunk toward its host, that of a sparse
 host toward the whole table. How strongly is itself estimated, by moments, from the spread between hosts and between paths. A document's own
 probability is taken out of its groups before they are used as its prior, so nothing is counted twice.
@@ -26,9 +26,9 @@ STATS = ("letters", "upper", "digits", "symbols", "bars", "exclaims", "line_repe
 FEATURES = WORD_BUCKETS + STAT_BINS * len(STATS)
 # Labelled documents used for fitting, about, however many there are; they are those with the smallest hash of their id.
 FIT_ROWS = 20_000
-# The regression is given at most this many features: those whose log ratio is most standard errors from zero, and at least so many.
+# A regression is given at most this many features: the most significant ones by the root of their likelihood ratio statistic.
 SELECTED, SIGNIFICANT = 2_000, 3.0
-PENALTY = 1.0
+PENALTY = 0.3
 _SYMBOLS = bytes(set(range(33, 127)) - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 
 
@@ -78,10 +78,10 @@ def features(text: bytes) -> np.ndarray:
 
 @dataclass
 class Evidence:
-    """Weight of each feature and the intercept, in log-odds. Its size does not depend on the data."""
+    """Of each regression, the weight of each feature and the intercept, in log-odds. The size does not depend on the data."""
 
     weights: np.ndarray
-    intercept: float
+    intercepts: np.ndarray
     prior: float
 
 
@@ -99,16 +99,32 @@ def _counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def fit(labelled: DataFrame, text: str, good: Column, key: Column) -> Evidence:
-    """Fit the evidence on labelled documents, of which the caller gives a bounded sample; rows with a null label are left out.
+def _significance(n: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Root of the likelihood ratio statistic of having a feature against the class."""
+    held, share = n.sum(axis=0), totals / totals.sum()
+    part = lambda x, expected: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    terms = [part(n[c], held * share[c]) + part(totals[c] - n[c], (totals.sum() - held) * share[c]) for c in (0, 1)]
+    return np.sqrt(np.maximum(0.0, 2 * (terms[0] + terms[1])))
+
+
+def fit(labelled: DataFrame, text: str, passes: list[Column], key: Column) -> Evidence:
+    """Fit the evidence on labelled documents, of which the caller gives a bounded sample; rows with a null in ``passes`` are left out.
 
     The features are counted by class in a grouping; only the numbers of the selected ones of each sampled document come to the driver.
-    Without both classes the evidence is constant: the share of good rows (a half if there are none).
+    Where one class is missing, the evidence is constant: the share of rows that pass (a half if there are none).
     """
-    chosen = labelled.select(F.col(text).alias("text"), good.cast("int").alias("good"), F.xxhash64(key).alias("at")).where("good IS NOT NULL")
+    names = [f"pass_{i}" for i in range(len(passes))]
+    columns = [c.cast("int").alias(n) for c, n in zip(passes, names, strict=True)]
+    chosen = labelled.select(F.col(text).alias("text"), F.xxhash64(key).alias("at"), *columns).dropna(subset=names)
     chosen = materialise(chosen, "classifier-fit").repartition(24, "at")
+    heads = [_head(chosen.select("text", F.col(n).alias("good"))) for n in names]
+    prior = chosen.agg(F.avg(F.least(*names, F.lit(1)).cast("double"))).first()[0]
+    return Evidence(np.stack([w for w, _ in heads]), np.array([b for _, b in heads]), min(0.99, max(0.01, 0.5 if prior is None else prior)))
+
+
+def _head(chosen: DataFrame) -> tuple[np.ndarray, float]:
     counted = (
-        chosen.select("text", "good").mapInArrow(_counted, "feature long, bad long, good long")
+        chosen.mapInArrow(_counted, "feature long, bad long, good long")
         .groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
     )
     n, totals = np.zeros((2, FEATURES)), np.zeros(2)
@@ -119,22 +135,21 @@ def fit(labelled: DataFrame, text: str, good: Column, key: Column) -> Evidence:
             n[:, int(feature)] = bad, ok
     if not totals.all():
         share = min(0.99, max(0.01, float(totals[1] / totals.sum()))) if totals.any() else 0.5
-        return Evidence(np.zeros(FEATURES), float(np.log(share / (1 - share))), share)
-    rate = (n + 0.5) / (totals[:, None] + 1.0)
-    errors = np.abs(np.log(rate[1] / rate[0])) / np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
-    selected = np.sort(np.argsort(-errors, kind="stable")[:SELECTED])
-    selected = selected[errors[selected] >= SIGNIFICANT]
+        return np.zeros(FEATURES), float(np.log(share / (1 - share)))
+    found = _significance(n, totals)
+    selected = np.sort(np.argsort(-found, kind="stable")[:SELECTED])
+    selected = selected[found[selected] >= SIGNIFICANT]
 
     def listed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            found = [np.flatnonzero(np.isin(selected, features(x))).astype(np.int32) for x in utf8(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["features", "good"])
+            own = [np.flatnonzero(np.isin(selected, features(x))).astype(np.int32) for x in utf8(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], names=["features", "good"])
 
-    rows = chosen.select("text", "good").mapInArrow(listed, "features array<int>, good int").toPandas()
+    rows = chosen.mapInArrow(listed, "features array<int>, good int").toPandas()
     own, intercept = _regression([np.asarray(x, dtype=np.int64) for x in rows["features"]], rows["good"].to_numpy(float), len(selected))
     weights = np.zeros(FEATURES)
     weights[selected] = own
-    return Evidence(weights, intercept, float(totals[1] / totals.sum()))
+    return weights, intercept
 
 
 def _regression(rows: list[np.ndarray], y: np.ndarray, width: int, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -159,13 +174,16 @@ def _regression(rows: list[np.ndarray], y: np.ndarray, width: int, steps: int =
 def score(df: DataFrame, text: str, model: Evidence, name: str) -> DataFrame:
     """``df`` with the log-odds that a document's own features give it, in column ``name``. A null text counts as empty."""
     schema = extended(df, **{name: "double"})
-    weights = df.sparkSession.sparkContext.broadcast(model.weights)
-    intercept, at = model.intercept, df.columns.index(text)
+    weights = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.weights.T))
+    intercepts, at = model.intercepts, df.columns.index(text)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = weights.value
         for batch in batches(source):
-            out = pa.array([float(own[features(x)].sum()) + intercept for x in utf8(batch.column(at))], pa.float64())
+            heads = np.array([own[features(x)].sum(axis=0) + intercepts for x in utf8(batch.column(at))]).reshape(-1, len(intercepts))
+            passing = -np.logaddexp(0, -heads).sum(axis=1)  # log of the chance to pass all
+            failing = np.log(np.maximum(-np.expm1(passing), 1e-12))
+            out = pa.array(np.clip(passing - failing, -27, 27), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)

@@ -29,14 +29,15 @@ def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, rows: int, good:
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
-# A document is wanted if its label says good quality and nothing toxic.
-WANTED = "quality = 1 AND coalesce(toxic, 0) = 0"
+# A document is wanted if its label says good quality and nothing toxic; the bits of ``good`` say which of the two holds.
+WANTED = "CASE WHEN quality IS NOT NULL THEN int(quality = 1) + 2 * int(coalesce(toxic, 0) = 0) END"
+WANTED_BITS = (1, 2)
 
 
 def wanted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with the verdict of the classifier. The host is the source; below it, the language is the path."""
     sample = labelled(spark, docs, sf_dir, quality_classifier.FIT_ROWS, WANTED)
-    model = quality_classifier.fit(sample, "text", F.col("good"), F.col("doc_id"))
+    model = quality_classifier.fit(sample, "text", [F.col("good").bitwiseAND(b) != 0 for b in WANTED_BITS], F.col("doc_id"))
     return quality_classifier.classify(docs, "text", F.col("source"), F.col("lang"), model)
 
 

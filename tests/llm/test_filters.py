@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm import quality_classifier as qc
 from kbspark.llm import quality_rules as qr
-from kbspark.llm.queries import QUERIES, WANTED, labelled, table
+from kbspark.llm.queries import QUERIES, WANTED, WANTED_BITS, labelled, table
 
 SF = "/root/testdata/sf0.1"
 TEXTS = [
@@ -71,8 +71,9 @@ def held_out(spark):
 
 
 def test_classifier_on_held_out_labels(spark, held_out):
-    model = qc.fit(held_out[0], "text", F.col("good"), F.col("doc_id"))
-    got = qc.classify(held_out[1], "text", F.col("source"), F.col("lang"), model).select("good", "kept").toPandas()
+    passes = [F.col("good").bitwiseAND(b) != 0 for b in WANTED_BITS]
+    model = qc.fit(held_out[0], "text", passes, F.col("doc_id"))
+    got = qc.classify(held_out[1], "text", F.col("source"), F.col("lang"), model).select((F.col("good") == sum(WANTED_BITS)).alias("good"), "kept").toPandas()
     assert (got.good == got.kept).mean() > 0.97
     assert got[got.good].kept.mean() > 0.97
 
@@ -93,22 +94,22 @@ def test_classifier_shrinks_sparse_sites(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
     weights = np.zeros(qc.FEATURES)
     weights[qc._bucket(b"bad")] = -4.0
-    got = qc.classify(docs, "text", F.col("host"), F.col("path"), qc.Evidence(weights, 2.0, 0.5)).toPandas().set_index("doc_id")
+    got = qc.classify(docs, "text", F.col("host"), F.col("path"), qc.Evidence(weights[None], np.array([2.0]), 0.5)).toPandas().set_index("doc_id")
     assert len(got) == len(rows)
     assert got.site_prior[1] < 0.35 < got.site_prior[1000] < got.site_prior[2000]
     assert got.quality[1] < got.quality[1000] < 0.5 < got.quality[2000]
-    assert qc.classify(docs.limit(0), "text", F.col("host"), F.col("path"), qc.Evidence(weights, 2.0, 0.5)).count() == 0
+    assert qc.classify(docs.limit(0), "text", F.col("host"), F.col("path"), qc.Evidence(weights[None], np.array([2.0]), 0.5)).count() == 0
 
 
 def test_classifier_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a", True), (2, "b", True), (3, None, None)], "doc_id long, text string, good boolean")
-    assert qc.fit(docs, "text", F.col("good"), F.col("doc_id")).intercept > 2
-    assert qc.fit(docs.limit(0), "text", F.col("good"), F.col("doc_id")).intercept == 0
+    assert qc.fit(docs, "text", [F.col("good")], F.col("doc_id")).intercepts[0] > 2
+    assert qc.fit(docs.limit(0), "text", [F.col("good")], F.col("doc_id")).intercepts[0] == 0
 
 
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", "h", "p", 7, "x")], "doc_id long, text string, _host string, quality string, kept int, evidence string")
-    got = qc.classify(docs, "text", F.col("_host"), F.col("quality"), qc.Evidence(np.zeros(qc.FEATURES), 1.0, 0.5))
+    got = qc.classify(docs, "text", F.col("_host"), F.col("quality"), qc.Evidence(np.zeros((1, qc.FEATURES)), np.array([1.0]), 0.5))
     row = got.first()
     assert row["kept"] == 7 and row["quality"] == "p" and row["_kept"] is True
 
