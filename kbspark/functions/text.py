@@ -78,7 +78,8 @@ def partition_name(model: Column, keep_old: bool = True) -> Column:
 
 
 def header_base64(text: Column) -> Column:
-    return F.base64(F.encode(text, "UTF-8"))
+    """Base64 in one line, as a header needs it."""
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")
 
 
 def language_name(code: Column) -> Column:

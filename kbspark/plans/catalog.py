@@ -523,9 +523,9 @@ def dotted_keys(spark, sf):
     return flt.dotted_rows(nested, "_id", "m")
 
 
-@query("header_b64", """SELECT doc_id, to_base64(encode(substr(text, 1, 40))) AS header FROM documents""")
+@query("header_b64", """SELECT doc_id, to_base64(encode(text)) AS header FROM documents""")
 def header_b64(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", tx.header_base64(F.substring("text", 1, 40)).alias("header"))
+    return load(spark, sf, "documents").select("doc_id", tx.header_base64(F.col("text")).alias("header"))
 
 
 @query(

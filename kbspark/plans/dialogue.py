@@ -18,7 +18,7 @@ def _json(spark, sf):
         .when(F.col("role") == "user", "get_text").otherwise("get_projects")
     )
     button = F.array(
-        F.struct(F.lit("primary").alias("class"), F.substring("text", 1, 12).alias("text"), follow.alias("next_state")),
+        F.struct(F.lit("primary").alias("class"), F.col("text").alias("text"), follow.alias("next_state")),
         F.struct(F.lit("plain").alias("class"), F.lit("again").alias("text"), F.lit(0).alias("next_state")),
     )
     command = F.struct(
@@ -52,7 +52,7 @@ def fsm_states(spark, sf):
 
 @query(
     "fsm_buttons",
-    f"""WITH {ST_SQL} SELECT conv_id AS dialogue_id, turn AS state_id, unnest([0, 1])::BIGINT AS pos, unnest(['primary', 'plain']) AS class, unnest([substr(text, 1, 12), 'again']) AS text, unnest([nxt, 0])::BIGINT AS next_state FROM st WHERE kind = 'buttons'""",
+    f"""WITH {ST_SQL} SELECT conv_id AS dialogue_id, turn AS state_id, unnest([0, 1])::BIGINT AS pos, unnest(['primary', 'plain']) AS class, unnest([text, 'again']) AS text, unnest([nxt, 0])::BIGINT AS next_state FROM st WHERE kind = 'buttons'""",
 )
 def fsm_buttons(spark, sf):
     good, _ = dl.states(dl.parse_dialogues(_json(spark, sf)))

@@ -69,19 +69,27 @@ def turns_from_answers(spark, sf):
     )
 
 
+def _in_files(df, spark, name, key, files=6):
+    """``df`` written to files dealt by a hash of ``key``, so that a stream of two files a batch gets rows of all times in every batch."""
+    path = scratch_path(spark, name)
+    df.repartition(files, F.xxhash64(key)).write.parquet(path)
+    return path
+
+
 def _event_stream(spark, sf):
-    return event_log(jobs.read_stream(spark, sf, load(spark, sf, "events").schema, name_filter="events.parquet"))
+    events = load(spark, sf, "events")
+    return event_log(jobs.read_stream(spark, _in_files(events, spark, "events", "event_id"), events.schema, files_per_trigger=2))
 
 
 @query(
     "stream_session_metrics",
-    f"""WITH {LOGS_SQL} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, project_id, session_id, {COUNTS_SQL} FROM logs GROUP BY ALL""",
+    f"""WITH {LOGS_SQL} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, project_id, session_id, {COUNTS_SQL}, count(DISTINCT user_id) AS users FROM logs GROUP BY ALL""",
 )
 def stream_session_metrics(spark, sf):
-    out = scratch_path(spark, "metrics")
-    jobs.drain_updates(jobs.live_metrics(_event_stream(spark, sf), "1 day", ("project_id", "session_id")), out)
-    rows = jobs.latest_rows(spark, out, ["window_start", "project_id", "session_id"])
-    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "project_id", "session_id", "queries", "feedbacks", "positive", "negative")
+    """A session has one user, so the sketch of its users is exact."""
+    out, keys = scratch_path(spark, "metrics"), ("project_id", "session_id")
+    jobs.drain_batches(_event_stream(spark, sf), out, lambda batch: jobs.partial_metrics(batch, "1 day", keys))
+    return jobs.merged_metrics(spark, out, keys).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), *keys, *jobs.COUNTS, "users")
 
 
 @query(
@@ -91,10 +99,9 @@ SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_ho
 )
 def stream_segments(spark, sf):
     """Sliding windows of 12 hours every 6 hours."""
-    out = scratch_path(spark, "segments")
-    jobs.drain_updates(jobs.live_segments(_event_stream(spark, sf), "12 hours", "6 hours", ("project_id",)), out)
-    rows = jobs.latest_rows(spark, out, ["window_start", "project_id"])
-    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))
+    out, keys = scratch_path(spark, "segments"), ("project_id",)
+    jobs.drain_batches(_event_stream(spark, sf), out, lambda batch: jobs.partial_metrics(batch, "12 hours", keys, "6 hours"))
+    return jobs.merged_metrics(spark, out, keys).drop("users").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))
 
 
 @query(
@@ -103,13 +110,12 @@ def stream_segments(spark, sf):
   count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS checksum FROM raw WHERE coalesce(path, '') != '/health' GROUP BY ALL""",
 )
 def log_ingest(spark, sf):
-    """JSON records with repeats through the normaliser into a table partitioned by date."""
+    """JSON records with repeats, out of order over five micro-batches, through the normaliser into a table partitioned by date."""
     source, out = scratch_path(spark, "raw"), scratch_path(spark, "log")
     raw = raw_logs(spark, sf)
-    raw.unionByName(raw.where(F.col("event_id") % 10 == 0)).write.json(source)
-    jobs.drain(jobs.ingest_records(jobs.read_stream(spark, source, raw.schema, "json")), out, ["event_date"])
-    rows = spark.read.parquet(f"{out}/data")
-    grouped = rows.groupBy(F.col("event_date").cast("string").alias("event_date"), "log_type")
+    raw.unionByName(raw.where(F.col("event_id") % 10 == 0)).repartition(10, F.xxhash64("event_id", F.rand(3))).write.json(source)
+    jobs.drain(jobs.ingest_records(jobs.read_stream(spark, source, raw.schema, "json", files_per_trigger=2)), out, ["event_date"])
+    grouped = jobs.stored_records(spark, out).groupBy(F.col("event_date").cast("string").alias("event_date"), "log_type")
     return grouped.agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("checksum"))
 
 
@@ -118,11 +124,10 @@ def log_ingest(spark, sf):
     f"""WITH {CONV_TURNS_SQL} SELECT session_id, md5(arg_min(user_query, created_at)) AS digest FROM ct WHERE user_query != '' GROUP BY session_id""",
 )
 def keep_first_query(spark, sf):
-    source, out = scratch_path(spark, "turns"), scratch_path(spark, "first")
-    table = conversation_turns(spark, sf)
-    table.repartition(3, F.xxhash64("_id")).write.parquet(source)
-    jobs.drain_updates(jobs.first_queries(jobs.read_stream(spark, source, table.schema, files_per_trigger=1)), out)
-    return jobs.latest_rows(spark, out, ["session_id"]).select("session_id", F.md5("first_user_query").alias("digest"))
+    out, table = scratch_path(spark, "first"), conversation_turns(spark, sf)
+    stream = jobs.read_stream(spark, _in_files(table, spark, "turns", "_id", 3), table.schema, files_per_trigger=1)
+    jobs.drain_batches(stream, out, jobs.first_queries)
+    return jobs.first_queries(spark.read.parquet(f"{out}/data")).select("session_id", F.md5("user_query").alias("digest"))
 
 
 @query(
@@ -130,10 +135,10 @@ def keep_first_query(spark, sf):
     """SELECT 'p' || (user_id % 5) AS _id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS modified_at FROM events GROUP BY 1""",
 )
 def stream_touch(spark, sf):
-    """Latest change per project as a running aggregate, merged into the projects that changed."""
+    """Latest change per project, merged into the projects that changed."""
     out = scratch_path(spark, "touch")
-    changes = _event_stream(spark, sf).select("project_id", F.col("ts").alias("changed_at"))
-    jobs.drain_updates(changes.groupBy("project_id").agg(F.max("changed_at").alias("changed_at")), out)
-    latest = jobs.latest_rows(spark, out, ["project_id"])
-    projects = latest.select(F.col("project_id").alias("_id"), F.lit(None).cast("timestamp").alias("modified_at"))
-    return cat.touch(projects, latest).select("_id", F.date_format("modified_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("modified_at"))
+    latest = lambda rows: rows.groupBy("project_id").agg(F.max("changed_at").alias("changed_at"))
+    jobs.drain_batches(_event_stream(spark, sf).select("project_id", F.col("ts").alias("changed_at")), out, latest)
+    changed = latest(spark.read.parquet(f"{out}/data"))
+    projects = changed.select(F.col("project_id").alias("_id"), F.lit(None).cast("timestamp").alias("modified_at"))
+    return cat.touch(projects, changed).select("_id", F.date_format("modified_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("modified_at"))

@@ -173,12 +173,12 @@ def mean_pool(spark, sf):
     return pooled.select("label", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
-@query("embed_text", "SELECT doc_id, CAST(256 AS BIGINT) AS dims, 1.0::DOUBLE AS length FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
+@query("embed_text", "SELECT doc_id, CAST(256 AS BIGINT) AS dims, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM documents")
 def embed_text(spark, sf):
-    """Every text gets a unit vector of the model's size."""
+    """Every text gets a vector of the model's size: of length one, or zero where the text has no tokens."""
     from ..functions.vectors import norm
 
-    out = knn.embed(load(spark, sf, "documents").where(F.col("text").rlike(r"[\p{L}\p{N}_]")), "hashed_bag")
+    out = knn.embed(load(spark, sf, "documents"), "hashed_bag")
     return out.select("doc_id", F.size("vector").cast("long").alias("dims"), F.round(norm("vector"), 6).alias("length"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.events import metric_columns
 from ..sources.logs import drop_health_checks, normalise_records
@@ -25,46 +27,50 @@ def drain(stream: DataFrame, path: str, partition_by: list[str] | None = None) -
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def drain_updates(stream: DataFrame, path: str) -> None:
-    """Write the changed rows of every micro-batch into a folder of its own; a repeated batch overwrites its folder."""
+def drain_batches(stream: DataFrame, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Write ``change`` of every micro-batch into a folder of its own; a repeated batch overwrites its folder.
+
+    With partial aggregates as the change, a reader that merges the folders needs no state in the stream and no watermark: a row counts
+    however late it comes. Old folders can be merged into one at any time.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+        change(batch).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(save)
+    query = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(save)
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of every updated row."""
-    rows = spark.read.parquet(f"{path}/data")
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+# --- event log -----------------------------------------------------------------------------------------------
+
 
+def ingest_records(raw: DataFrame) -> DataFrame:
+    """Normalised records without health checks, with the partition date; late and repeated records too."""
+    return drop_health_checks(normalise_records(raw)).withColumn("event_date", F.to_date("ts"))
 
-# --- event log -----------------------------------------------------------------------------------------------
+
+def stored_records(spark: SparkSession, path: str) -> DataFrame:
+    """The log as it was ingested, each record once. Repeats have equal dates, so a query of some days reads only these."""
+    return spark.read.parquet(f"{path}/data").dropDuplicates(["event_date", "event_id"])
 
 
-def ingest_records(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Normalised records without health checks and repeats, with the partition date."""
-    rows = drop_health_checks(normalise_records(raw)).withWatermark("ts", delay)
-    return rows.dropDuplicatesWithinWatermark(["event_id"]).withColumn("event_date", F.to_date("ts"))
+COUNTS = ("queries", "feedbacks", "positive", "negative")
 
 
-def live_metrics(logs: DataFrame, width: str, keys: tuple[str, ...], delay: str = "1 hour") -> DataFrame:
-    """Query and feedback counts per event-time window and key; sessions and users are sketched."""
-    grouped = logs.withWatermark("ts", delay).groupBy(F.window("ts", width), *keys)
-    out = grouped.agg(*metric_columns(), F.approx_count_distinct("user_id", 0.01).alias("users"))
-    return out.select(F.col("window.start").alias("window_start"), *keys, "queries", "feedbacks", "positive", "negative", "users")
+def partial_metrics(logs: DataFrame, width: str, keys: tuple[str, ...], slide: str | None = None) -> DataFrame:
+    """Query and feedback counts and a sketch of the users per event-time window and key, of one micro-batch."""
+    grouped = logs.groupBy(F.window("ts", width, slide), *keys).agg(*metric_columns(), F.hll_sketch_agg("user_id").alias("users"))
+    return grouped.select(F.col("window.start").alias("window_start"), *keys, *COUNTS, "users")
 
 
-def live_segments(logs: DataFrame, width: str, slide: str, keys: tuple[str, ...], delay: str = "1 hour") -> DataFrame:
-    """The same counts over sliding windows."""
-    grouped = logs.withWatermark("ts", delay).groupBy(F.window("ts", width, slide), *keys).agg(*metric_columns())
-    return grouped.select(F.col("window.start").alias("window_start"), *keys, "queries", "feedbacks", "positive", "negative")
+def merged_metrics(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
+    """The metrics of all micro-batches so far."""
+    grouped = spark.read.parquet(f"{path}/data").groupBy("window_start", *keys)
+    return grouped.agg(*[F.sum(c).alias(c) for c in COUNTS], F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
 
 
-def first_queries(turns: DataFrame, order: Column | str = "created_at") -> DataFrame:
-    """The first query of every session that is not empty; works on a table and on a stream of turns."""
+def first_queries(turns: DataFrame, order: str = "created_at") -> DataFrame:
+    """The first query of every session that is not empty, with its place; of a table, a micro-batch, or such first queries."""
     asked = turns.where(F.coalesce("user_query", F.lit("")) != "")
-    return asked.groupBy("session_id").agg(F.min_by("user_query", order).alias("first_user_query"))
+    first = F.min(F.struct(order, "user_query")).alias("first")
+    return asked.groupBy("session_id").agg(first).select("session_id", f"first.{order}", "first.user_query")
