@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import BM25_B, BM25_K1, K_BM25
 from ..functions.text import tokens
@@ -198,6 +198,13 @@ def pair_score(tokens: pd.Series, terms: pd.Series, weights: pd.Series, average:
     return pd.Series(out, dtype="float64")
 
 
+def phrase_frequency(tokens: Column, phrase: Column) -> Column:
+    """How often a token array holds another one in a row; occurrences may overlap, as in the phrase search. An empty phrase never occurs."""
+    n, m = F.size(tokens), F.size(phrase)
+    starts = F.filter(F.sequence(F.lit(1), n - m + 1), lambda i: (F.get(tokens, i - 1) == F.get(phrase, F.lit(0))) & (F.slice(tokens, i, m) == phrase))
+    return F.when((m > 0) & (n >= m), F.size(starts)).otherwise(0).cast("double")
+
+
 def _shape(total_docs: float, total_tokens: float) -> tuple[float, float]:
     average = total_tokens / max(total_docs, 1)
     return BM25_K1 * (1 - BM25_B), BM25_K1 * BM25_B / max(average, 1e-9)
