@@ -3,7 +3,6 @@
 # retrieval
 K_BM25 = 5
 K_EMB = 5
-NUM_CANDIDATES = 100
 K_RERANK = 5
 RRF_C = 60
 BM25_K1 = 1.2

@@ -229,10 +229,10 @@ def search(
     stored result of :func:`term_statistics`.
     """
     kcol = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
-    q = queries.select(
-        F.col("query_id").cast("string").alias("query_id"), kcol.alias("k"), topk.key_column(by).alias("_key"), tokens(F.col("text")).alias("terms")
-    )
-    rows = docs.select("doc_id", topk.key_column(by).alias("_key"), tokens(F.col("text")).alias("tokens"))
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), kcol.alias("k"), topk.key_column(by).alias("_key"), "text", *by)
+    q = q.groupBy("query_id", "_key", *by).agg(F.min("text").alias("text"), F.max("k").alias("k")).withColumn("terms", tokens(F.col("text"))).drop("text")
+    rows = topk.matching(docs, q, by).select("doc_id", topk.key_column(by).alias("_key"), tokens(F.col("text")).alias("tokens"))
+    q = q.drop(*by)
     id_type = topk.id_type_of(docs)
     vocabulary = q.select(F.explode("terms").alias("term")).distinct()
     stats = statistics if statistics is not None else term_statistics(docs, vocabulary)
@@ -255,7 +255,7 @@ def search(
                 kept = [[(t, c * idf(n, df[t])) for t, c in cs.items() if t in df] for cs in counted]
                 pack = Pack([[t for t, _ in ts] for ts in kept], [[w for _, w in ts] for ts in kept], k1b)
             packs[key] = (np.array([r["query_id"] for r in mine], dtype=object), np.array([r["k"] for r in mine]), pack)
-        local = topk.scan_topk(topk.only_keys(rows, by, set(packs)), packs, _load_arrow, _take, _phrase_scores if phrase else _scores, id_type)
+        local = topk.scan_topk(rows, packs, _load_arrow, _take, _phrase_scores if phrase else _scores, id_type)
     else:
         local = _search_blocks(q, rows, stats, phrase, id_type)
     return topk.merge_topk(local).select("query_id", "doc_id", F.col("value").alias("score"), "rank")

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..constants import K_EMB, NUM_CANDIDATES
+from ..constants import K_EMB
 from ..functions.vectors import knn_score, normalise
 from . import topk
 
@@ -28,16 +28,39 @@ def _cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.round(queries @ rows.T, 6)
 
 
+def finite(vector: str = "vector") -> Column:
+    """A vector that can be scored: not null or empty, every element there and finite."""
+    element = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, element), F.lit(False))
+
+
+def dimensions(queries: DataFrame) -> int | None:
+    """The most frequent size among the finite query vectors (the larger one of two), None if there are none."""
+    sizes = queries.where(finite()).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+    return sizes[0]["n"] if sizes else None
+
+
+def rejects(rows: DataFrame, dims: int, key: str = "doc_id") -> DataFrame:
+    """Rows that a search leaves out, with the reason."""
+    reason = F.when(F.col("vector").isNull(), "missing").when(~finite(), "not finite").when(F.size("vector") != dims, "size")
+    return rows.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(key, "reason")
+
+
 def search(queries: DataFrame, chunks: DataFrame, by: tuple[str, ...] = (), k: int = K_EMB, max_queries: int = topk.MAX_QUERIES) -> DataFrame:
     """Exact search by cosine of unit vectors: the ``k`` best rows per query among rows with equal ``by`` values.
 
     ``queries``: query_id, vector, the ``by`` columns and optionally ``k``. ``chunks``: doc_id, vector, ``by``.
-    Several rows with one query_id (for example one per allowed knowledge base) share one result list.
+    Several rows with one query_id (for example one per allowed knowledge base) share one result list; equal ones count once. Vectors that are
+    not finite, or of another size than most queries, take no part on either side: see :func:`rejects`.
     """
     kcol = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector", kcol.alias("k"), topk.key_column(by).alias("_key"))
-    rows = chunks.where(F.col("vector").isNotNull()).select("doc_id", "vector", topk.key_column(by).alias("_key"))
     id_type = topk.id_type_of(chunks)
+    dims = dimensions(queries)
+    usable = finite() & (F.size("vector") == (dims or 0))
+    q = queries.where(usable).select(F.col("query_id").cast("string").alias("query_id"), "vector", kcol.alias("k"), topk.key_column(by).alias("_key"), *by)
+    q = q.groupBy("query_id", "_key", *by).agg(F.min("vector").alias("vector"), F.max("k").alias("k"))
+    rows = topk.matching(chunks.where(usable), q, by).select("doc_id", "vector", topk.key_column(by).alias("_key"))
+    q = q.drop(*by)
     small = topk.bounded_rows(q, max_queries, F.size("vector"))
     if small is not None:
         packs = {}
@@ -48,9 +71,9 @@ def search(queries: DataFrame, chunks: DataFrame, by: tuple[str, ...] = (), k: i
                 np.array([r["k"] for r in mine]),
                 _stack([r["vector"] for r in mine]),
             )
-        local = topk.scan_topk(topk.only_keys(rows, by, set(packs)), packs, _matrix, lambda m, i: m[i], _cosines, id_type)
+        local = topk.scan_topk(rows, packs, _matrix, lambda m, i: m[i], _cosines, id_type)
     else:
-        sized = F.size("vector").alias("_size")
+        sized = F.size("vector").alias("_size")  # both sides have one size: the check is before the two forms, so they agree
         local = topk.block_topk(
             rows.select("*", sized), q.select("*", sized), lambda f: _stack(f["vector"]), lambda f: _stack(f["vector"]), lambda m, i: m[i], _cosines, id_type
         )
@@ -65,7 +88,7 @@ def centroids(chunks: DataFrame, n: int, iterations: int = 0) -> np.ndarray:
 
     Only ``n`` vectors reach the driver; assignment and means are computed by Spark.
     """
-    start = chunks.where(F.col("vector").isNotNull()).orderBy("doc_id").limit(n).select("vector").collect()
+    start = chunks.where(finite()).orderBy("doc_id").limit(n).select("vector").collect()
     centres = _stack([r["vector"] for r in start])
     for _ in range(iterations):
         cells = with_cells(chunks, centres)
@@ -77,8 +100,10 @@ def centroids(chunks: DataFrame, n: int, iterations: int = 0) -> np.ndarray:
     return centres
 
 
-def with_cells(df: DataFrame, centres: np.ndarray, n: int = 1, column: str = "cell") -> DataFrame:
-    """The ``n`` nearest cells of every vector, one output row per cell."""
+def with_cells(
+    df: DataFrame, centres: np.ndarray, n: int = 1, column: str = "cell", sizes: np.ndarray | None = None, rows: int | None = None
+) -> DataFrame:
+    """The ``n`` nearest cells of every vector, one output row per cell; with ``sizes``, as many more as hold ``rows`` rows together."""
     shipped = df.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -86,8 +111,11 @@ def with_cells(df: DataFrame, centres: np.ndarray, n: int = 1, column: str = "ce
         if len(vectors) == 0:
             return pd.Series([], dtype=object)
         cosines = _cosines(_stack(vectors), shipped.value)
-        order = np.argsort(-cosines, axis=1, kind="stable")[:, :n]
-        return pd.Series(list(order.astype(np.int32)))
+        order = np.argsort(-cosines, axis=1, kind="stable").astype(np.int32)
+        if sizes is None:
+            return pd.Series(list(order[:, :n]))
+        needed = np.maximum(n, (sizes[order].cumsum(axis=1) < rows).sum(axis=1) + 1)
+        return pd.Series([own[:m] for own, m in zip(order, needed, strict=True)])
 
     return df.withColumn(column, F.explode(nearest("vector")))
 
@@ -99,13 +127,22 @@ def search_cells(
     probes: int,
     by: tuple[str, ...] = (),
     k: int = K_EMB,
-    num_candidates: int = NUM_CANDIDATES,
+    num_candidates: int | None = None,
 ) -> DataFrame:
-    """Approximate search: exact scores within the ``probes`` nearest cells of the query."""
-    if num_candidates < k:
+    """Approximate search: exact scores within the ``probes`` nearest cells of the query.
+
+    With ``num_candidates`` a query reads as many further cells as it takes to meet that many rows (of all keys together).
+    """
+    if num_candidates is not None and num_candidates < k:
         raise ValueError("num_candidates must not be smaller than k")
-    rows = with_cells(chunks.where(F.col("vector").isNotNull()), centres)
-    return search(with_cells(queries, centres, probes), rows, (*by, "cell"), k)
+    usable = finite() & (F.size("vector") == centres.shape[1])
+    rows = with_cells(chunks.where(usable), centres)
+    sizes = None
+    if num_candidates is not None:
+        sizes = np.zeros(len(centres), dtype=np.int64)
+        for r in rows.groupBy("cell").count().collect():  # a row per centre
+            sizes[r["cell"]] = r["count"]
+    return search(with_cells(queries.where(usable), centres, probes, sizes=sizes, rows=num_candidates), rows, (*by, "cell"), k)
 
 
 # --- vector preparation --------------------------------------------------------------------------------------

@@ -94,11 +94,17 @@ def bounded_rows(df: DataFrame, limit: int, size: Column | None = None, budget:
     return None if len(rows) > limit else rows
 
 
-def only_keys(rows: DataFrame, by: tuple[str, ...], keys: set, limit: int = 200) -> DataFrame:
-    """Restrict the searched side to the query keys where they are few enough for a predicate."""
-    if by and len(keys) <= limit:
-        return rows.where(F.col("_key").isin(sorted(keys)))
-    return rows
+def matching(rows: DataFrame, queries: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The rows whose ``by`` columns some query has; nulls match nulls. The join is on the raw columns, so it filters before anything is scored."""
+    if not by:
+        return rows
+    names = [f"_by_{i}" for i in range(len(by))]
+    keys = queries.select(*[F.col(c).alias(n) for c, n in zip(by, names)]).distinct()
+    same = [rows[c].eqNullSafe(F.col(n)) for c, n in zip(by, names)]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    return rows.join(keys, condition, "left_semi")
 
 
 def merge_topk(local: DataFrame) -> DataFrame:

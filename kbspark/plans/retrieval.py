@@ -147,6 +147,53 @@ def knn_cells_recall(spark, sf):
     )
 
 
+@query("knn_candidates", f"WITH {VEC_SQL} {KNN_FROM.format(on='true', k=5)}")
+def knn_candidates(spark, sf):
+    """Cells are read until as many candidates are met as there are rows, so the result is that of the exact search."""
+    rows = vector_table(spark, sf)
+    return knn.search_cells(vector_queries(spark, sf), rows, knn.centroids(rows, CELLS), 1, k=5, num_candidates=rows.count())
+
+
+# Every eleventh vector gets a NaN, every thirteenth loses its end, every seventeenth is missing.
+BROKEN_SQL = """bt AS (SELECT vec_id AS doc_id, CASE WHEN vec_id % 17 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN CAST(embedding AS DOUBLE[])[1:63]
+  WHEN vec_id % 11 = 0 THEN list_concat(CAST(embedding AS DOUBLE[])[1:63], ['NaN'::DOUBLE]) ELSE CAST(embedding AS DOUBLE[]) END AS vector FROM embeddings)"""
+
+
+def broken_vectors(spark, sf):
+    k, v = F.col("doc_id"), F.transform("vector", lambda x: x.cast("double"))
+    short = F.slice(v, 1, 63)
+    vector = F.when(k % 17 == 0, F.lit(None)).when(k % 13 == 0, short).when(k % 11 == 0, F.concat(short, F.array(F.lit(float("nan"))))).otherwise(v)
+    return vector_table(spark, sf).withColumn("vector", vector)
+
+
+@query(
+    "knn_rejects",
+    """SELECT vec_id AS doc_id, CASE WHEN vec_id % 17 = 0 THEN 'missing' WHEN vec_id % 13 = 0 THEN 'size' ELSE 'not finite' END AS reason
+FROM embeddings WHERE vec_id % 17 = 0 OR vec_id % 13 = 0 OR vec_id % 11 = 0""",
+)
+def knn_rejects(spark, sf):
+    return knn.rejects(broken_vectors(spark, sf), 64)
+
+
+def _broken(spark, sf, **form):
+    asked = vector_queries(spark, sf)
+    return knn.search(asked.unionByName(asked), broken_vectors(spark, sf), k=5, **form)
+
+
+BROKEN_KNN = f"WITH {VEC_SQL}, {BROKEN_SQL} " + KNN_FROM.format(on="bt.vector IS NOT NULL AND len(bt.vector) = 64 AND NOT isnan(bt.vector[64])", k=5).replace("vt.", "bt.").replace("JOIN vt", "JOIN bt")
+
+
+@query("knn_broken", BROKEN_KNN)
+def knn_broken(spark, sf):
+    """Rejected vectors and repeated queries change no other hit, in the form with shipped queries."""
+    return _broken(spark, sf)
+
+
+@query("knn_broken_blocks", BROKEN_KNN)
+def knn_broken_blocks(spark, sf):
+    return _broken(spark, sf, max_queries=0)
+
+
 @query(
     "l2_normalise",
     """WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (vec_id + 2)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v)
