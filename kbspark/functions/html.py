@@ -1,4 +1,4 @@
-"""HTML text and titles."""
+"""Text, title and links of HTML pages, in one parser pass a page."""
 
 from __future__ import annotations
 
@@ -7,70 +7,87 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# Elements whose text is never shown (fixed values).
-HIDDEN = {"script", "style", "template", "noscript", "head"}
+# Elements whose text is never shown, those that never hold content, and those allowed in a head (fixed values).
+HIDDEN = frozenset({"script", "style", "template", "noscript", "head", "title"})
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
 
 
-class _Visible(HTMLParser):
-    """Collects the text nodes outside hidden elements."""
+class _Page(HTMLParser):
+    """Collects the shown text nodes, the first title and heading, and the link targets in document order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
+        self.open: list[str] = []
+        self.hidden = 0
+        self.parts: list[str] = []
+        self.links: list[str] = []
+        self.named: dict[str, list[list[str]]] = {"title": [], "h1": []}
+        self.inside: list[list[str]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.depth += 1
+        if tag == "a" and (target := next((v for k, v in attrs if k == "href"), None)) is not None:
+            self.links.append(target)
+        if tag in VOID:
+            return
+        if "head" in self.open and (tag == "body" or tag not in HEAD_ONLY and self.open[-1] == "head"):
+            self._leave(self.open.index("head"))  # a head left open ends where content begins
+        self.open.append(tag)
+        self.hidden += tag in HIDDEN
+        if tag in self.named:
+            self.named[tag].append([])
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN and self.depth:
-            self.depth -= 1
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at] == tag:
+                self._leave(at)
+                return
+
+    def _leave(self, at: int) -> None:
+        self.hidden -= sum(t in HIDDEN for t in self.open[at:])
+        del self.open[at:]
 
     def handle_data(self, data):
-        if not self.depth and data.strip():
+        for tag, found in self.named.items():
+            if found and tag in self.open:
+                found[-1].append(data)
+        if not self.hidden and data.strip():
             self.parts.append(" ".join(data.split()))
 
+    def title(self) -> str:
+        """The first title, else the first heading with text."""
+        first = "".join(self.named["title"][0]).strip() if self.named["title"] else ""
+        return first or next((t for h in self.named["h1"] if (t := "".join(h).strip())), "")
 
-def _text(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _Visible()
-    parser.feed(html)
-    parser.close()
-    return "\n".join(parser.parts)
-
-
-@F.pandas_udf(T.StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    """Text nodes of a page, one per line."""
-    return html.map(_text)
 
+PARSED = T.StructType().add("text", T.StringType()).add("title", T.StringType()).add("links", T.ArrayType(T.StringType()))
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
+@F.pandas_udf(PARSED)
+def parsed(html: pd.Series) -> pd.DataFrame:
+    """What a page holds; all fields of a null page are null."""
+    rows = []
+    for source in html:
+        if source is None:
+            rows.append((None, None, None))
+            continue
+        page = _Page()
+        page.feed(source)
+        page.close()
+        rows.append(("\n".join(page.parts), page.title(), page.links))
+    return pd.DataFrame(rows, columns=["text", "title", "links"])
 
-def unescape(text: Column) -> Column:
-    """Replace the entities that mark-up itself needs."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
 
-
-def _clean(fragment: Column) -> Column:
-    from .text import strip
-
-    return strip(unescape(F.regexp_replace(fragment, r"(?s)<[^>]*>", "")))
+def visible_text(html: Column | str) -> Column:
+    """Text nodes of a page, one per line."""
+    return parsed(html)["text"]
 
 
-def page_title(html: Column) -> Column:
+def page_title(html: Column | str) -> Column:
     """The title, else the first heading with text, else an empty string."""
-    title = _clean(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    headings = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), _clean)
-    first = F.get(F.filter(headings, lambda h: h != ""), F.lit(0))
-    return F.coalesce(F.nullif(title, F.lit("")), first, F.lit(""))
+    return parsed(html)["title"]
 
 
-def hrefs(html: Column) -> Column:
+def hrefs(html: Column | str) -> Column:
     """Targets of the links in document order."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    return F.transform(found, unescape)
+    return parsed(html)["links"]

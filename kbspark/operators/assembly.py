@@ -24,16 +24,23 @@ def sheet_documents(rows: DataFrame, columns: list[str], template: str = SHEET_T
     return docs.select("sheet", F.col("sheet").alias("title"), F.format_string(template, F.col("sheet"), F.col("csv")).alias("text"))
 
 
+def _lines(text: Column) -> Column:
+    """Lines with their spaces collapsed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), collapse_space), lambda x: x != "")
+
+
 def slide_documents(shapes: DataFrame, least: int = 50) -> DataFrame:
-    """One document per slide with enough text; the title comes from shapes named so; the page keeps the slide's index."""
-    text = strip(F.col("text"))
-    solid = shapes.withColumn("text", text).where(F.col("text") != "")
+    """One document per slide with enough text; the page keeps the slide's index.
+
+    Spaces collapse in every paragraph of a shape, and empty paragraphs and shapes go. Titles are the shapes named so, one per line.
+    """
+    solid = shapes.withColumn("lines", _lines(F.col("text"))).where(F.size("lines") > 0)
     is_title = F.contains(F.lower("name"), F.lit("title"))
-    ordered = F.sort_array(F.collect_list(F.struct("shape_no", "text")))
-    titles = F.sort_array(F.collect_list(F.when(is_title, F.struct("shape_no", F.replace(F.col("text"), F.lit("\n"), F.lit(", ")).alias("text")))))
+    ordered = F.sort_array(F.collect_list(F.struct("shape_no", F.array_join("lines", "\n").alias("text"))))
+    titles = F.sort_array(F.collect_list(F.when(is_title, F.struct("shape_no", F.array_join("lines", ", ").alias("text")))))
     slides = solid.groupBy("doc_id", "slide").agg(
         F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"),
-        F.array_join(F.transform(titles, lambda x: x["text"]), ", ").alias("title"),
+        F.array_join(F.transform(titles, lambda x: x["text"]), "\n").alias("title"),
     )
     kept = slides.where(F.length("text") >= least)
     return kept.withColumns({"page": F.col("slide"), "total_pages": F.count(F.lit(1)).over(Window.partitionBy("doc_id"))})
@@ -41,7 +48,8 @@ def slide_documents(shapes: DataFrame, least: int = 50) -> DataFrame:
 
 def table_texts(cells: DataFrame) -> DataFrame:
     """Cells (table_id, row_no, col_no, text) as aligned lines ``| a | b |``; missing cells are padded."""
-    clean = F.replace(F.trim(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit("; "))
+    lines = F.filter(F.split(strip(F.coalesce("text", F.lit(""))), "\n"), lambda x: x != "")
+    clean = F.array_join(F.transform(lines, strip), "; ")
     rows = cells.select("table_id", "row_no", "col_no", clean.alias("text"))
     width = rows.withColumn("width", F.max(F.length("text")).over(Window.partitionBy("table_id", "col_no")))
     columns = F.max("col_no").over(Window.partitionBy("table_id"))
@@ -59,17 +67,19 @@ def table_texts(cells: DataFrame) -> DataFrame:
 
 
 def block_documents(blocks: DataFrame) -> DataFrame:
-    """Paragraphs and table cells (doc_id, block_no, kind, style, row_no, cell_no, text) as one document each.
+    """Paragraphs and table cells (doc_id, block_no, kind, style, row_no, cell_no, cell_id, text) as one document each.
 
-    Spaces collapse, empty texts and repeats of a merged cell in its row are dropped, cells and blocks join by a line break.
+    Spaces collapse and empty texts go; cells and blocks join by a line break. A merged cell comes several times in its row with one
+    ``cell_id`` and counts once; neighbours with equal texts stay. The titles are all texts styled so, each once, in order.
     """
-    rows = blocks.withColumn("text", collapse_space(F.coalesce("text", F.lit(""))))
     row = Window.partitionBy("doc_id", "block_no", "row_no").orderBy("cell_no")
-    rows = rows.withColumn("previous", F.lag("text").over(row))
-    merged = (F.col("kind") == "table") & F.coalesce(F.col("previous") == F.col("text"), F.lit(False))
-    rows = rows.where((F.col("text") != "") & ~merged)
-    ordered = F.sort_array(F.collect_list(F.struct("block_no", "row_no", "cell_no", "text")))
-    title = F.min_by(F.when(F.col("style") == "Title", F.col("text")), F.when(F.col("style") == "Title", F.struct("block_no", "row_no", "cell_no")))
+    merged = (F.col("kind") == "table") & F.coalesce(F.lag("cell_id").over(row) == F.col("cell_id"), F.lit(False))
+    rows = blocks.withColumn("merged", merged).where(~F.col("merged")).withColumn("text", collapse_space(F.coalesce("text", F.lit(""))))
+    rows = rows.where(F.col("text") != "")
+    place = F.struct("block_no", "row_no", "cell_no", "text")
+    ordered = F.sort_array(F.collect_list(place))
+    titled = F.sort_array(F.collect_list(F.when(F.col("style") == "Title", place)))
+    texts = lambda x: F.transform(x, lambda p: p["text"])
     return rows.groupBy("doc_id").agg(
-        F.coalesce(title, F.lit("")).alias("content_title"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text")
+        F.array_join(F.array_distinct(texts(titled)), "\n").alias("content_title"), F.array_join(texts(ordered), "\n").alias("text")
     )

@@ -65,7 +65,8 @@ def excluded_parameter(url: Column, names: list[str]) -> Column:
     if not names:
         return F.lit(False)
     query = urls.url_query(url)
-    keys = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.lower(F.substring_index(p, "=", 1)))
+    name = lambda p: F.substring_index(p, "=", 1)
+    keys = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.lower(F.coalesce(F.try_url_decode(name(p)), name(p))))
     return F.arrays_overlap(keys, F.array(*[F.lit(n) for n in names]))
 
 
@@ -87,13 +88,18 @@ def admitted(url: Column, start_url: Column, opts: CrawlOptions) -> Column:
 
 
 def robots_allowed(rows: DataFrame, rules: DataFrame, agent: str, url: str = "url") -> DataFrame:
-    """Flag ``allowed``: the longest matching path rule of the host decides, allow wins a tie, no rule allows.
+    """Flag ``allowed``: the longest matching rule of the host decides, allow wins a tie, no rule allows.
 
-    The rules of a host are one small array, so a host with most of the URLs only repeats a lookup.
+    An agent with a group of its own does not heed the rules for all agents. Rules are matched with the path and the query. The rules of a
+    host are one small array, so a host with most of the URLs only repeats a lookup.
     """
-    mine = rules.where(F.col("agent").isin("*", agent)).groupBy("host").agg(F.collect_list(F.struct("path_prefix", "allow")).alias("_rules"))
-    joined = rows.withColumn("_host", urls.netloc(F.col(url))).join(mine.withColumnRenamed("host", "_host"), "_host", "left")
-    path = urls.url_path(F.col(url))
+    rule = F.struct("agent", "path_prefix", "allow")
+    mine = rules.where(F.col("agent").isin("*", agent)).groupBy(F.col("host").alias("_host")).agg(F.collect_list(rule).alias("_all"))
+    own = F.filter("_all", lambda r: r["agent"] == agent)
+    mine = mine.select("_host", F.when(F.size(own) > 0, own).otherwise(F.col("_all")).alias("_rules"))
+    joined = rows.withColumn("_host", urls.netloc(F.col(url))).join(mine, "_host", "left")
+    query = urls.url_query(F.col(url))
+    path = F.concat(urls.url_path(F.col(url)), F.when(F.coalesce(query, F.lit("")) != "", F.concat(F.lit("?"), query)).otherwise(""))
     matching = F.filter("_rules", lambda r: path.startswith(r["path_prefix"]))
     best = F.array_max(F.transform(matching, lambda r: F.struct(F.length(r["path_prefix"]).alias("n"), r["allow"].alias("allow"))))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_host", "_rules")
@@ -118,10 +124,8 @@ def crawl_plan(
     not shuffled for it. The driver only learns whether a level is empty. Only HTML pages count to ``max_pages``.
     """
     base = scratch_path(spark, "crawl")
-    parsed = pages.select(
-        F.col("url").alias("final_url"), "content_type", html.page_title(F.col("html")).alias("title"), html.hrefs(F.col("html")).alias("hrefs")
-    )
-    found = stored(parsed, f"{base}/pages")
+    parsed = pages.select(F.col("url").alias("final_url"), "content_type", html.parsed("html").alias("_p"))
+    found = stored(parsed.select("final_url", "content_type", "_p.title", F.col("_p.links").alias("hrefs")), f"{base}/pages")
     moved = redirects.select("url", F.col("final_url").alias("_to"))
     start = F.col("start_url")
     is_html = F.col("mimetype") == "text/html"

@@ -34,14 +34,17 @@ def _lines(spark, sf):
 
 @query(
     "slide_documents",
-    f"""WITH {LINES_SQL}, s AS (SELECT doc_id, k // 4 AS slide, k % 4 AS shape_no, trim(line) AS line FROM ln WHERE trim(line) != ''),
-g AS (SELECT doc_id, slide, string_agg(line, chr(10) ORDER BY shape_no) AS txt, coalesce(string_agg(CASE WHEN shape_no = 0 THEN line END, ', ' ORDER BY shape_no), '') AS title FROM s GROUP BY ALL HAVING len(txt) >= 50)
+    f"""WITH {LINES_SQL}, s AS (SELECT doc_id, k // 4 AS slide, k % 4 AS shape_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM ln WHERE trim(line) != ''),
+g AS (SELECT doc_id, slide, string_agg(line || chr(10) || 'more ' || shape_no, chr(10) ORDER BY shape_no) AS txt,
+  coalesce(string_agg(CASE WHEN shape_no < 2 THEN line || ', more ' || shape_no END, chr(10) ORDER BY shape_no), '') AS title FROM s GROUP BY ALL HAVING len(txt) >= 50)
 SELECT doc_id, slide AS page, md5(txt) AS digest, md5(title) AS title_digest, count(*) OVER (PARTITION BY doc_id) AS total_pages FROM g""",
 )
 def slide_documents(spark, sf):
+    """Two shapes of a slide are titles; every shape has an empty paragraph and one with wide spaces."""
+    second = F.concat(F.col("line"), F.lit("\n \n  more   "), (F.col("k") % 4).cast("string"), F.lit(" "))
     shapes = _lines(spark, sf).select(
         "doc_id", F.floor(F.col("k") / 4).alias("slide"), (F.col("k") % 4).alias("shape_no"),
-        F.when(F.col("k") % 4 == 0, "Title 1").otherwise("Text 2").alias("name"), F.col("line").alias("text"),
+        F.when(F.col("k") % 4 < 2, "Sub Title 1").otherwise("Text 2").alias("name"), F.when(F.trim("line") != "", second).otherwise(F.col("line")).alias("text"),
     )
     return asm.slide_documents(shapes).select("doc_id", "page", F.md5("text").alias("digest"), F.md5("title").alias("title_digest"), "total_pages")
 
@@ -59,7 +62,7 @@ def table_text(spark, sf):
     third = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))
     cells = o.select(
         F.col("o_custkey").alias("table_id"), F.col("o_orderkey").alias("row_no"),
-        F.inline(F.array(cell(0, F.col("o_orderkey").cast("string")), cell(1, F.concat_ws("\n", "o_orderstatus", "o_orderpriority")), cell(2, third))),
+        F.inline(F.array(cell(0, F.col("o_orderkey").cast("string")), cell(1, F.concat_ws("\n", F.lit(" "), "o_orderstatus", F.lit(""), F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")))), cell(2, third))),
     )
     # a cell without a value is missing, not empty, in every second row
     cells = cells.where(F.col("text").isNotNull() | (F.col("row_no") % 2 == 0))
@@ -69,19 +72,20 @@ def table_text(spark, sf):
 @query(
     "block_documents",
     f"""WITH {LINES_SQL}, b AS (SELECT doc_id, k, contains(line, ' | ') AS tab, unnest(string_split(line, ' | ')) AS cell, generate_subscripts(string_split(line, ' | '), 1) AS c FROM ln),
-e AS (SELECT doc_id, k, tab, unnest([c * 2, c * 2 + 1]) AS c, unnest([cell, CASE WHEN tab THEN cell END]) AS cell FROM b),
-n AS (SELECT doc_id, k, tab, c, trim(regexp_replace(coalesce(cell, ''), '\\s+', ' ', 'g')) AS x FROM e),
-p AS (SELECT *, lag(x) OVER (PARTITION BY doc_id, k ORDER BY c) AS prev FROM n)
-SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY k, c)) AS digest, md5(coalesce(arg_min(x, k * 100000 + c) FILTER (k % 5 = 0), '')) AS title_digest FROM p WHERE x != '' AND NOT (tab AND coalesce(prev = x, false)) GROUP BY doc_id""",
+e AS (SELECT doc_id, k, tab, c, unnest(CASE WHEN tab THEN [c * 3, c * 3 + 2] ELSE [c * 3] END) AS spot, cell FROM b),
+n AS (SELECT doc_id, k, spot, trim(regexp_replace(coalesce(cell, ''), '\\s+', ' ', 'g')) AS x FROM e),
+t AS (SELECT doc_id, x, min(k * 100000 + spot) AS spot FROM n WHERE k % 5 = 0 AND x != '' GROUP BY ALL), tt AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY spot) AS title FROM t GROUP BY doc_id)
+SELECT n.doc_id, md5(string_agg(x, chr(10) ORDER BY k, n.spot)) AS digest, md5(coalesce(any_value(title), '')) AS title_digest FROM n LEFT JOIN tt ON tt.doc_id = n.doc_id WHERE x != '' GROUP BY n.doc_id""",
 )
 def block_documents(spark, sf):
-    """Lines with bars are table rows whose cells are repeated as merged cells are."""
+    """Lines with bars are table rows: each cell is merged over two columns, and a cell with an equal text stands next to it."""
     table = F.contains("line", F.lit(" | "))
     cells = _lines(spark, sf).select("doc_id", "k", table.alias("table"), F.posexplode(F.split("line", r" \| ")).alias("c", "cell"))
-    twice = F.array(F.struct((F.col("c") * 2).alias("cell_no"), F.col("cell").alias("text")), F.struct((F.col("c") * 2 + 1).alias("cell_no"), F.when(F.col("table"), F.col("cell")).alias("text")))
+    cell = lambda n, i: F.struct((F.col("c") * 3 + n).alias("cell_no"), (F.col("c") * 3 + i).alias("cell_id"), F.col("cell").alias("text"))
+    spread = F.when(F.col("table"), F.array(cell(0, 0), cell(1, 0), cell(2, 2))).otherwise(F.array(cell(0, 0)))
     blocks = cells.select(
         "doc_id", F.col("k").alias("block_no"), F.when(F.col("table"), "table").otherwise("paragraph").alias("kind"),
-        F.when(F.col("k") % 5 == 0, "Title").otherwise("Normal").alias("style"), F.lit(0).alias("row_no"), F.inline(twice),
+        F.when(F.col("k") % 5 == 0, "Title").otherwise("Normal").alias("style"), F.lit(0).alias("row_no"), F.inline(spread),
     )
     return asm.block_documents(blocks).select("doc_id", F.md5("text").alias("digest"), F.md5("content_title").alias("title_digest"))
 
