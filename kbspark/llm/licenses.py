@@ -12,6 +12,8 @@ changes no result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import fresh
@@ -49,15 +51,20 @@ TEMPLATES = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it; a column that is merely named may be computed at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(column: str) -> Column:
+def shingles(own: Column) -> Column:
     """Hashes of the shingles of an array of words, in order; none for fewer words than a shingle has."""
-    at = lambda i: F.xxhash64(*[F.get(F.col(column), i + k) for k in range(SHINGLE)])
-    return F.when(F.size(column) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(column) - SHINGLE), at)).otherwise(
+    at = lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(SHINGLE)])
+    return F.when(F.size(own) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(own) - SHINGLE), at)).otherwise(
         F.array().cast("array<bigint>")
     )
 
@@ -73,8 +80,8 @@ def _bands(column: str) -> Column:
 def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """``license``, its distinct shingles and size class. Texts shorter than a shingle or longer than the last class cannot be templates."""
     rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in texts.items()])
-    out = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", words(F.col("t.text")).alias("words"))
-    out = out.select("license", F.array_distinct(shingles("words")).alias("template")).where(F.size("template") > 0)
+    own = let(words(F.col("t.text")), lambda w: F.array_distinct(shingles(w)))
+    out = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", own.alias("template")).where(F.size("template") > 0)
     size = F.lit(None).cast("int")
     for c in reversed(CLASSES):
         size = F.when(F.size("template") <= c, F.lit(c)).otherwise(size)
@@ -93,17 +100,19 @@ def scan(docs: DataFrame, key: str, text: str, texts: dict[str, str] = TEMPLATES
         raise ValueError(f"templates too long: {bad}")
     wanted = sorted({s for r in found for s in r["template"]})
     name = fresh(docs, "license")[0]
-    own = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("words")).select("key", shingles("words").alias("shingles"))
-    known_shingle = lambda s: s.isin(wanted)
-    own = own.where(F.exists("shingles", known_shingle))
-    windows = None
-    for c in sorted({r["class"] for r in found}):
-        here = sorted({s for r in found if r["class"] == c for s in r["template"]})
-        starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), F.lit(c))
-        one = own.where(F.exists("shingles", lambda s: s.isin(here))).select("key", "shingles", F.explode(starts).alias("start"))  # noqa: B023
-        one = one.select("key", "start", F.lit(c).alias("class"), F.array_distinct(F.slice("shingles", F.col("start") + 1, 2 * c)).alias("window"))
-        one = one.where(F.exists("window", lambda s: s.isin(here)))  # noqa: B023
-        windows = one if windows is None else windows.union(one)
+    by_class = {c: sorted({s for r in found if r["class"] == c for s in r["template"]}) for c in sorted({r["class"] for r in found})}
+
+    def of_class(own: Column, c: int) -> Column:
+        one = lambda at: F.struct(at.alias("start"), F.lit(c).alias("class"), F.array_distinct(F.slice(own, at + 1, 2 * c)).alias("window"))
+        every = F.transform(F.sequence(F.lit(0), F.size(own) - 1, F.lit(c)), one)
+        return F.filter(every, lambda x: F.exists(x["window"], lambda s: s.isin(by_class[c])))
+
+    def of_text(own: Column) -> Column:
+        return F.when(F.exists(own, lambda s: s.isin(wanted)), F.flatten(F.array(*[of_class(own, c) for c in by_class])))
+
+    # one expression gives a text's windows, so its words and shingles are made once
+    made = let(words(F.col(text)), lambda w: let(shingles(w), of_text))
+    windows = docs.select(F.col(key).alias("key"), F.inline(made))
     banded = windows.select("*", F.explode(_bands("window")).alias("b")).select("key", "start", "class", "window", "b.band", "b.low")
     index = known.select("license", "template", "class", F.explode(_bands("template")).alias("b")).select(
         "license", "template", F.col("class").alias("t_class"), F.col("b.band").alias("t_band"), F.col("b.low").alias("t_low")
