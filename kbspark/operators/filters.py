@@ -117,10 +117,6 @@ def metadata_filter(df: DataFrame, project_id=None, kb_ids=None, page=None, leve
     )
 
 
-def without(df: DataFrame, *columns: str) -> DataFrame:
-    return df.drop(*columns)
-
-
 def filled(value: str, default: str) -> Column:
     """The value, or the default where it is null or empty."""
     return F.coalesce(F.nullif(F.col(value), F.lit("")), F.col(default))
@@ -131,8 +127,8 @@ def file_name(path: Column) -> Column:
 
 
 def language_ok(column: str) -> Column:
-    """``<language>-<locale>``: exactly two parts around one dash."""
-    return F.coalesce(F.size(F.split(F.col(column), "-")) == 2, F.lit(False))
+    """``<language>-<locale>``: exactly two parts around one dash; a language need not be given."""
+    return F.col(column).isNull() | (F.size(F.split(F.col(column), "-")) == 2)
 
 
 def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

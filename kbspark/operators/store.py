@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..constants import BATCH_DOCS, DEFAULT_LANGUAGE, UPLOAD_RETRIES
+from ..session import scratch_path, stored
 
 # Loader fields of a chunk with their defaults (fixed values).
 LOADER_DEFAULTS = {
@@ -32,6 +33,7 @@ def assemble_metadata(loader: DataFrame, general: DataFrame) -> DataFrame:
         F.coalesce(F.col("g.source_type"), F.lit("pdf")).alias("source_type"),
         F.col("g.custom").alias("custom"),
     ]
+    fields += [F.col(f"g.{c}").alias(c) for c in ("embedding_model", "created_at") if c in general.columns]
     keep = [F.col("l._id").alias("_id")] if "_id" in loader.columns else []
     return rows.select("kb_id", *keep, F.struct(*fields).alias("metadata"))
 
@@ -51,18 +53,34 @@ def overwrite_by_key(store: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return store.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 
-def write_store(chunks: DataFrame, path: str, partition: str = "model_partition") -> None:
-    """Write the store partitioned by model so a search reads one model's files."""
-    chunks.write.mode("overwrite").partitionBy(partition).parquet(path)
+def upsert(incoming: DataFrame, path: str, keys: list[str], partitions: list[str]) -> None:
+    """Put rows in a store partitioned by ``partitions``, in place of the rows with their ``keys``. Other partitions are neither read nor written.
+
+    The new content of the touched partitions is written to the shared folder first, since a partition cannot be read and replaced at once.
+    """
+    spark = incoming.sparkSession
+    fresh = stored(incoming, scratch_path(spark, "upsert"))
+    if exists(spark, path):
+        old = spark.read.schema(fresh.schema).parquet(path)
+        touched = fresh.select(*partitions).distinct()
+        old = old.join(touched, partitions, "left_semi").select(*fresh.columns)
+        fresh = stored(overwrite_by_key(old, fresh, keys), scratch_path(spark, "upsert"))
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there, by the file system that Spark uses for the path."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def reconcile(expected: DataFrame, stored: DataFrame, keys: list[str], retries: int = UPLOAD_RETRIES) -> DataFrame:
+def reconcile(expected: DataFrame, sent: DataFrame, keys: list[str], retries: int = UPLOAD_RETRIES) -> DataFrame:
     """Stored against expected rows per batch: complete, partial or missing, and what to do next.
 
     ``expected`` has the keys, ``expected`` and ``retries``; a partial batch is deleted and sent again until it
     used up its retries.
     """
-    counted = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("stored"))
+    counted = sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("stored"))
     joined = expected.join(counted, keys, "full")
     status = (
         F.when(F.col("expected").isNull(), "unexpected")

@@ -404,7 +404,7 @@ def custom_filters(spark, sf):
     "validated_rows",
     """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'en-US' WHEN 1 THEN 'cs' WHEN 2 THEN 'cs-CZ' ELSE NULL END AS language,
   event_type AS kind, CASE WHEN value >= 34 THEN 1 WHEN value < 10 THEN 0 ELSE -1 END AS feedback FROM events)
-SELECT event_id, concat_ws(',', CASE WHEN coalesce(language, '') NOT LIKE '%-%' THEN 'language' END, CASE WHEN kind NOT IN ('click', 'view', 'purchase') THEN 'kind' END,
+SELECT event_id, concat_ws(',', CASE WHEN language NOT LIKE '%-%' THEN 'language' END, CASE WHEN kind NOT IN ('click', 'view', 'purchase') THEN 'kind' END,
   CASE WHEN feedback NOT IN (1, -1) THEN 'feedback' END) AS broken FROM e""",
 )
 def validated_rows(spark, sf):

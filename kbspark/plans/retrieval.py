@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..constants import BM25_B, BM25_K1
 from ..functions.vectors import dot, knn_score, normalise
-from ..operators import bm25, fusion, knn
+from ..operators import bm25, compose, fusion, knn
 from ..sources.tables import load
+from .catalog import CONV_TURNS_SQL, conversation_turns
 from .registry import query
 
 # --- inputs --------------------------------------------------------------------------------------------------
@@ -337,3 +338,49 @@ def top_n_mode(spark, sf):
     ordered = F.sort_array(F.collect_list(F.struct("rank", "doc_id")))
     joined = F.array_join(F.transform(ordered, lambda s: s["doc_id"].cast("string")), ",")
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), joined.alias("matched"))
+
+
+# --- whole jobs ----------------------------------------------------------------------------------------------
+
+CONTEXT_SQL = f"""{TEXT_SQL}, r AS ({bm25_sql('WHERE qt.project_id = tf.project_id')}), {CONV_TURNS_SQL},
+hn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, _id DESC) AS k FROM ct),
+hm AS (SELECT session_id, count(*) FILTER (trim(user_query) != '') + count(*) FILTER (trim(system_response) != '') AS n FROM hn WHERE k <= 5 GROUP BY session_id),
+cx AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN td ON td.doc_id = r.doc_id GROUP BY query_id),
+qs AS (SELECT query_id, 's' || item_id AS session_id, item_id, text FROM tq)"""
+
+
+def _questions(spark, sf):
+    k = F.col("item_id")
+    return text_queries(spark, sf).withColumns({"session_id": F.concat(F.lit("s"), k.cast("string")), "language": F.when(k % 2 == 0, "cs").otherwise("en")})
+
+
+@query(
+    "answer_context",
+    f"""WITH {CONTEXT_SQL} SELECT qs.query_id, md5(CASE WHEN coalesce(n, 0) > 0 AND item_id % 2 = 0 THEN text || ' ?!' ELSE text END) AS query,
+  md5('Answer in ' || CASE WHEN item_id % 2 = 0 THEN 'Czech' ELSE 'English' END || ' and only from this context.' || chr(10) || chr(10) || '<CONTEXT>' || chr(10) || coalesce(context, '') || chr(10) || '</CONTEXT>') AS prompt,
+  2 + coalesce(n, 0) AS messages FROM qs LEFT JOIN hm ON hm.session_id = qs.session_id LEFT JOIN cx ON cx.query_id = qs.query_id""",
+)
+def answer_context(spark, sf):
+    """History, rewriting (which fails for every odd question), search by project, prompt and messages of every question."""
+    docs = text_table(spark, sf)
+    rewrite = lambda text, history: F.when(F.col("item_id") % 2 == 0, F.concat(text, F.lit(" ?!")))
+    search = lambda asked: bm25.search(asked, docs, by=("project_id",))
+    out, _ = compose.answer_context(_questions(spark, sf), conversation_turns(spark, sf), search, docs.select("doc_id", "text"), rewrite=rewrite)
+    return out.select("query_id", F.md5("query").alias("query"), F.md5("prompt").alias("prompt"), F.size("messages").cast("long").alias("messages"))
+
+
+@query(
+    "top_n_turns",
+    f"""WITH {TEXT_SQL}, r AS ({bm25_sql('', 10**9)}), m AS (SELECT r.query_id, r.doc_id, rank, kb_id FROM r JOIN tq ON tq.query_id = r.query_id JOIN td ON td.doc_id = r.doc_id WHERE rank <= 1 + item_id % 7),
+f AS (SELECT query_id, kb_id, min(rank) AS rank FROM m GROUP BY ALL), k AS (SELECT query_id, string_agg(kb_id, ',' ORDER BY rank) AS kb_ids FROM f GROUP BY query_id),
+g AS (SELECT query_id, string_agg(CAST(1 + doc_id % 9 AS VARCHAR), ',' ORDER BY rank) AS pages FROM m GROUP BY query_id)
+SELECT sha1('s' || item_id || '|' || tq.query_id) AS _id, md5(text) AS user_query, coalesce(kb_ids, '') AS kb_ids, coalesce(pages, '') AS pages FROM tq LEFT JOIN k ON k.query_id = tq.query_id LEFT JOIN g ON g.query_id = tq.query_id""",
+)
+def top_n_turns(spark, sf):
+    """Every question asks for its own number of chunks and leaves a turn."""
+    questions = _questions(spark, sf).withColumn("k", (1 + F.col("item_id") % 7).cast("int"))
+    docs = text_table(spark, sf)
+    hits = bm25.search(questions, docs).join(docs.select("doc_id", "kb_id", (1 + F.col("doc_id") % 9).alias("page")), "doc_id")
+    out = compose.turn_records(questions, hits)
+    pages = F.array_join(F.transform("matched_pages", lambda p: p.cast("string")), ",")
+    return out.select("_id", F.md5("user_query").alias("user_query"), F.array_join("matched_kb_ids", ",").alias("kb_ids"), pages.alias("pages"))

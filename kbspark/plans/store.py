@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking as ck, markdown as md, store
+from ..operators import chunking as ck, compose, markdown as md, store
 from ..session import scratch_path
 from ..sources.tables import load
 from .markup import MD_SQL, md_documents
@@ -22,16 +22,18 @@ def _stored(spark, sf):
 @query(
     "store_overwrite",
     """WITH s AS (SELECT doc_id, source AS kb_id, 'p' || (doc_id % 5) AS project_id, 'model-' || lang AS model_partition FROM documents),
-n AS (SELECT DISTINCT kb_id, project_id FROM s WHERE doc_id % 17 = 0)
+n AS (SELECT DISTINCT kb_id, project_id, model_partition FROM s WHERE doc_id % 17 = 0)
 SELECT model_partition, count(*) AS rows, count(*) FILTER (version = 'new') AS new_rows, CAST(sum(doc_id) AS BIGINT) AS checksum FROM (
-  SELECT doc_id, model_partition, 'old' AS version FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kb_id = s.kb_id AND n.project_id = s.project_id)
+  SELECT doc_id, model_partition, 'old' AS version FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kb_id = s.kb_id AND n.project_id = s.project_id AND EXISTS (SELECT 1 FROM n AS m WHERE m.model_partition = s.model_partition AND m.project_id = s.project_id))
   UNION ALL SELECT doc_id, model_partition, 'new' FROM s WHERE doc_id % 17 = 0) GROUP BY model_partition""",
 )
 def store_overwrite(spark, sf):
     path = scratch_path(spark, "store")
     stored = _stored(spark, sf)
     incoming = stored.where(F.col("n") % 17 == 0).withColumn("version", F.lit("new"))
-    store.write_store(store.overwrite_by_key(stored, incoming, ["kb_id", "project_id"]), path)
+    keys, partitions = ["kb_id", "project_id"], ["model_partition", "project_id"]
+    store.upsert(stored, path, keys, partitions)
+    store.upsert(incoming, path, keys, partitions)
     back = spark.read.parquet(path)
     return back.groupBy("model_partition").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("version") == "new").alias("new_rows"), F.sum("n").alias("checksum"))
 
@@ -73,9 +75,39 @@ def artifacts(spark, sf):
     return pages.join(sections, "document").select("document", F.size("pages").cast("long").alias("pages"), F.size("sections").cast("long").alias("sections"))
 
 
-@query("stored_files")
-def stored_files(spark, sf):
-    """Listing of the stored table files; contents are not read."""
-    from ..sources.files import list_stored
+FILE_SQL = """f AS (SELECT doc_id, 'SOURCE FILE: in/d' || doc_id || '.txt' AS h, regexp_replace(text, '\\s', '_', 'g') AS t FROM documents),
+w AS (SELECT *, chr(10) || t AS u, len(h) + 2 + len(t) AS n FROM f),
+c AS (SELECT doc_id, 0 AS i, CASE WHEN n <= 2000 THEN h || chr(10) || chr(10) || t ELSE h END AS x FROM w
+  UNION ALL SELECT doc_id, 1 + j, CASE WHEN j = 0 THEN substr(u, 2, 1999) ELSE substr(u, CAST(1800 * j + 1 AS INTEGER), 2000) END FROM (
+    SELECT *, unnest(range(1 + greatest(0, CAST(ceil((len(u) - 2000) / 1800.0) AS BIGINT)))) AS j FROM w WHERE n > 2000))"""
 
-    return list_stored(spark, sf, ".parquet").select(F.substring_index("path", "/", -1).alias("name"), "length")
+
+def _corpus(spark, sf):
+    """Documents without white space as text files, so that chunks are windows, and their entries."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("in/d"), k.cast("string"), F.lit(".txt")).alias("path")
+    docs = load(spark, sf, "documents")
+    entries = docs.select(
+        "doc_id", path, F.concat(F.lit("kb"), k.cast("string")).alias("kb_id"), F.concat(F.lit("p"), (k % 5).cast("string")).alias("project_id"),
+        F.when(k % 3 != 0, F.lit("cs-CZ")).alias("language"),
+    )
+    return docs.select("doc_id", path, F.regexp_replace("text", r"(?U)\s", "_").alias("text")), entries
+
+
+@query(
+    "ingest_corpus",
+    f"""WITH {FILE_SQL} SELECT 'kb' || doc_id || '_1_' || i AS _id, 'p' || (doc_id % 5) AS project_id, 'kb' || doc_id AS kb_id, md5(x) AS digest, i AS chunk_idx, CAST(1 AS BIGINT) AS page,
+  CASE WHEN doc_id % 3 != 0 THEN 'cs-CZ' ELSE 'en-US' END AS language, 'hashed_bag' AS model, CAST(256 AS BIGINT) AS dims FROM c""",
+)
+def ingest_corpus(spark, sf):
+    """Files are parsed, headed, chunked, embedded, described and stored; a second run replaces a third of the entries, whose first texts were other."""
+    path = scratch_path(spark, "corpus")
+    files, entries = _corpus(spark, sf)
+    again = F.col("doc_id") % 3 == 0
+    first = files.withColumn("text", F.when(again, F.concat(F.lit("old"), F.col("text"))).otherwise(F.col("text")))
+    compose.ingest(first.drop("doc_id"), entries.drop("doc_id"), path)
+    compose.ingest(files.where(again).drop("doc_id"), entries.where(again).drop("doc_id"), path)
+    return spark.read.parquet(path).select(
+        "_id", "project_id", "kb_id", F.md5("text").alias("digest"), F.col("metadata.chunk_idx").alias("chunk_idx"), F.col("metadata.page").alias("page"),
+        F.col("metadata.language").alias("language"), F.col("metadata.embedding_model").alias("model"), F.size("vector").cast("long").alias("dims"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import SOURCE_MIME
 from ..functions.text import lookup, strip
+from ..session import scratch_path, stored
 
 # --- stored paths --------------------------------------------------------------------------------------------
 
@@ -121,13 +122,14 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents of all files and the files that gave none, with the reason.
 
     Every parser sees only the files of its type; a type without a parser, an unsupported extension and an empty
-    result are rejected.
+    result are rejected. The documents are stored, so that no file is parsed again for the rejects or by the caller.
     """
     typed = with_source_type(files)
     documents = None
     for source_type, parser in PARSERS.items():
         part = parser(typed.where(F.col("source_type") == source_type)).where(strip(F.coalesce("text", F.lit(""))) != "")
         documents = part if documents is None else documents.unionByName(part)
+    documents = stored(documents, scratch_path(files.sparkSession, "parsed"))
     reason = (
         F.when(F.col("source_type").isNull(), "unsupported type")
         .when(~F.col("source_type").isin(*PARSERS), "no parser")
