@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 HEAVY = {"documents": "doc_id", "pages": "page_id"}
 
 
+SMALL_BYTES = 256 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a table that arrives in fewer partitions than there are cores.
+    """Use all cores for a small table that its few files would give to few tasks.
 
-    A table of many files already has more partitions than that and is left alone, so at scale nothing is shuffled.
-    Hashing by the key is repeatable after a lost task and spares later windows per key their exchange.
+    A table above SMALL_BYTES is left alone whatever the number of cores, so at scale nothing is shuffled. The rows are dealt by a hash of the
+    key and not by the key, so later joins and windows plan as for a large table. Hashing is repeatable after a lost task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, F.xxhash64(key)) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
