@@ -45,7 +45,8 @@ def _collect(key, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms:
     parts = held["parts"]
     for frame in frames:
         for row in frame.to_dict("records"):
-            parts.setdefault(str(row["chunk_index"]), row["text"] or "")
+            number, text = str(row["chunk_index"]), row["text"] or ""
+            parts[number] = min(parts.get(number, text), text)  # as in the batch form
             held["session"] = held["session"] or row["session_id"]
             if row["is_last_chunk"]:
                 found = row["matched"] if row["matched"] is not None else []
