@@ -43,3 +43,4 @@ SOURCE_MIME = {
     "txt": "text/plain",
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
 }
+MIME_SOURCE = {mime: source for source, mime in SOURCE_MIME.items()}

@@ -177,6 +177,20 @@ def cascade_delete(
     return remaining, counts
 
 
+def cascade(doomed: DataFrame, key: str, tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Delete what belongs to some keys from tables that all carry the key: sessions with their turns, entries with their chunks and files.
+
+    Returns the remaining tables and, for every key that had anything, how much of each table was deleted.
+    """
+    keys = doomed.select(key).distinct()
+    remaining, gone = {}, None
+    for name, table in tables.items():
+        remaining[name], deleted = delete_keys(table, keys, [key])
+        part = deleted.select(key, F.lit(name).alias("what"))
+        gone = part if gone is None else gone.unionByName(part)
+    return remaining, gone.groupBy(key).agg(*[F.count_if(F.col("what") == n).alias(f"deleted_{n}") for n in tables])
+
+
 def total_deleted(counts: DataFrame) -> DataFrame:
     """Counters of a bulk delete summed into one row."""
     names = [c for c in counts.columns if c.startswith("deleted_")]
@@ -207,6 +221,20 @@ def update_metadata(chunks: DataFrame, updates: DataFrame, struct_fields: list[s
 VERSIONS = {"kb": 2, "projects": 4, "sessions": 3, "turns": 2}
 
 
+def stamp_version(rows: DataFrame, version: int) -> DataFrame:
+    """Mark old rows and bring them to a version that changes no field; sessions and turns need no more."""
+    old = F.col("model_version") < version
+    return rows.withColumns({"migrated": old, "model_version": F.when(old, version).otherwise(F.col("model_version"))})
+
+
+def migrate_sessions(sessions: DataFrame, version: int = VERSIONS["sessions"]) -> DataFrame:
+    return stamp_version(sessions, version)
+
+
+def migrate_turns(turns: DataFrame, version: int = VERSIONS["turns"]) -> DataFrame:
+    return stamp_version(turns, version)
+
+
 def migrate_kb(kb: DataFrame, version: int = VERSIONS["kb"]) -> DataFrame:
     """Normalise the language of old entries and stamp the version."""
     old = F.col("model_version") < version

@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..constants import CRAWL_MAX_PAGES
+from ..constants import CRAWL_MAX_PAGES, MIME_SOURCE
 from ..functions import html, urls
-from ..functions.text import url_id
+from ..functions.text import lookup, url_id
 from ..session import scratch_path, stored
 
 
@@ -184,11 +184,8 @@ def crawl_plan(
 
 def crawl_records(visited: DataFrame, project_id: str, language: str) -> DataFrame:
     """Catalog entries of a crawl without uploading anything."""
-    types = {"text/html": "html", "application/pdf": "pdf"}
-    from ..functions.text import lookup
-
     return visited.select(
         url_id(F.lit(project_id), F.col("final_url")).alias("_id"), F.lit(project_id).alias("project_id"),
         F.coalesce(F.nullif(F.col("title"), F.lit("")), urls.base_name(F.col("final_url"))).alias("name"), F.lit(language).alias("language"),
-        F.col("final_url").alias("source_file"), lookup(types, F.col("mimetype")).alias("source_type"),
+        F.col("final_url").alias("source_file"), lookup(MIME_SOURCE, F.col("mimetype")).alias("source_type"),
     )

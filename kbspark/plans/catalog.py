@@ -277,6 +277,48 @@ def migrate_projects(spark, sf):
     return ok.select(*columns, F.when(F.col("migrated"), "migrated").otherwise("current").alias("outcome")).unionByName(bad.select(*columns, outcome))
 
 
+@query(
+    "migrate_sessions",
+    f"""WITH {SESSIONS_SQL}, {TURNS_SQL} SELECT 'session' AS what, _id, model_version < 3 AS migrated, CAST(greatest(model_version, 3) AS BIGINT) AS model_version FROM sessions
+UNION ALL SELECT 'turn', _id, l_orderkey % 3 < 2, CAST(greatest(l_orderkey % 3, 2) AS BIGINT) FROM turns""",
+)
+def migrate_sessions(spark, sf):
+    """Sessions and turns of several versions."""
+    columns = ["_id", "migrated", F.col("model_version").cast("long").alias("model_version")]
+    moved = cat.migrate_sessions(sessions(spark, sf)).select(F.lit("session").alias("what"), *columns)
+    old = turns(spark, sf).withColumn("model_version", F.col("l_orderkey") % 3)
+    return moved.unionByName(cat.migrate_turns(old).select(F.lit("turn").alias("what"), *columns))
+
+
+@query(
+    "cascade_sessions",
+    f"""WITH {SESSIONS_SQL}, {TURNS_SQL}, d AS (SELECT _id AS session_id FROM sessions WHERE CAST(substr(_id, 2) AS BIGINT) % 7 = 0)
+SELECT d.session_id, CAST(1 AS BIGINT) AS deleted_sessions, count(turns._id) AS deleted_turns FROM d LEFT JOIN turns ON turns.session_id = d.session_id GROUP BY d.session_id
+UNION ALL SELECT 'left', (SELECT count(*) FROM sessions WHERE _id NOT IN (SELECT session_id FROM d)), (SELECT count(*) FROM turns WHERE session_id NOT IN (SELECT session_id FROM d))""",
+)
+def cascade_sessions(spark, sf):
+    """Every seventh session goes with its turns."""
+    own = sessions(spark, sf).withColumn("session_id", F.col("_id"))
+    doomed = own.where(F.substring("_id", 2, 20).cast("long") % 7 == 0)
+    remaining, counts = cat.cascade(doomed, "session_id", {"sessions": own, "turns": turns(spark, sf)})
+    left = [remaining[n].select(F.lit(n).alias("what")) for n in ("sessions", "turns")]
+    left = left[0].unionByName(left[1]).groupBy().agg(*[F.count_if(F.col("what") == n).alias(f"deleted_{n}") for n in remaining])
+    return counts.unionByName(left.withColumn("session_id", F.lit("left")))
+
+
+@query(
+    "cascade_entries",
+    f"""WITH {KB_SQL}, c AS (SELECT 'kb' || doc_id AS kb_id FROM documents), d AS (SELECT _id AS kb_id FROM kb WHERE source_type = 'html')
+SELECT d.kb_id, CAST(1 AS BIGINT) AS deleted_kb, count(c.kb_id) AS deleted_chunks, CAST(1 AS BIGINT) AS deleted_blobs FROM d LEFT JOIN c ON c.kb_id = d.kb_id GROUP BY d.kb_id""",
+)
+def cascade_entries(spark, sf):
+    """Entries of one type go with their chunks and files."""
+    own = knowledge_base(spark, sf).withColumn("kb_id", F.col("_id"))
+    chunks = load(spark, sf, "documents").select(F.concat(F.lit("kb"), F.col("doc_id").cast("string")).alias("kb_id"))
+    tables = {"kb": own, "chunks": chunks, "blobs": own.select("kb_id", F.col("source_file").alias("path"))}
+    return cat.cascade(own.where(F.col("source_type") == "html"), "kb_id", tables)[1]
+
+
 @query(
     "first_user_query",
     f"""WITH {SESSIONS_SQL}, {TURNS_SQL}, f AS (
