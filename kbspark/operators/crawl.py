@@ -136,6 +136,7 @@ def crawl_plan(
     )
     known = None
     visits = None
+    places: list[str] = []  # of what each round keeps
     depth = 0
     while opts.max_depth is None or depth <= opts.max_depth:
         first = Window.partitionBy("crawl_id", "url").orderBy("visit_key")
@@ -159,21 +160,23 @@ def crawl_plan(
             claims = claims.where(F.col("final_url") == F.col("url")).unionByName(redirected.join(old, ["crawl_id", "final_url"], "left_anti"))
         fetched = claims.join(found, "final_url").withColumn("mimetype", urls.mime_type(F.col("final_url"), F.col("url"), F.col("content_type")))
         fetched = fetched.where(F.col("mimetype").isin(*opts.supported_mimetypes()))
-        fetched = stored(fetched, f"{base}/fetched/round={depth}")
-        # cut the level behind the last HTML page that still counts; the rank is bounded by max_pages below the shuffle
-        place = Window.partitionBy("crawl_id").orderBy("visit_key")
-        counted = fetched.where(is_html).select("crawl_id", "visit_key", "left").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= opts.max_pages)
-        used = counted.where(F.col("_n") <= F.col("left")).groupBy("crawl_id").agg(
-            F.count(F.lit(1)).alias("_used"), F.max(F.when(F.col("_n") == F.col("left"), F.col("visit_key"))).alias("_last")
-        )
-        kept = fetched.join(used, "crawl_id", "left").where(F.col("_last").isNull() | (F.col("visit_key") <= F.col("_last")))
-        kept = stored(kept.withColumn("depth", F.lit(depth).cast("long")), f"{base}/kept/round={depth}")
+        fetched = stored(fetched.withColumn("depth", F.lit(depth).cast("long")), f"{base}/fetched/round={depth}")
+        used = fetched.where(is_html).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("_used"), F.max("left").alias("_left"))
+        kept = fetched
+        if not used.where(F.col("_used") > F.col("_left")).isEmpty():
+            # cut the level behind the last HTML page that still counts; the rank is bounded by max_pages below the shuffle
+            place = Window.partitionBy("crawl_id").orderBy("visit_key")
+            counted = fetched.where(is_html).select("crawl_id", "visit_key", "left").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= opts.max_pages)
+            last = counted.where(F.col("_n") == F.col("left")).select("crawl_id", F.col("visit_key").alias("_last"))
+            kept = fetched.join(last, "crawl_id", "left").where(F.col("_last").isNull() | (F.col("visit_key") <= F.col("_last"))).drop("_last")
+            kept = stored(kept, f"{base}/kept/round={depth}")
+        places.append(f"{base}/{'fetched' if kept is fetched else 'kept'}/round={depth}")
         # every address of the level and every target of an admitted redirect is known from now on
         levels = spark.read.schema(level.schema).parquet(f"{base}/level")
         addresses = F.array_distinct(F.array("url", F.when(F.col("ok"), F.col("final_url")).otherwise(F.col("url"))))
         known = levels.select("crawl_id", F.explode(addresses).alias("url"))
-        visits = spark.read.schema(kept.schema).parquet(f"{base}/kept").drop("hrefs", "content_type")
-        parents = kept.where(is_html).withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0))).where(F.col("left") > 0)
+        visits = spark.read.schema(kept.schema).parquet(*places).drop("hrefs", "content_type")
+        parents = kept.where(is_html).join(used, "crawl_id").withColumn("left", F.col("left") - F.col("_used")).where(F.col("left") > 0)
         links = page_links(parents, ["crawl_id", "start_url", "visit_key", "left"])
         frontier = links.select(
             "crawl_id", "start_url", F.col("link").alias("url"), F.concat("visit_key", F.format_string("%06d", F.col("pos"))).alias("visit_key"), "left"
