@@ -88,6 +88,51 @@ def chunk_windows(spark, sf):
     return out.select("doc_id", "chunk_index", "char_start", "char_end", F.md5("text").alias("digest"))
 
 
+def _folded_sql(size, overlap, behind):
+    """Words a line, packed by their cut places. ``behind``: a place is behind the line break, else before it."""
+    shift = 0 if behind else 1
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ', chr(10), 'g') AS t FROM documents),
+w AS (SELECT doc_id, len(t) AS n, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+e AS (SELECT doc_id, i, least(n, sum(len(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - {shift}) AS e FROM w),
+p AS (SELECT doc_id, list_concat([0], list(CAST(e AS BIGINT) ORDER BY i)) AS pl FROM e GROUP BY doc_id),
+r AS (SELECT doc_id, pl, 0 AS k, CAST(1 AS BIGINT) AS lo, CAST(len(list_filter(pl, lambda x: x <= {size})) AS BIGINT) AS hi FROM p
+  UNION ALL SELECT doc_id, pl, k + 1, lo, CAST(len(list_filter(pl, lambda x: x <= pl[lo] + {size})) AS BIGINT) FROM (
+    SELECT doc_id, pl, k, CASE WHEN {overlap} = 0 THEN hi ELSE least(hi, 1 + len(list_filter(pl, lambda x: x < greatest(pl[hi] - {overlap}, pl[hi + 1] - {size})))) END AS lo FROM r WHERE hi < len(pl))),
+c AS (SELECT r.doc_id, k, t, pl[lo] + CASE WHEN lo > 1 THEN {shift} ELSE 0 END AS a, pl[hi] - CASE WHEN {shift} = 0 AND hi < len(pl) THEN 1 ELSE 0 END AS b FROM r JOIN d ON d.doc_id = r.doc_id)
+SELECT doc_id, CAST(k AS BIGINT) AS chunk_index, a AS char_start, b AS char_end, md5(substr(t, CAST(a + 1 AS INTEGER), CAST(b - a AS INTEGER))) AS digest FROM c WHERE b > a"""
+
+
+def _word_lines(spark, sf):
+    return documents(spark, sf).withColumn("text", F.replace(tx.collapse_space(F.col("text")), F.lit(" "), F.lit("\n")))
+
+
+@query("chunk_simple_words", _folded_sql(1200, 0, True))
+def chunk_simple_words(spark, sf):
+    """A word a line: every chunk ends behind the last word in reach. Texts and offsets are compared one by one."""
+    return ck.split_simple(_word_lines(spark, sf)).select("doc_id", "chunk_index", "char_start", "char_end", F.md5("text").alias("digest"))
+
+
+@query("chunk_recursive_words", _folded_sql(2000, 200, False))
+def chunk_recursive_words(spark, sf):
+    """The same with chunks that share whole words of up to 200 characters."""
+    return ck.split_recursive(_word_lines(spark, sf)).select("doc_id", "chunk_index", "char_start", "char_end", F.md5("text").alias("digest"))
+
+
+@query(
+    "chunk_hier_words",
+    "WITH RECURSIVE parents AS (" + _folded_sql(1200, 0, True).replace("md5(substr(t, CAST(a + 1 AS INTEGER), CAST(b - a AS INTEGER))) AS digest", "substr(t, CAST(a + 1 AS INTEGER), CAST(b - a AS INTEGER)) AS text") + "), "
+    + _folded_sql(700, 0, True).removeprefix("WITH RECURSIVE ").replace("regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ', chr(10), 'g') AS t FROM documents", "text AS t FROM (SELECT doc_id || '_L0_' || char_start || '_' || char_end AS doc_id, text FROM parents)")
+    .replace("SELECT doc_id, CAST(k AS BIGINT) AS chunk_index", "SELECT doc_id AS parent_chunk_id, CAST(k AS BIGINT) AS chunk_index"),
+)
+def chunk_hier_words(spark, sf):
+    """Children packed inside every parent, with the parent's id; offsets are relative to it here."""
+    rows = ck.split_hierarchical(_word_lines(spark, sf)).where(F.col("chunk_level") == "L1")
+    start = F.get(F.split("parent_chunk_id", "_"), F.lit(2)).cast("long")
+    return rows.select(
+        "parent_chunk_id", "chunk_index", (F.col("char_start") - start).alias("char_start"), (F.col("char_end") - start).alias("char_end"), F.md5("text").alias("digest")
+    )
+
+
 @query(
     "token_batches",
     """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
