@@ -105,10 +105,11 @@ def robots_allowed(rows: DataFrame, rules: DataFrame, agent: str, url: str = "ur
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_host", "_rules")
 
 
-def page_links(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Normalised links of pages with their ``hrefs``, in document order."""
+def page_links(pages: DataFrame, keep: list[str], link: Column | None = None) -> DataFrame:
+    """Normalised links of pages with their ``hrefs``, in document order; ``link`` is the expression for them if the caller has it."""
+    link = urls.normalise_url(F.col("final_url"), F.col("href")) if link is None else link
     rows = pages.select(*keep, "final_url", F.posexplode("hrefs").alias("pos", "href"))
-    return rows.withColumn("link", urls.normalise_url(F.col("final_url"), F.col("href"))).where(F.col("link").isNotNull())
+    return rows.withColumn("link", link).where(F.col("link").isNotNull())
 
 
 def crawl_plan(
@@ -129,25 +130,28 @@ def crawl_plan(
     moved = redirects.select("url", F.col("final_url").alias("_to"))
     start = F.col("start_url")
     is_html = F.col("mimetype") == "text/html"
-    # every row carries what its crawl may still visit, so no extra table follows the rounds
     frontier = seeds.select(
-        "crawl_id", F.col("url").alias("start_url"), urls.normalise_url(F.col("url"), F.lit("")).alias("url"), F.lit("").alias("visit_key"),
-        F.lit(opts.max_pages).cast("long").alias("left"),
+        "crawl_id", F.col("url").alias("start_url"), urls.normalise_url(F.col("url"), F.lit("")).alias("url"), F.lit("").alias("visit_key")
     )
+    # the rules are the same expressions in every round, so they are built once
+    url_ok, target_ok = admitted(F.col("url"), start, opts), admitted(F.col("final_url"), start, opts)
+    mimetype = urls.mime_type(F.col("final_url"), F.col("url"), F.col("content_type"))
+    supported, link = F.col("mimetype").isin(*opts.supported_mimetypes()), urls.normalise_url(F.col("final_url"), F.col("href"))
     known = None
     visits = None
     places: list[str] = []  # of what each round keeps
+    pages_seen = 0
     depth = 0
     while opts.max_depth is None or depth <= opts.max_depth:
         first = Window.partitionBy("crawl_id", "url").orderBy("visit_key")
         fresh = frontier.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
         if known is not None:
             fresh = fresh.join(known, ["crawl_id", "url"], "left_anti")
-        checked = fresh.withColumn("ok", admitted(F.col("url"), start, opts))
+        checked = fresh.withColumn("ok", url_ok)
         if rules is not None:
             checked = robots_allowed(checked, rules, agent).withColumn("ok", F.col("ok") & F.col("allowed")).drop("allowed")
         resolved = checked.join(moved, "url", "left").withColumn("final_url", F.coalesce("_to", "url")).drop("_to")
-        level = stored(resolved.withColumn("final_ok", F.col("ok") & admitted(F.col("final_url"), start, opts)), f"{base}/level/round={depth}")
+        level = stored(resolved.withColumn("final_ok", F.col("ok") & target_ok), f"{base}/level/round={depth}")
         if level.isEmpty():
             break
         # a URL goes to the first that claims it: as its own address or as the target of an admitted redirect
@@ -158,28 +162,34 @@ def crawl_plan(
             redirected = claims.where(F.col("final_url") != F.col("url"))
             old = known.withColumnRenamed("url", "final_url")
             claims = claims.where(F.col("final_url") == F.col("url")).unionByName(redirected.join(old, ["crawl_id", "final_url"], "left_anti"))
-        fetched = claims.join(found, "final_url").withColumn("mimetype", urls.mime_type(F.col("final_url"), F.col("url"), F.col("content_type")))
-        fetched = fetched.where(F.col("mimetype").isin(*opts.supported_mimetypes()))
+        fetched = claims.join(found, "final_url").withColumn("mimetype", mimetype).where(supported)
         fetched = stored(fetched.withColumn("depth", F.lit(depth).cast("long")), f"{base}/fetched/round={depth}")
-        used = fetched.where(is_html).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("_used"), F.max("left").alias("_left"))
-        kept = fetched
-        if not used.where(F.col("_used") > F.col("_left")).isEmpty():
-            # cut the level behind the last HTML page that still counts; the rank is bounded by max_pages below the shuffle
+        kept, ended = fetched, None
+        pages_seen += fetched.where(is_html).count()
+        if pages_seen >= opts.max_pages:
+            # some crawl may have reached its budget: cut each behind the last HTML page that still counts; the rank is bounded below the shuffle
+            left = F.lit(opts.max_pages).cast("long")
+            here = fetched.where(is_html).select("crawl_id", "visit_key")
+            if places:
+                earlier = spark.read.schema(fetched.schema).parquet(*places).where(is_html).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("_before"))
+                here, left = here.join(earlier, "crawl_id", "left"), left - F.coalesce("_before", F.lit(0))
             place = Window.partitionBy("crawl_id").orderBy("visit_key")
-            counted = fetched.where(is_html).select("crawl_id", "visit_key", "left").withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= opts.max_pages)
-            last = counted.where(F.col("_n") == F.col("left")).select("crawl_id", F.col("visit_key").alias("_last"))
-            kept = fetched.join(last, "crawl_id", "left").where(F.col("_last").isNull() | (F.col("visit_key") <= F.col("_last"))).drop("_last")
+            counted = here.withColumns({"_left": left, "_n": F.row_number().over(place)}).where(F.col("_n") <= opts.max_pages)
+            ended = counted.where(F.col("_n") == F.col("_left")).select("crawl_id", F.col("visit_key").alias("_last"))
+            kept = fetched.join(ended, "crawl_id", "left").where(F.col("_last").isNull() | (F.col("visit_key") <= F.col("_last"))).drop("_last")
             kept = stored(kept, f"{base}/kept/round={depth}")
-        places.append(f"{base}/{'fetched' if kept is fetched else 'kept'}/round={depth}")
+        places.append(f"{base}/{'fetched' if ended is None else 'kept'}/round={depth}")
         # every address of the level and every target of an admitted redirect is known from now on
         levels = spark.read.schema(level.schema).parquet(f"{base}/level")
         addresses = F.array_distinct(F.array("url", F.when(F.col("ok"), F.col("final_url")).otherwise(F.col("url"))))
         known = levels.select("crawl_id", F.explode(addresses).alias("url"))
         visits = spark.read.schema(kept.schema).parquet(*places).drop("hrefs", "content_type")
-        parents = kept.where(is_html).join(used, "crawl_id").withColumn("left", F.col("left") - F.col("_used")).where(F.col("left") > 0)
-        links = page_links(parents, ["crawl_id", "start_url", "visit_key", "left"])
+        parents = kept.where(is_html)
+        if ended is not None:
+            parents = parents.join(ended.select("crawl_id"), "crawl_id", "left_anti")
+        links = page_links(parents, ["crawl_id", "start_url", "visit_key"], link)
         frontier = links.select(
-            "crawl_id", "start_url", F.col("link").alias("url"), F.concat("visit_key", F.format_string("%06d", F.col("pos"))).alias("visit_key"), "left"
+            "crawl_id", "start_url", F.col("link").alias("url"), F.concat("visit_key", F.format_string("%06d", F.col("pos"))).alias("visit_key")
         )
         depth += 1
     return visits.select("crawl_id", "url", "final_url", "depth", "visit_key", "mimetype", "title")
