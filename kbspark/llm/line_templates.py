@@ -4,9 +4,9 @@ A line is parsed into tokens. The first level of the tree is the number of token
 digit are variable fields everywhere. Below a leaf a line stands for its own tokens and for the templates in which one of a few contiguous
 fields of the rest is variable. Templates are hashes, so a leaf is never gathered: its lines meet by grouping alone.
 
-A template recurs when it is found in enough documents that differ around it. Around a line means the smallest hash among the other lines
-of its document: copies of one document share it, boilerplate in unlike documents does not. So copies of whole documents keep their lines and
-are left to near-duplicate removal.
+A template recurs when it is found in enough unlike documents. Documents are alike if links between SimHash fingerprints join them, the same
+ones that near-duplicate removal goes by, so no line decides alone and lines that occur together do not hide each other. Copies of whole
+documents keep their lines and are left to near-duplicate removal.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, batches, extended, fresh, materialise, utf8
+from . import simhash
+from .common import BROADCAST_ROWS, batches, extended, fresh, materialise, small, utf8
 
 MIN_TOKENS = 3  # shorter lines are left alone
 LEADING = 3  # leading tokens in the tree
@@ -72,22 +73,24 @@ def _leaves(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(lookup):
-    """Of each line in one of the sorted leaves: its templates, with what is around the line."""
+    """Of each line in one of the sorted leaves: its templates, with the fingerprint of its document."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves = frozenset(lookup.value.tolist()) if lookup is not None else None
         for batch in batches(source, 256):
             rows: list[tuple[int, int, int]] = []
             for text in utf8(batch.column(0)):
-                lines = parsed(text)
-                low = sorted(lines)[:2]
-                for own, parts in lines.items():
+                own = []
+                for parts in parsed(text).values():
                     at = leaf(parts)
                     if leaves is None or at in leaves:
-                        around = [h for h in low if h != own]
-                        rows += [(at, t, around[0] if around else 0) for t in templates(parts)]
+                        own += [(at, t) for t in templates(parts)]
+                if own:
+                    fp = simhash.fingerprint(text)
+                    fp -= (fp >> 63) << 64
+                    rows += [(at, t, fp) for at, t in own]
             table = np.array(rows, dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_pydict({"leaf": table[:, 0], "template": table[:, 1], "around": table[:, 2]})
+            yield pa.RecordBatch.from_pydict({"leaf": table[:, 0], "template": table[:, 1], "fp": table[:, 2]})
 
     return run
 
@@ -96,17 +99,22 @@ def recurring(docs: DataFrame, text: str, min_docs: int = MIN_DOCS) -> DataFrame
     """Hashes of the recurring templates, stored: found in at least ``min_docs`` unlike documents, and at least every second of the documents
     that hold it unlike the others.
 
-    The leaves with fewer lines than that cannot hold one and go first, so that only their counts and not their templates are shuffled.
+    The leaves with fewer lines than that cannot hold one and go first, so that only their counts and not their templates are shuffled. Links
+    are looked for between the documents that have a line in one of the other leaves.
     """
     texts = docs.select(F.col(text).alias("text"))
     leaves = texts.mapInArrow(_leaves, "leaf long").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     leaves = materialise(leaves.select("leaf"), "line-leaves")
     lookup = sorted_values(leaves, "leaf")
-    members = texts.mapInArrow(_members(lookup), "leaf long, template long, around long")
+    members = texts.mapInArrow(_members(lookup), "leaf long, template long, fp long")
     if lookup is None:
         members = members.join(leaves, "leaf", "left_semi")
+    # copies with one fingerprint are one row here, so neither a hot document nor a hot line fills a task
+    held = materialise(members.groupBy("template", "fp").agg(F.count(F.lit(1)).alias("n")), "line-members")
+    roots = materialise(simhash.components(simhash.near_links(held.select("fp").distinct())), "line-roots")
     found = (
-        members.groupBy("template", "around").agg(F.count(F.lit(1)).alias("n"))
+        held.join(small(roots), F.col("fp") == F.col("node"), "left")
+        .groupBy("template", F.coalesce("root", "fp").alias("group")).agg(F.sum("n").alias("n"))
         .groupBy("template").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("unlike"))
         .where((F.col("unlike") >= min_docs) & (2 * F.col("unlike") >= F.col("docs"))).select("template")
     )

@@ -167,6 +167,26 @@ def test_line_dedup_with_too_many_templates_to_broadcast(spark, monkeypatch):
     assert [got[i] for i in range(len(texts) + 6)] == lines_left(texts + texts[:6], 8)
 
 
+def left_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_templates.dedup_lines(docs).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def own_line(r, n=9):
+    return " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+
+
+@pytest.mark.parametrize(("shared", "own"), [(2, 3), (5, 5), (10, 10), (10, 5)])
+def test_line_dedup_of_lines_that_occur_together(spark, shared, own):
+    r = random.Random(11)
+    block = [own_line(r) for _ in range(shared)]
+    mine = [[own_line(r) for _ in range(own)] for _ in range(40)]
+    copy = "\n".join(own_line(r, 40) for _ in range(6))
+    near = [f"{copy} {own_line(r, 1)}" for _ in range(20)]  # near copies keep their lines, like copies
+    assert left_of(spark, ["\n".join(block + m) for m in mine] + near + [copy]) == ["\n".join(m) for m in mine] + near + [copy]
+
+
 def test_line_dedup_query(spark):
     assert QUERIES["op9_line_dedup"](spark, SF).count() == 200
 
