@@ -96,8 +96,7 @@ def _members(lookup):
 
 
 def recurring(docs: DataFrame, text: str, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Hashes of the recurring templates, stored: found in at least ``min_docs`` unlike documents, and at least every second of the documents
-    that hold it unlike the others.
+    """Hashes of the recurring templates, stored: found in at least ``min_docs`` unlike documents, however many copies of some of them there are.
 
     The leaves with fewer lines than that cannot hold one and go first, so that only their counts and not their templates are shuffled. Links
     are looked for between the documents that have a line in one of the other leaves.
@@ -110,13 +109,12 @@ def recurring(docs: DataFrame, text: str, min_docs: int = MIN_DOCS) -> DataFrame
     if lookup is None:
         members = members.join(leaves, "leaf", "left_semi")
     # copies with one fingerprint are one row here, so neither a hot document nor a hot line fills a task
-    held = materialise(members.groupBy("template", "fp").agg(F.count(F.lit(1)).alias("n")), "line-members")
+    held = materialise(members.select("template", "fp").distinct(), "line-members")
     roots = materialise(simhash.components(simhash.near_links(held.select("fp").distinct())), "line-roots")
     found = (
         held.join(small(roots), F.col("fp") == F.col("node"), "left")
-        .groupBy("template", F.coalesce("root", "fp").alias("group")).agg(F.sum("n").alias("n"))
-        .groupBy("template").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("unlike"))
-        .where((F.col("unlike") >= min_docs) & (2 * F.col("unlike") >= F.col("docs"))).select("template")
+        .select("template", F.coalesce("root", "fp").alias("group")).distinct()
+        .groupBy("template").agg(F.count(F.lit(1)).alias("unlike")).where(F.col("unlike") >= min_docs).select("template")
     )
     return materialise(found, "line-templates")
 

@@ -187,6 +187,14 @@ def test_line_dedup_of_lines_that_occur_together(spark, shared, own):
     assert left_of(spark, ["\n".join(block + m) for m in mine] + near + [copy]) == ["\n".join(m) for m in mine] + near + [copy]
 
 
+def test_line_dedup_with_a_hot_copied_document(spark):
+    r = random.Random(12)
+    line = own_line(r)
+    hot, mine = [own_line(r) for _ in range(4)], [own_line(r) for _ in range(12)]
+    got = left_of(spark, ["\n".join([line, *hot])] * 60 + [f"{m}\n{line}" for m in mine])
+    assert got == ["\n".join(hot)] * 60 + mine
+
+
 def test_line_dedup_query(spark):
     assert QUERIES["op9_line_dedup"](spark, SF).count() == 200
 
