@@ -26,6 +26,8 @@ MIN_TOKENS = 3  # shorter lines are left alone
 LEADING = 3  # leading tokens in the tree
 FIELDS = 4  # fields of the rest that may vary, one at a time
 MIN_DOCS = 8  # unlike documents in which a recurring template is found
+LONG_TOKENS = 50  # lines from here on are passages
+LONG_DOCS = 3  # unlike documents in which a recurring passage is found
 VARIABLE = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
 
@@ -68,8 +70,8 @@ def parsed(text: bytes) -> dict[int, list[bytes]]:
 
 def _leaves(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(source):
-        found = [leaf(p) for text in utf8(batch.column(0)) for p in parsed(text).values()]
-        yield pa.RecordBatch.from_pydict({"leaf": pa.array(found, pa.int64())})
+        found = [(leaf(p), len(p) >= LONG_TOKENS) for text in utf8(batch.column(0)) for p in parsed(text).values()]
+        yield pa.RecordBatch.from_pydict({"leaf": pa.array([x for x, _ in found], pa.int64()), "long": pa.array([x for _, x in found], pa.bool_())})
 
 
 def _members(lookup):
@@ -78,43 +80,45 @@ def _members(lookup):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves = frozenset(lookup.value.tolist()) if lookup is not None else None
         for batch in batches(source, 256):
-            rows: list[tuple[int, int, int]] = []
+            rows: list[tuple[int, int, int, int]] = []
             for text in utf8(batch.column(0)):
                 own = []
                 for parts in parsed(text).values():
                     at = leaf(parts)
                     if leaves is None or at in leaves:
-                        own += [(at, t) for t in templates(parts)]
+                        own += [(at, t, len(parts) >= LONG_TOKENS) for t in templates(parts)]
                 if own:
                     fp = simhash.fingerprint(text)
                     fp -= (fp >> 63) << 64
-                    rows += [(at, t, fp) for at, t in own]
-            table = np.array(rows, dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_pydict({"leaf": table[:, 0], "template": table[:, 1], "fp": table[:, 2]})
+                    rows += [(*x, fp) for x in own]
+            table = np.array(rows, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_pydict({"leaf": table[:, 0], "template": table[:, 1], "long": table[:, 2] > 0, "fp": table[:, 3]})
 
     return run
 
 
 def recurring(docs: DataFrame, text: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """Hashes of the recurring templates, stored: found in at least ``min_docs`` unlike documents, however many copies of some of them there are.
+    For lines of ``LONG_TOKENS`` tokens on, ``LONG_DOCS`` documents are enough. A document without other lines counts like any other.
 
     The leaves with fewer lines than that cannot hold one and go first, so that only their counts and not their templates are shuffled. Links
     are looked for between the documents that have a line in one of the other leaves.
     """
     texts = docs.select(F.col(text).alias("text"))
-    leaves = texts.mapInArrow(_leaves, "leaf long").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    needed = F.when(F.col("long"), F.lit(min(min_docs, LONG_DOCS))).otherwise(F.lit(min_docs))
+    leaves = texts.mapInArrow(_leaves, "leaf long, long boolean").groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= needed)
     leaves = materialise(leaves.select("leaf"), "line-leaves")
     lookup = sorted_values(leaves, "leaf")
-    members = texts.mapInArrow(_members(lookup), "leaf long, template long, fp long")
+    members = texts.mapInArrow(_members(lookup), "leaf long, template long, long boolean, fp long")
     if lookup is None:
         members = members.join(leaves, "leaf", "left_semi")
     # copies with one fingerprint are one row here, so neither a hot document nor a hot line fills a task
-    held = materialise(members.select("template", "fp").distinct(), "line-members")
+    held = materialise(members.select("template", "long", "fp").distinct(), "line-members")
     roots = materialise(simhash.components(simhash.near_links(held.select("fp").distinct())), "line-roots")
     found = (
         held.join(small(roots), F.col("fp") == F.col("node"), "left")
-        .select("template", F.coalesce("root", "fp").alias("group")).distinct()
-        .groupBy("template").agg(F.count(F.lit(1)).alias("unlike")).where(F.col("unlike") >= min_docs).select("template")
+        .select("template", "long", F.coalesce("root", "fp").alias("group")).distinct()
+        .groupBy("template", "long").agg(F.count(F.lit(1)).alias("unlike")).where(F.col("unlike") >= needed).select("template")
     )
     return materialise(found, "line-templates")
 

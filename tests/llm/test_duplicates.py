@@ -195,6 +195,17 @@ def test_line_dedup_with_a_hot_copied_document(spark):
     assert got == ["\n".join(hot)] * 60 + mine
 
 
+def test_line_dedup_of_long_passages_and_of_one_line_documents(spark):
+    r = random.Random(13)
+    passage, short = own_line(r, 60), own_line(r)
+    mine = [own_line(r) for _ in range(8)]
+    logs = [f"connection was closed from {own_line(r, 1)} by the other host" for _ in range(12)]
+    texts = [f"{m}\n{passage}" for m in mine[:4]] + [f"{m}\n{short}" for m in mine[4:]] + logs
+    assert left_of(spark, texts) == mine[:4] + texts[4:8] + [""] * 12
+    copies = [f"{own_line(r, 60)}\n{mine[0]}"] * 9
+    assert left_of(spark, copies) == copies
+
+
 def test_line_dedup_query(spark):
     assert QUERIES["op9_line_dedup"](spark, SF).count() == 200
 
