@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line is parsed into tokens. The first level of the tree is the number of tokens, the next levels are the leading tokens; tokens that hold a
-digit are variable fields everywhere. Below a leaf a line stands for its own tokens and for the templates in which one of a few contiguous
+digit are variable fields everywhere. A template needs literal tokens: one of the leading tokens and half of all. Lines of numbers, which have
+too few of them, are compared by their exact tokens. Below a leaf a line stands for its own tokens and for the templates in which one of a few contiguous
 fields of the rest is variable. Templates are hashes, so a leaf is never gathered: its lines meet by grouping alone.
 
 A template recurs when it is found in enough unlike documents. Documents are alike if links between SimHash fingerprints join them, the same
@@ -30,16 +31,29 @@ LONG_TOKENS = 50  # lines from here on are passages
 LONG_DOCS = 3  # unlike documents in which a recurring passage is found
 VARIABLE = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 def _hash(parts: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(parts)) - (1 << 63)
 
 
+def _literals(parts: list[bytes]) -> list[bool]:
+    return [t != VARIABLE and _LETTER.search(t) is not None for t in parts]
+
+
+def _enough(literal: list[bool]) -> bool:
+    """Whether the literal tokens make a template."""
+    return any(literal[:LEADING]) and 2 * sum(literal) >= len(literal)
+
+
 def tokens(line: bytes) -> list[bytes]:
-    """Tokens of a line, those with a digit as variable fields."""
+    """Tokens of a line, those with a digit as variable fields; all as they are if too few literal ones would be left."""
     found = line.split()
-    return [VARIABLE if _DIGIT.search(t) else t for t in found] if _DIGIT.search(line) else found
+    if not _DIGIT.search(line):
+        return found
+    parts = [VARIABLE if _DIGIT.search(t) else t for t in found]
+    return parts if _enough(_literals(parts)) else found
 
 
 def leaf(parts: list[bytes]) -> int:
@@ -47,13 +61,19 @@ def leaf(parts: list[bytes]) -> int:
 
 
 def templates(parts: list[bytes]) -> list[int]:
-    """The templates that a line stands for: its own tokens, then one variable field each."""
+    """The templates that a line stands for: its own tokens, then one variable field each where enough literal tokens are left."""
     own = [_hash([b"0", *parts])]
     rest = len(parts) - LEADING
     if rest < FIELDS:
         return own
+    literal = _literals(parts)
+    if not _enough(literal):
+        return own
+    left = sum(literal)
     for j in range(FIELDS):
         a, b = LEADING + rest * j // FIELDS, LEADING + rest * (j + 1) // FIELDS
+        if 2 * (left - sum(literal[a:b])) < len(parts):
+            continue
         own.append(_hash([b"%d" % (j + 1), *parts[:a], *[VARIABLE] * (b - a), *parts[b:]]))
     return own
 
