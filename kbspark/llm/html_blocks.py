@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies each block by its length, the share of its characters in links and
 the share of stop words among its words; blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
-boilerplate by their place. In the second pass short and undecided blocks take the label of the nearest decided neighbours.
+boilerplate by their place. An article inside a wrapper that is only named so ends the wrapper's mark, if the page has no article outside. In the second pass short and undecided blocks take the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -65,13 +65,16 @@ class Block:
     heading: bool = False
     main: bool = False
     boilerplate: bool = False
+    level: int = 0  # wrappers around its article that are named like boilerplate
     label: str = ""
 
 
 @dataclass
 class _Open:
     tag: str
-    boilerplate: bool
+    boilerplate: bool  # by tag or role
+    named: bool  # by class or id
+    ends: bool  # an article that ends the marks of named wrappers
     skipped: bool
     main: bool
 
@@ -88,27 +91,28 @@ class _State:
         text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
         if text:
             inside = self.stack
+            at = max((k for k, o in enumerate(inside) if o.ends), default=0)
             self.blocks.append(Block(
                 text, len(_SPACE.sub(" ", html.unescape("".join(self.linked))).strip()), any(o.tag in HEADINGS for o in inside),
-                any(o.main for o in inside), any(o.boilerplate for o in inside),
+                any(o.main for o in inside), any(o.boilerplate for o in inside) or any(o.named for o in inside[at:]), sum(o.named for o in inside[:at]),
             ))
         self.parts, self.linked = [], []
 
 
-def _attributes(source: str, inside: bool) -> tuple[bool, bool, bool]:
-    """Whether attributes say boilerplate, hidden, or main text. A header inside an article is its own."""
-    boilerplate = hidden = main = False
+def _attributes(source: str, inside: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes say boilerplate by name or by role, hidden, or main text. A header inside an article is its own."""
+    named = boilerplate = hidden = main = False
     for m in _ATTRIBUTE.finditer(source):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             words = BOILERPLATE_WORDS.intersection(_NAME.findall(value))
-            boilerplate |= bool(words - {"header"}) or bool(words) and not inside
+            named |= bool(words - {"header"}) or bool(words) and not inside
         elif name == "role":
             boilerplate |= value in BOILERPLATE_ROLES
             main |= value in ("main", "article")
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
-    return boilerplate, hidden, main
+    return named, boilerplate, hidden, main
 
 
 def blocks(page: str) -> list[Block]:
@@ -142,19 +146,34 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS | SKIPPED_TAGS:
             continue
         inside = any(o.main for o in s.stack)
-        boilerplate, hidden, main = _attributes(m[3], inside) if m[3] else (False, False, False)
+        named, boilerplate, hidden, main = _attributes(m[3], inside) if m[3] else (False, False, False, False)
         wide = tag in ("body", "html")  # a class of the whole page says nothing about a block
-        named = boilerplate and not wide and tag not in MAIN_TAGS
+        main |= tag in MAIN_TAGS
         by_tag = tag in BOILERPLATE_TAGS and not (tag == "header" and inside)
-        s.stack.append(_Open(tag, named or by_tag, tag in SKIPPED_TAGS or hidden and not wide, tag in MAIN_TAGS or main))
+        s.stack.append(_Open(
+            tag, boilerplate and not wide and tag not in MAIN_TAGS or by_tag, named and not wide and not main, main and not wide and not named,
+            tag in SKIPPED_TAGS or hidden and not wide, main,
+        ))
         s.links += tag == "a"
         if tag in RAW_TAGS:
             end = _RAW_ENDS[tag].search(page, at)
             at = end.start() if end else len(page)
     s.end_block()
+    _end_marks(s.blocks)
     return s.blocks
 
 
+def _end_marks(found: list[Block]) -> None:
+    """Articles in the fewest named wrappers that hold text enough are the page's own; those in more stay boilerplate, as related pages are."""
+    chars: dict[int, int] = {}
+    for b in found:
+        if b.main and not b.boilerplate:
+            chars[b.level] = chars.get(b.level, 0) + len(b.text)
+    own = min((k for k in chars if chars[k] > LONG), default=min(chars, default=0))
+    for b in found:
+        b.boilerplate |= b.level > own
+
+
 def _end_same_kind(s: _State, tag: str) -> None:
     """A paragraph, item or cell that begins ends an open one of its kind, with the inline tags left open in it."""
     for k in range(len(s.stack) - 1, -1, -1):

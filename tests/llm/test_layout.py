@@ -212,6 +212,18 @@ def test_main_text(page, want):
     assert html_blocks.extract(page or "") == want
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "comments-open", "with-banner", "page' id='ad-free"])
+@pytest.mark.parametrize("tag", ["article", "main", "div role=main", "div role=article"])
+def test_main_text_inside_a_wrapper_named_like_boilerplate(name, tag):
+    story, end = f"<{tag}><p>{ARTICLE}</p><div class=ad>{ARTICLE}</div></{tag.split()[0]}>", ARTICLE.strip()
+    cards = f"<div class=related><article><p>{ARTICLE}</p></article></div>"
+    comments = f"<div id=comments><article class=comment-body><p>{ARTICLE}</p></article></div>"
+    assert html_blocks.extract(f"<body><div class='{name}'>{story}</div><nav>{ARTICLE}</nav>") == end
+    assert html_blocks.extract(f"<body><div class='{name}'>{story}{cards}{comments}<p>{ARTICLE}</p></div>") == end
+    assert html_blocks.extract(f"<body>{story}{cards}{comments}<aside class='{name}'>{story}</aside>") == end
+    assert html_blocks.extract(f"<body><p>{ARTICLE}</p>{comments}") == end
+
+
 def test_page_query(spark):
     import html
     import re
