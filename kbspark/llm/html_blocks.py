@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies each block by its length, the share of its characters in links and
 the share of stop words among its words; blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
-boilerplate by their place. An article inside a wrapper that is only named so ends the wrapper's mark, if the page has no article outside. In the second pass short and undecided blocks take the label of the nearest decided neighbours.
+boilerplate by their place. An article inside a wrapper that is only named so ends the wrapper's mark, if the page has no article outside. Inside an article a block with many
+links is undecided. In the second pass short and undecided blocks take the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -204,14 +205,15 @@ def first_pass(block: Block) -> str:
     if block.boilerplate:
         return "bad"
     n = len(block.text)
-    if block.links / n > LINKS:
+    dense = block.links / n > LINKS
+    if dense and not block.main:
         return "bad"
     words = _WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / (len(words) or 1)
     if n < SHORT:
         return "bad" if block.links and not block.main else "short"
     if stops >= STOPS_HIGH:
-        return "good" if n > LONG else "near"
+        return "good" if n > LONG and not dense else "near"
     if stops >= STOPS_LOW:
         return "near"
     return "near" if block.main else "bad"

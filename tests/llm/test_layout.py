@@ -224,6 +224,16 @@ def test_main_text_inside_a_wrapper_named_like_boilerplate(name, tag):
     assert html_blocks.extract(f"<body><p>{ARTICLE}</p>{comments}") == end
 
 
+def test_main_text_keeps_linked_titles_and_sentences():
+    title, sentence = "<h2><a href='#x'>Title</a></h2>", "<p>See <a href=y>what they had to say of it when it was first shown to all of us in the old house</a>.</p>"
+    plain = "See what they had to say of it when it was first shown to all of us in the old house."
+    story = f"{title}<p>{ARTICLE}</p>{sentence}<p>{ARTICLE}</p>{title}{sentence}"
+    want = "\n\n".join(["Title", ARTICLE.strip(), plain, ARTICLE.strip(), "Title", plain])
+    assert html_blocks.extract(f"<article>{story}</article>") == want
+    assert html_blocks.extract(f"<main>{story}</main><ul><li>{sentence}</ul>") == want
+    assert html_blocks.extract(f"<p>{ARTICLE}</p>{sentence}") == ARTICLE.strip()  # outside an article links say menu
+
+
 def test_page_query(spark):
     import html
     import re
