@@ -3,8 +3,9 @@
 Words of five make shingles. A window holds twice as many shingles as the templates of its size class and the next one begins half a window
 later, so every occurrence of a template lies wholly in some window. Each band is one MinHash value of the window's shingles; a window that
 contains at least eight tenths of its template has a similarity of 0.19 or more to it, so one of 64 bands agrees with a probability of at least
-1 - 0.81**64 > 0.999998. Windows and templates that share a band are verified exactly: the share of the template's distinct shingles that the
-window holds.
+1 - 0.81**64 > 0.999998. Templates too small for their class to reach that similarity are met by shingles instead: a window that lacks so few of
+a template's shingles as the containment allows holds one of any so many and one more. Windows and templates that share a band or such a
+shingle are verified exactly: the share of the template's distinct shingles that the window holds.
 
 A band can only agree on a shingle that both hold. So texts and windows without any shingle of a template go before bands are made, which
 changes no result.
@@ -12,6 +13,7 @@ changes no result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,6 +23,7 @@ from .common import fresh
 SHINGLE = 5
 BANDS = 64
 CONTAINMENT = 0.8
+SIMILAR = 0.19  # similarity from which bands find a template
 CLASSES = (8, 16, 32, 64, 128)  # shingles of the largest template of a class
 
 # Notices by which texts declare a license, and the first sentences of common license texts.
@@ -88,6 +91,13 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return out.withColumn("class", size)
 
 
+def keys(own: list[int], size: int, containment: float) -> list[int]:
+    """Shingles of which every window that holds enough of a template holds one; none for a template that bands find."""
+    need = max(1, math.ceil(containment * len(own) - 1e-9))
+    similar = need / (2 * size + len(own) - need)
+    return [] if similar >= SIMILAR else sorted(own)[: len(own) - need + 1]
+
+
 def scan(docs: DataFrame, key: str, text: str, texts: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """A row per document and license found: ``key``, ``license``, ``containment`` (the best of a window), ``windows`` (how many hold it) and
     ``first_word`` (where the first of these begins).
@@ -113,16 +123,24 @@ def scan(docs: DataFrame, key: str, text: str, texts: dict[str, str] = TEMPLATES
     # one expression gives a text's windows, so its words and shingles are made once
     made = let(words(F.col(text)), lambda w: let(shingles(w), of_text))
     windows = docs.select(F.col(key).alias("key"), F.inline(made))
-    banded = windows.select("*", F.explode(_bands("window")).alias("b")).select("key", "start", "class", "window", "b.band", "b.low")
-    index = known.select("license", "template", "class", F.explode(_bands("template")).alias("b")).select(
+    exact = {r["license"]: k for r in found if (k := keys(r["template"], r["class"], containment))}
+    single = lambda held: F.transform(held, lambda s: F.struct(F.lit(-1).alias("band"), s.alias("low")))
+    met_by, of_template = _bands("window"), _bands("template")
+    if exact:
+        listed = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+        met_by = F.concat(met_by, single(F.array_intersect("window", listed(sorted({s for k in exact.values() for s in k})))))
+        for name_of, own in exact.items():
+            of_template = F.when(F.col("license") == name_of, single(listed(own))).otherwise(of_template)
+    banded = windows.select("*", F.explode(met_by).alias("b")).select("key", "start", "class", "window", "b.band", "b.low")
+    index = known.select("license", "template", "class", F.explode(of_template).alias("b")).select(
         "license", "template", F.col("class").alias("t_class"), F.col("b.band").alias("t_band"), F.col("b.low").alias("t_low")
     )
     met = banded.join(
         F.broadcast(index), (F.col("class") == F.col("t_class")) & (F.col("band") == F.col("t_band")) & (F.col("low") == F.col("t_low"))
-    )  # the index has BANDS rows a template
+    )  # the index has at most BANDS rows a template, or those of its keys
     share = F.size(F.array_intersect("window", "template")) / F.size("template")
     kept = met.withColumn("share", share).where(F.col("share") >= containment).select("key", "start", "license", "share")
-    # several bands may find one window
+    # several bands or shingles may find one window
     once = kept.groupBy("key", "license", "start").agg(F.max("share").alias("share"))
     return once.groupBy("key", "license").agg(
         F.max("share").alias("containment"), F.count(F.lit(1)).alias("windows"), F.min("start").cast("long").alias("first_word")

@@ -235,5 +235,28 @@ def test_license_inside_other_text(spark, name):
     assert {d for d, _ in got} == {1, 5}
 
 
+def test_license_scan_misses_no_short_notice(spark):
+    """Every window of many documents, against the SQL."""
+    r = random.Random(15)
+    short = [licenses.TEMPLATES[k] for k in ("mit-short", "cc-by-nc-4-short", "apache-2.0-short")]
+    texts = [f"{own_line(r, r.choice([0, 0, 11]))} {short[i % 3]} {own_line(r, 40)}" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = licenses.scan(docs, "doc_id", "text")
+    ok, message = compare(got, con, licenses.oracle())
+    assert ok, message
+    assert got.select("doc_id").distinct().count() == len(texts)
+
+
+def test_license_keys_where_bands_would_miss():
+    for n in range(1, 129):
+        size = next(c for c in licenses.CLASSES if n <= c)
+        for containment in (0.5, 0.8, 1.0):
+            need = next(k for k in range(1, n + 1) if k >= containment * n - 1e-9)
+            got = licenses.keys(list(range(n)), size, containment)
+            assert len(got) > n - need if got else need / (2 * size + n - need) >= 0.19
+
+
 def test_license_scan_of_an_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
