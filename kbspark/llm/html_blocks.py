@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies each block by its length, the share of its characters in links and
 the share of stop words among its words; blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
-boilerplate by their place. An article inside a wrapper that is only named so ends the wrapper's mark, if the page has no article outside. Inside an article a block with many
-links is undecided. In the second pass short and undecided blocks take the label of the nearest decided neighbours.
+boilerplate by their place. An article inside a wrapper that is only named so ends the wrapper's mark, if the page has no article outside.
+Inside an article a block with many links is undecided. In the second pass short and undecided blocks take the label of the nearest decided
+neighbours.
 """
 
 from __future__ import annotations
