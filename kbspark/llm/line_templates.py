@@ -31,20 +31,21 @@ LONG_TOKENS = 50  # lines from here on are passages
 LONG_DOCS = 3  # unlike documents in which a recurring passage is found
 VARIABLE = b"<*>"
 _DIGIT = re.compile(rb"[0-9]")
-_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
+_NO_LETTERS = bytes(b for b in range(128) if b != 32 and not chr(b).isalpha())
 
 
 def _hash(parts: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(parts)) - (1 << 63)
 
 
-def _literals(parts: list[bytes]) -> list[bool]:
-    return [t != VARIABLE and _LETTER.search(t) is not None for t in parts]
+def _literal(parts: list[bytes]) -> int:
+    """How many tokens hold a letter and are not variable."""
+    return len(b" ".join(parts).translate(None, _NO_LETTERS).split())
 
 
-def _enough(literal: list[bool]) -> bool:
+def _enough(parts: list[bytes]) -> bool:
     """Whether the literal tokens make a template."""
-    return any(literal[:LEADING]) and 2 * sum(literal) >= len(literal)
+    return _literal(parts[:LEADING]) > 0 and 2 * _literal(parts) >= len(parts)
 
 
 def tokens(line: bytes) -> list[bytes]:
@@ -53,7 +54,7 @@ def tokens(line: bytes) -> list[bytes]:
     if not _DIGIT.search(line):
         return found
     parts = [VARIABLE if _DIGIT.search(t) else t for t in found]
-    return parts if _enough(_literals(parts)) else found
+    return parts if _enough(parts) else found
 
 
 def leaf(parts: list[bytes]) -> int:
@@ -66,13 +67,12 @@ def templates(parts: list[bytes]) -> list[int]:
     rest = len(parts) - LEADING
     if rest < FIELDS:
         return own
-    literal = _literals(parts)
-    if not _enough(literal):
-        return own
-    left = sum(literal)
+    left = _literal(parts)
+    if _DIGIT.search(b" ".join(parts)) or left < len(parts) and not _enough(parts):
+        return own  # digits are left in exact lines only
     for j in range(FIELDS):
         a, b = LEADING + rest * j // FIELDS, LEADING + rest * (j + 1) // FIELDS
-        if 2 * (left - sum(literal[a:b])) < len(parts):
+        if left < len(parts) and 2 * (left - _literal(parts[a:b])) < len(parts):
             continue
         own.append(_hash([b"%d" % (j + 1), *parts[:a], *[VARIABLE] * (b - a), *parts[b:]]))
     return own

@@ -211,6 +211,8 @@ def test_line_dedup_keeps_rows_of_numbers(spark):
     row = lambda: f"{r.randint(1, 99)} {r.random():.3f} {r.randint(1900, 2030)} {r.randint(0, 9)} {r.random():.3f} 7 {r.randint(0, 999)}"
     texts = [f"{own_line(r)}\n{row()}\n| {row()} |\nBern {row()}\n{own_line(r)}" for _ in range(20)]
     assert left_of(spark, texts) == texts
+    codes = [f"{own_line(r)}\nA1 B2 C3 D4 E5 F6 G{i}" for i in range(20)]
+    assert left_of(spark, codes) == codes
     same = [f"{own_line(r)}\n12 7.5 2019 3" for _ in range(10)]
     assert left_of(spark, same) == [x.split("\n")[0] for x in same]
 
