@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_blocks, licenses, line_templates, nearest, packing, pieces, quality_classifier, quality_rules, sharding, simhash
+from . import html_blocks, licenses, line_templates, nearest, packing, pieces, quality_classifier, quality_rules, sharding, simhash, spelling
 from .common import hash_sample, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.with_pieces(table(spark, sf_dir, "documents"), "text", with_ids=False)
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), pieces.SPACE, " ")
     return out.select("doc_id", "n_ids", "ids_crc32", (F.col("decoded_crc32") == F.crc32(F.encode(text, "UTF-8"))).alias("round_trip"))
+
+
+# The contract of op11 plants a misspelling where 31 divides the checksum.
+PLANTED_EVERY = 31
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), "doc_id", "text", drop_every=PLANTED_EVERY)
+    return spelling.variants(words.where(F.col("n") >= spelling.LEAST)).select("word", "form", "root", "n", "n_near", "form_n")
