@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_blocks, licenses, line_templates, nearest, packing, pieces, quality_classifier, quality_rules, sharding, simhash, spelling
+from . import alignment, html_blocks, licenses, line_templates, minhash, nearest, packing, pieces, quality_classifier, quality_rules, sharding, simhash, spelling
 from .common import hash_sample, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form and root of every word of the documents."""
     words = spelling.word_counts(table(spark, sf_dir, "documents"), "doc_id", "text", drop_every=PLANTED_EVERY)
     return spelling.variants(words.where(F.col("n") >= spelling.LEAST)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over links of sets that are alike to at least 80 per cent."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document between two tokenizers."""
+    out = alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
