@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences by non-negative least squares.
 
-Documents longer than a sequence are cut at whole sequences; what is left of each is one piece of 1 to 2047 ids. Piece lengths are counted in
-classes of a few ids. Combinations of up to three classes that fill a sequence are enumerated, and non-negative least squares finds how often
+Documents longer than a sequence are cut at whole sequences; what is left of each is one piece of 1 to 2047 ids. Short pieces of one length are
+laid together in bundles, so that rounding costs them nothing. Lengths of pieces and bundles are counted in classes of a few ids. Combinations of up to three classes that fill a sequence are enumerated, and non-negative least squares finds how often
 to repeat each so that together they use the counted pieces; the counts are rounded down. What they leave is packed greedily on the same
 histogram. The plan is as large as the histogram and does not grow with the data. Pieces then find their place by their number within their
 class.
@@ -22,6 +22,8 @@ from .common import batches, materialise, numbered, salt_count
 SEQUENCE = 2048
 END = 1
 UNIT = 8  # ids in a length class
+SHORT = 64  # pieces up to this length are bundled
+BUNDLE = 256  # ids in a bundle, at most
 DEPTH = 3
 VOCABULARY = "byte_bpe_50k"
 # A single space between two others is a boundary of the vocabulary's pattern, so what stands between such spaces can be encoded by itself.
@@ -31,11 +33,14 @@ _CACHE = 150_000  # encoded words that a worker keeps
 
 
 class _Words(dict):
-    """Ids of a word as bytes, encoded when first asked for."""
+    """Ids of a word as bytes, encoded when first asked for. ``added`` has the tokens that a text is cut at before anything else."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, added: dict[str, int]):
         super().__init__()
         self.encode = encode
+        self.added = {token: np.array([i], dtype="<u4").tobytes() for token, i in added.items()}
+        # of tokens that begin alike the longest is taken
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE:
@@ -50,22 +55,31 @@ _loaded: dict[str, _Words] = {}
 
 
 def encoder(vocabulary: str) -> _Words:
-    """The vocabulary of ``<vocabulary>.json`` in its rank file, which gives the same ids several times faster."""
+    """The vocabulary of ``<vocabulary>.json`` in its rank file, which gives the same ids several times faster; added tokens are those of the former."""
     if vocabulary not in _loaded:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _loaded[vocabulary] = _Words(encoding.encode_ordinary)
+        _loaded[vocabulary] = _Words(encoding.encode_ordinary, added)
     return _loaded[vocabulary]
 
 
 def encode(text: str, words: _Words) -> bytes:
-    """Ids of a text as little-endian unsigned 32-bit numbers, without the end."""
+    """Ids of a text as little-endian unsigned 32-bit numbers, without the end. A string of an added token in the text is that token."""
+    if words.cut is not None and words.cut.search(text):
+        return b"".join([words.added.get(part) or _encode(part, words) for part in words.cut.split(text)])
+    return _encode(text, words)
+
+
+def _encode(text: str, words: _Words) -> bytes:
     if not text:
         return b""
     first, *rest = _GAP.split(text) if _RUN.search(text) else text.split(" ")
@@ -208,16 +222,38 @@ def plan(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
     return out
 
 
+def bundles(short: np.ndarray, histogram: np.ndarray) -> list[tuple[int, ...]]:
+    """Bundles of short pieces, ``short[n]`` pieces of length n, counted into ``histogram``, a bundle as a piece of its class.
+
+    A row per length: (length, pieces, pieces in a full bundle, class of full bundles, the first's number in its class, and both for the last bundle,
+    which has the rest).
+    """
+    rows = []
+    for n in np.flatnonzero(short).tolist():
+        per = BUNDLE // n
+        full, rest = divmod(int(short[n]), per)
+        c, c_rest = -(-per * n // UNIT), -(-rest * n // UNIT)
+        first = int(histogram[c])
+        histogram[c] += full
+        rows.append((n, int(short[n]), per, c, first, c_rest, int(histogram[c_rest])))
+        if rest:
+            histogram[c_rest] += 1
+    return rows
+
+
 def pack(found: DataFrame) -> DataFrame:
     """Stored pieces with ``sequence_id`` and ``offset``. A sequence holds 2048 ids at most and is padded to that.
 
-    An empty table gives an empty one; repeated rows are packed as often as they come.
+    An empty table gives an empty one; repeated rows are packed as often as they come. Null keys are a key like any other.
     """
     spark = found.sparkSession
-    classed = found.withColumn("class", F.ceil(F.col("length") / UNIT).cast("int"))
+    is_short = F.col("length") <= SHORT
+    classed = found.withColumn("class", F.when(is_short, -F.col("length")).otherwise(F.ceil(F.col("length") / UNIT)).cast("int"))
     counted = classed.groupBy("class").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    histogram = np.zeros(SEQUENCE // UNIT + 1, dtype=np.int64)
-    histogram[counted["class"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    classes, n = counted["class"].to_numpy(dtype=np.int64), counted["n"].to_numpy(dtype=np.int64)
+    histogram, short = np.zeros(SEQUENCE // UNIT + 1, dtype=np.int64), np.zeros(SHORT + 1, dtype=np.int64)
+    histogram[classes[classes > 0]], short[-classes[classes < 0]] = n[classes > 0], n[classes < 0]
+    laid = bundles(short, histogram)
     rows, base, begin = [], 0, np.zeros(len(histogram), dtype=np.int64)
     for pattern, repeats in plan(histogram):
         for c, m in pattern.items():
@@ -225,10 +261,17 @@ def pack(found: DataFrame) -> DataFrame:
             begin[c] += m * repeats
         base += repeats
     where = spark.createDataFrame(rows or [(0, 0, 0, 1, 0)], "plan_class int, from_n long, to_n long, each long, base long")
-    placed = numbered(classed, ["class"], ["key", "text_hash", "start"], "n", salt_count(int(histogram.sum())))
-    inside = (F.col("class") == F.col("plan_class")) & (F.col("n") >= F.col("from_n")) & (F.col("n") < F.col("to_n"))
-    placed = placed.join(F.broadcast(where), inside).withColumn("sequence_id", F.col("base") + F.floor((F.col("n") - F.col("from_n")) / F.col("each")))
-    before = Window.partitionBy("sequence_id").orderBy("class", "n").rowsBetween(Window.unboundedPreceding, -1)
+    together = spark.createDataFrame(laid or [(0, 0, 1, 0, 0, 0, 0)], "of_length int, pieces long, per long, full_class int, full_first long, rest_class int, rest_number long")
+    placed = numbered(classed, ["class"], ["key", "text_hash", "start"], "n", salt_count(int(n.sum())))
+    placed = placed.join(F.broadcast(together), -F.col("class") == F.col("of_length"), "left")  # a row per short length
+    bundle = F.floor(F.col("n") / F.col("per"))
+    in_full = (bundle + 1) * F.col("per") <= F.col("pieces")
+    unit_class = F.when(F.col("class") > 0, F.col("class")).when(in_full, F.col("full_class")).otherwise(F.col("rest_class"))
+    unit_number = F.when(F.col("class") > 0, F.col("n")).when(in_full, F.col("full_first") + bundle).otherwise(F.col("rest_number"))
+    placed = placed.withColumns({"unit_class": unit_class, "unit_n": unit_number})
+    inside = (F.col("unit_class") == F.col("plan_class")) & (F.col("unit_n") >= F.col("from_n")) & (F.col("unit_n") < F.col("to_n"))
+    placed = placed.join(F.broadcast(where), inside).withColumn("sequence_id", F.col("base") + F.floor((F.col("unit_n") - F.col("from_n")) / F.col("each")))
+    before = Window.partitionBy("sequence_id").orderBy("unit_class", "unit_n", "n").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(*found.columns, "sequence_id", "offset")
 
 

@@ -92,15 +92,15 @@ def test_sharding_on_edge_rows(spark):
 # --- packing
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
-ODD = [None, "", " ", "  ", "a  b", " a", "a ", "x\n y", "x \ny", "don't  't 's", "a\tb c", "nbsp a b", " 　 x", "\x1c \x1d x y", "é ü\r\n 12 3", "日本 語🙂 ok"]
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|><|endoftext|>", "<|endoftext|", "x <|endoftext|>\n\n y"]
+ODD = [*SPECIAL, None, "", " ", "  ", "a  b", " a", "a ", "x\n y", "x \ny", "don't  't 's", "a\tb c", "nbsp a b", " 　 x", "\x1c \x1d x y", "é ü\r\n 12 3", "日本 語🙂 ok"]
 
 
 def test_encoding_is_that_of_the_tokenizer():
     words = packing.encoder(packing.VOCABULARY)
     r = random.Random(8)
     noise = ["".join(r.choices(" \n\t 　\x85ab'!1é語", k=r.randint(1, 40))) for _ in range(2000)]
-    for text in [*(t for _, t in DOCS), *ODD[1:], *noise]:
+    for text in [*(t or "" for _, t in DOCS), *(t or "" for t in ODD), *noise]:
         ids = np.frombuffer(packing.encode(text, words), dtype="<u4").tolist()
         assert ids == TOKENIZER.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -144,6 +144,22 @@ def test_packing_on_edge_rows(spark):
     assert sum(r.length for r in again) == 2 * again[0].doc_tokens
 
 
+@pytest.mark.parametrize("words", [["a"], ["a", "a b c", "a b c d e f g h i j", "w " * 100], ["a b c d e f g"]])
+def test_short_texts_fill_their_sequences(spark, words):
+    texts = {k: words[k % len(words)] for k in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = packing.pack_documents(docs, "doc_id", "text").collect()
+    packed_right(got, texts)
+    least = -(-sum(r.length for r in got) // 2048)
+    assert len({r.sequence_id for r in got}) <= least * 1.02 + 1
+
+
+def test_null_keys_are_packed(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "c"), (3, None)], "doc_id long, text string")
+    got = packing.pack_documents(docs, "doc_id", "text").collect()
+    assert len(got) == 4 and sorted(r.offset for r in got) == [0, *np.cumsum([r.length for r in sorted(got, key=lambda r: r.offset)])[:-1]]
+
+
 def test_least_squares_and_plan():
     r = np.random.default_rng(3)
     columns = packing.combinations(12)
