@@ -65,8 +65,18 @@ def counts(text: bytes) -> tuple[int, ...]:
     )
 
 
+def free_prefix(df: DataFrame, prefix: str = "") -> str:
+    """``prefix``, behind as many underscores as it takes that no new column has the name of one of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while taken.intersection(prefix + x for x in (*BASE, *MORE, "base_failed", "rule", "kept")):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def with_counts(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """``df`` with the counts of its texts as long columns; a null text counts as empty."""
+    """``df`` with the counts of its texts as long columns under :func:`free_prefix`; a null text counts as empty. Repeated rows get the same
+    counts, an empty table stays empty."""
+    prefix = free_prefix(df, prefix)
     names = [prefix + x for x in (*BASE, *MORE)]
     schema = extended(df, **dict.fromkeys(names, "long"))
     at = df.columns.index(text)
@@ -192,13 +202,16 @@ def learn(
     return out
 
 
-def fit(labelled: DataFrame, text: str, bad: Column, key: Column, **options) -> DecisionList:
+def fit(labelled: DataFrame, text: str, bad: Column, key: Column, after_base: bool = False, **options) -> DecisionList:
     """Learn from labelled documents, of which the caller gives a bounded sample; rows with a null label are left out.
 
-    Only their statistics come to the driver. Without bad rows the list is empty.
+    Only their statistics come to the driver. Without bad rows the list is empty. With ``after_base`` no rule is spent on rows that the base
+    test rejects.
     """
     chosen = labelled.select(F.col(text).alias("text"), bad.cast("boolean").alias("bad"), F.xxhash64(key).alias("at")).where("bad IS NOT NULL")
     chosen = with_counts(chosen, "text")
+    if after_base:
+        chosen = chosen.where(~base_failed())
     names = list(TESTED)
     got = chosen.select("at", "bad", *[tested(n).alias(n) for n in names]).toPandas().sort_values(["at", *names])
     return learn(got[names].to_numpy(dtype=float).reshape(-1, len(names)), got["bad"].to_numpy(dtype=bool), names, **options)
@@ -208,10 +221,17 @@ def apply_rules(df: DataFrame, text: str, rules: DecisionList, prefix: str = "")
     """``df`` with the counts, ``base_failed``, ``rule`` (0: none) and ``kept``.
 
     A null or empty text has no words and fails the base test. Repeated rows get the same answer; an empty table stays empty. The new columns
-    take ``prefix`` where names would clash.
+    take ``prefix``, or what :func:`free_prefix` makes of it where names would clash.
     """
+    prefix = free_prefix(df, prefix)
     out = with_counts(df, text, prefix)
     failed = base_failed(prefix)
     return out.withColumns({prefix + "base_failed": failed, prefix + "rule": rules.rule_number(prefix)}).withColumn(
         prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "rule") == 0)
     )
+
+
+def passing(df: DataFrame, text: str, rules: DecisionList) -> DataFrame:
+    """The rows of ``df`` that pass the base test and that no rule rejects, with the columns of ``df``, whatever their names."""
+    prefix = free_prefix(df, "rule_")
+    return apply_rules(df, text, rules, prefix).where(F.col(prefix + "kept")).select(*df.columns)

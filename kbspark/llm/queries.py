@@ -23,10 +23,14 @@ def query(fn: Query) -> Query:
 
 
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, rows: int, good: str) -> DataFrame:
-    """``text``, ``doc_id`` and ``good`` of a bounded sample of labelled documents; the sample is chosen among the labels and broadcast."""
+    """``text``, ``doc_id`` and ``good`` of a bounded sample of labelled documents; the sample is chosen among the labels and broadcast.
+
+    A label has one text, the one with the smallest hash, however many rows of ``docs`` have its id: the sample stays bounded.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.expr(good).alias("good")).where("good IS NOT NULL AND doc_id IS NOT NULL")
     sample = hash_sample(labels, F.col("doc_id"), rows).groupBy("doc_id").agg(F.min("good").alias("good"))
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("good").alias("good"))
 
 
 # A document is wanted if its label says good quality and nothing toxic; the bits of ``good`` say which of the two holds.
@@ -50,7 +54,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def learned_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_rules.DecisionList:
     """Rules that find documents labelled as of bad quality and pass the base tests."""
-    return quality_rules.fit(labelled(spark, docs, sf_dir, quality_rules.FIT_ROWS, "quality = 1"), "text", ~F.col("good"), F.col("doc_id"))
+    sample = labelled(spark, docs, sf_dir, quality_rules.FIT_ROWS, "quality = 1")
+    return quality_rules.fit(sample, "text", ~F.col("good"), F.col("doc_id"), after_base=True)
 
 
 @query

@@ -114,6 +114,34 @@ def test_clashing_names(spark):
     assert row["kept"] == 7 and row["quality"] == "p" and row["_kept"] is True
 
 
+def test_rules_leave_clashing_columns_alone(spark):
+    rows = [(i, t, "x", 1, 2, 3) for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, Rule_n_words int, kept int, rule_kept int")
+    rules = qr.DecisionList([qr.Rule([("digit_share", ">", 0.1)])])
+    out = qr.apply_rules(docs, "text", rules)
+    assert out.columns[: len(docs.columns)] == docs.columns and "_kept" in out.columns and out.count() == len(TEXTS)
+    left = qr.passing(docs, "text", rules)
+    assert left.columns == docs.columns and left.count() == 0
+    assert qr.passing(docs, "text", qr.DecisionList()).first().asDict() == docs.where("doc_id = 10").first().asDict()
+
+
+def test_rules_after_the_base_test(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(words[i % 9 :]) + (" 1234567890" * 40 if i % 4 == 0 else ""), i % 4 != 0) for i in range(400)]
+    rows += [(1000 + i, "short text", False) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(3)
+    rules = qr.fit(docs, "text", ~F.col("good"), F.col("doc_id"), after_base=True)
+    assert rules.rules and all(r.covered <= 100 for r in rules.rules)
+    assert qr.passing(docs, "text", rules).count() == 300
+
+
+def test_labelled_sample_has_one_text_per_label(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "same"), (1, "same"), (1, "other"), (2, None), (3, "x"), (4, "y")] + [(1, f"text {i}") for i in range(200)], "doc_id long, text string")
+    got = labelled(spark, docs, str(tmp_path), 100, "quality = 1").collect()
+    assert sorted(r.doc_id for r in got) == [1, 2]
+
+
 def test_queries_keep_every_document(spark):
     for name in ("op1_quality_rules", "op2_quality_classifier"):
         got = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()

@@ -151,7 +151,7 @@ def test_short_texts_fill_their_sequences(spark, words):
     got = packing.pack_documents(docs, "doc_id", "text").collect()
     packed_right(got, texts)
     least = -(-sum(r.length for r in got) // 2048)
-    assert len({r.sequence_id for r in got}) <= least * 1.02 + 1
+    assert len({r.sequence_id for r in got}) <= least * 1.05 + (len(words) > 1)
 
 
 def test_null_keys_are_packed(spark):
@@ -250,6 +250,54 @@ def test_main_text_keeps_linked_titles_and_sentences():
     assert html_blocks.extract(f"<p>{ARTICLE}</p>{sentence}") == ARTICLE.strip()  # outside an article links say menu
 
 
+ITALIAN = (
+    "La mattina di quel giorno il vecchio non era più nella casa sul fiume, e per questo la gente del paese si mise a cercare di lui con la luce che "
+    "c'era, ma non trovò che le scarpe e il cappello di paglia, e una lettera che era di sua mano. "
+)
+CHINESE = "这是一个关于老人和他的船的故事，他在河边住了很多年，没有人知道他是从什么地方来的，也没有人问他。每天早上他都会把船推到水里，然后在那里等到太阳下山的时候才回家。他说他不是在等鱼，他是在等一个人，那个人很久以前说过会回来的。"
+FOREIGN = {"it": [ITALIAN * 2, ITALIAN + "Poi il sole scese e la gente se ne andò, e di lui non si seppe più nulla per anni e anni. " * 2], "zh": [CHINESE, CHINESE[20:] + CHINESE[:20]]}
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='page has-sidebar'>", "<div class='post comments-open'>", "<div class='content with-header'>", "<form action=x>",
+                                     "<div class='page has-sidebar'><form><div id='login-page' class='comments-open'>", "<div>"])
+@pytest.mark.parametrize("language", ["en", "it", "zh"])
+@pytest.mark.parametrize("title", ["", "<h1>Title</h1>"])
+def test_pages_without_an_article_element(wrapper, language, title):
+    texts = [p.strip() for p in FOREIGN.get(language, [ARTICLE, ARTICLE + "And so it was to be for them."])]
+    story = title + "".join(f"<p>{t}</p>" for t in texts)
+    want = "\n\n".join((["Title"] if title else []) + texts)
+    menu = "<ul class=menu>" + "".join(f"<li><a href={i}>Menu entry {i}</a>" for i in range(9)) + "</ul>"
+    side = f"<div class=sidebar><p>{texts[0]}</p></div>" if title else ""
+    comments = "".join(f"<div class='{c}'><p>{texts[0]}</p></div>" for c in ("discussion", "usercomments", "comments")) if title else "<div class=usercomments><p>Nice.</p></div>"
+    page = f"<body>{menu}{wrapper}{story}{side}</form>{'</div>' * 2}{comments}<footer>{texts[0]}</footer>" if "<form" in wrapper else f"<body>{menu}{wrapper}{story}{side}</div>{comments}<footer>{texts[0]}</footer>"
+    assert html_blocks.extract(page if title else page.replace(side, "")) == want
+
+
+def test_related_articles_beside_a_story_in_a_marked_wrapper():
+    related = f"<div class=related><article><p>{ARTICLE}</p></article></div>"
+    page = f"<body><div class='page has-sidebar'><h1>Title</h1><p>{ARTICLE}</p><p>{ARTICLE}</p>{related}</div>"
+    assert html_blocks.extract(page) == "\n\n".join(["Title", ARTICLE.strip(), ARTICLE.strip()])
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<b>", "<p><b>", "<a '>' ", "<a \"", "</p>", "<head><div>", "<li><b><i>", "<div class=menu>", "<article>", "<form>", "<!", "<h1><a>x", "&amp", "<div>x",
+                                  "<div><p><b>x</b>", "<script>", "<"])
+def test_reading_takes_linear_time(part):
+    import time
+
+    page = f"<body><p>{ARTICLE}</p>" + part * (500_000 // len(part))
+    start = time.process_time()
+    html_blocks.extract(page)
+    assert time.process_time() - start < 5
+
+
+def test_tags_with_signs_in_quotes_and_left_open():
+    for tag in ("<a title='>'>", "<a title=\"a > b\" href='<'>", "<a\nhref=x>", "<a x='\">\"'>", "<a<b>"):
+        assert html_blocks.blocks(f"<p>one {tag}two</p>")[0].text == "one two"
+    assert html_blocks.blocks("<p>a < b and <c</p>")[0].text.startswith("a < b and")
+    assert html_blocks.blocks("<p>it's one <b>two</b> that's 'three'")[0].text == "it's one two that's 'three'"
+    assert html_blocks.blocks("<p>x <a ' y")[0].text == "x <a ' y"
+
+
 def test_page_query(spark):
     import html
     import re
