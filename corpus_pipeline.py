@@ -18,7 +18,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base tests and the learned rules."""
     rules = learned_rules(prepare(spark), docs, sf_dir)
-    return quality_rules.apply_rules(docs, "text", rules, prefix="rule_").where("rule_kept").select(*docs.columns)
+    return quality_rules.passing(docs, "text", rules)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
