@@ -80,6 +80,17 @@ class Pack:
         self.start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.base, self.slope = k1b  # tf / (tf + base + slope * dl)
 
+    def only(self, queries: np.ndarray) -> Pack:
+        """The same vocabulary with some of the queries, numbered anew."""
+        number = np.full(self.n, -1)
+        number[queries] = np.arange(len(queries))
+        kept = number[self.query] >= 0
+        out = object.__new__(Pack)
+        out.vocabulary, out.n, out.base, out.slope = self.vocabulary, len(queries), self.base, self.slope
+        out.query, out.weight = number[self.query[kept]], self.weight[kept]
+        out.start = np.concatenate([[0], np.cumsum(kept)])[self.start].astype(np.int64)
+        return out
+
 
 class Docs:
     """Token lists of a batch as one flat array with offsets."""
@@ -122,14 +133,19 @@ def _scores(pack: Pack, docs: Docs) -> np.ndarray:
     doc_of = np.repeat(np.arange(n_docs), docs.lengths)
     hit = codes >= 0
     pair, tf = np.unique(doc_of[hit] * width + codes[hit], return_counts=True)
-    doc, term = pair // width, pair % width
-    saturation = tf / (tf + pack.base + pack.slope * docs.lengths[doc])
+    return accumulate(pack, pair // width, pair % width, tf, docs.lengths)
+
+
+def accumulate(pack: Pack, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """BM25 of every query and document from postings (document, term of the pack, occurrences); -inf where no term matches."""
+    n_docs = len(lengths)
+    saturation = tf / (tf + pack.base + pack.slope * lengths[doc])
     out = np.zeros(pack.n * n_docs)
     fan = pack.start[term + 1] - pack.start[term]
     # expand (doc, term) to the queries of the term, a bounded slice at a time
     edges = np.concatenate([[0], np.cumsum(fan)])
     lo = 0
-    while lo < len(pair):
+    while lo < len(doc):
         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + topk.MAX_CELLS, side="right")) - 1)
         f = fan[lo:hi]
         slots = np.repeat(pack.start[term[lo:hi]] - np.concatenate([[0], np.cumsum(f)[:-1]]), f) + np.arange(f.sum())
@@ -231,7 +247,7 @@ def search(
     kcol = F.col("k").cast("int") if "k" in queries.columns else F.lit(k)
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), kcol.alias("k"), topk.key_column(by).alias("_key"), "text", *by)
     q = q.groupBy("query_id", "_key", *by).agg(F.min("text").alias("text"), F.max("k").alias("k")).withColumn("terms", tokens(F.col("text"))).drop("text")
-    rows = topk.matching(docs, q, by).select("doc_id", topk.key_column(by).alias("_key"), tokens(F.col("text")).alias("tokens"))
+    rows = topk.matching(docs, q, by).select("doc_id", topk.key_column(by).alias("_key"), tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
     q = q.drop(*by)
     id_type = topk.id_type_of(docs)
     vocabulary = q.select(F.explode("terms").alias("term")).distinct()

@@ -40,13 +40,14 @@ class LocalTopK:
         self.values: list[np.ndarray] = [np.empty(0)] * len(k)
         self.ids: list[np.ndarray | None] = [None] * len(k)
 
-    def add(self, values: np.ndarray, ids: np.ndarray) -> None:
-        """``values`` is queries x rows; ``-inf`` marks rows that do not match."""
+    def add(self, values: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """``values`` is queries x rows, for all queries or those numbered in ``queries``; ``-inf`` marks rows that do not match."""
         if values.shape[1] == 0:
             return
-        best = values.max(axis=1)
-        for q in np.flatnonzero((best >= self.floor) & (best > -np.inf)):
-            row, k = values[q], int(self.k[q])
+        best, floor = values.max(axis=1), self.floor if queries is None else self.floor[queries]
+        for line in np.flatnonzero((best >= floor) & (best > -np.inf)):
+            q = line if queries is None else queries[line]
+            row, k = values[line], int(self.k[q])
             limit = max(self.floor[q], np.partition(row, -k)[-k]) if row.size > k else self.floor[q]
             keep = np.flatnonzero((row >= limit) & (row > -np.inf))
             merged = np.concatenate([self.values[q], row[keep]])

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..constants import BM25_B, BM25_K1
 from ..functions.vectors import dot, knn_score, normalise
-from ..operators import bm25, compose, fusion, knn
+from ..operators import bm25, compose, fusion, knn, postings, vector_index
+from ..session import scratch_path
 from ..sources.tables import load
 from .catalog import CONV_TURNS_SQL, conversation_turns
 from .registry import query
@@ -267,6 +268,82 @@ def phrase_hits(spark, sf):
     return bm25.search(text_queries(spark, sf), text_table(spark, sf), phrase=True)
 
 
+# --- stored indexes ------------------------------------------------------------------------------------------
+
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(spark, sf, name, write):
+    """The folder of an index over the given tables; it is written when a session first asks for it, and searched by all later queries."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _indexes:
+        path = scratch_path(spark, name)
+        write(path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+def text_index(spark, sf):
+    return stored_index(spark, sf, "text-index", lambda path: postings.write(text_table(spark, sf), path, ("project_id",)))
+
+
+@query("bm25_index_topk", f"WITH {TEXT_SQL} {bm25_sql('')}")
+def bm25_index_topk(spark, sf):
+    return postings.search(text_queries(spark, sf), text_index(spark, sf))
+
+
+@query("bm25_index_filtered", f"WITH {TEXT_SQL} {bm25_sql('WHERE qt.project_id = tf.project_id')}")
+def bm25_index_filtered(spark, sf):
+    return postings.search(text_queries(spark, sf), text_index(spark, sf), by=("project_id",))
+
+
+@query("phrase_index_hits", PHRASE_SQL)
+def phrase_index_hits(spark, sf):
+    return postings.search(text_queries(spark, sf), text_index(spark, sf), phrase=True)
+
+
+@query("index_statistics", f"WITH {TEXT_SQL} SELECT term, df, CAST(NULL AS BIGINT) AS tokens FROM df UNION ALL SELECT '', n, CAST((SELECT count(*) FROM occ) AS BIGINT) FROM tot")
+def index_statistics(spark, sf):
+    """Document frequencies from the index, without reading a text."""
+    return postings.statistics(spark, text_index(spark, sf)).select("term", "df", F.col("dl").alias("tokens"))
+
+
+INDEX_CELLS = 32
+
+
+def cell_index(spark, sf):
+    return stored_index(spark, sf, "vector-index", lambda path: vector_index.write(vector_table(spark, sf), path, cells=INDEX_CELLS))
+
+
+def twentieth(spark, sf):
+    """Every twentieth row is a query."""
+    return vector_table(spark, sf).where(F.col("doc_id") % 20 == 0).select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query_id"), "vector")
+
+
+TWENTIETH_SQL = VEC_SQL.replace("list_reverse(CAST(embedding AS DOUBLE[]))", "CAST(embedding AS DOUBLE[])").replace(
+    "'q' || lpad(CAST(vec_id AS VARCHAR), 9, '0')", "'q' || vec_id"
+) + ", tw AS (SELECT query_id, vector FROM vq WHERE vec_id % 20 = 0)"
+
+
+@query("knn_index_exact", f"WITH {TWENTIETH_SQL} {KNN_FROM.format(on='true', k=5).replace('vq', 'tw')}")
+def knn_index_exact(spark, sf):
+    """All cells are probed and all their rows scored: the index loses no row."""
+    return vector_index.search(twentieth(spark, sf), cell_index(spark, sf), INDEX_CELLS, k=5, refine=1 << 30)
+
+
+@query(
+    "knn_index_recall",
+    f"WITH {TWENTIETH_SQL}, ex AS ({KNN_FROM.format(on='true', k=5).replace('vq', 'tw')}) SELECT count(*) AS exact, true AS recalled FROM ex",
+)
+def knn_index_recall(spark, sf):
+    """Some cells are probed and the best codes refined; at least nine tenths of the exact neighbours are found."""
+    asked = twentieth(spark, sf)
+    exact = knn.search(asked, vector_table(spark, sf), k=5).select("query_id", "doc_id")
+    found = vector_index.search(asked, cell_index(spark, sf), 3 * INDEX_CELLS // 4, k=5, refine=100)
+    met = exact.join(found.select("query_id", "doc_id", F.lit(True).alias("hit")), ["query_id", "doc_id"], "left")
+    return met.groupBy().agg(F.count(F.lit(1)).alias("exact"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+
+
 # --- fusion --------------------------------------------------------------------------------------------------
 
 HYBRID_SQL = f"""{TEXT_SQL}, ec AS (SELECT count(*) AS c FROM embeddings),
