@@ -89,6 +89,14 @@ def language_name(code: Column) -> Column:
 CONTEXT_TEMPLATE = "Answer in {language} and only from this context.\n\n<CONTEXT>\n{context}\n</CONTEXT>"
 
 
+REWRITE_TEMPLATE = "Write the last question in {language} so that it can be understood without the conversation. Give the question only."
+
+
+def rewrite_prompt(language: Column) -> Column:
+    """The prompt that asks for a question to be rewritten; unknown languages get the default one's name."""
+    return F.replace(F.lit(REWRITE_TEMPLATE), F.lit("{language}"), language_name(language))
+
+
 def fill_template(template: str, context: Column, language: Column) -> Column:
     """Template with its context and the language name; text in the context is not a placeholder."""
     before, after = template.split("{context}")

@@ -7,8 +7,6 @@ document and query inside a task and is never joined or shuffled as postings.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -202,16 +200,29 @@ def _phrase_scores(pack: PhrasePack, docs: Docs) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def pair_score(tokens: pd.Series, terms: pd.Series, weights: pd.Series, average: pd.Series) -> pd.Series:
-    """BM25 of a query and one text in the same row, for short lists of candidates."""
-    out = []
-    for toks, ts, ws, avg in zip(tokens, terms, weights, average):
-        counts = Counter(toks)
-        base, slope = BM25_K1 * (1 - BM25_B), BM25_K1 * BM25_B / (avg or 1.0)
-        norm = base + slope * len(toks)
-        out.append(sum((w * counts[t] / (counts[t] + norm) for t, w in zip(ts, ws) if t in counts), 0.0) if ts is not None else 0.0)
-    return pd.Series(out, dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def pair_score(tokens: pa.Array, terms: pa.Array, weights: pa.Array, average: pa.Array) -> pa.Array:
+    """BM25 of a query and one text in the same row, for short lists of candidates; all rows of a batch at once."""
+    n = len(tokens)
+    lengths = _sizes(tokens)
+    per_row = _sizes(terms)
+    flat, asked = tokens.flatten(), terms.flatten()
+    coded = pa.chunked_array([flat.cast(pa.string()), asked.cast(pa.string())]).combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(1, len(coded.dictionary))
+    held, tf = np.unique(np.repeat(np.arange(n), lengths) * width + codes[: len(flat)], return_counts=True)
+    row = np.repeat(np.arange(n), per_row)
+    wanted = row * width + codes[len(flat) :]
+    at = np.minimum(np.searchsorted(held, wanted), max(0, len(held) - 1))
+    found = np.where(held[at] == wanted, tf[at], 0) if len(held) else np.zeros(len(wanted), dtype=np.int64)
+    mean = pc.fill_null(average, 1.0).to_numpy(zero_copy_only=False).astype(float)
+    norm = BM25_K1 * (1 - BM25_B) + BM25_K1 * BM25_B / np.where(mean > 0, mean, 1.0) * lengths
+    part = weights.flatten().to_numpy(zero_copy_only=False).astype(float) * found / (found + norm[row])
+    return pa.array(np.bincount(row, weights=part, minlength=n))
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def phrase_frequency(tokens: Column, phrase: Column) -> Column:

@@ -218,6 +218,7 @@ def update_metadata(chunks: DataFrame, updates: DataFrame, struct_fields: list[s
 
 # --- migrations ----------------------------------------------------------------------------------------------
 
+# Versions of the entries and the two language codes of old ones (fixed values).
 VERSIONS = {"kb": 2, "projects": 4, "sessions": 3, "turns": 2}
 
 

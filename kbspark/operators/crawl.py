@@ -118,8 +118,8 @@ def crawl_plan(
     """Breadth-first visit of a fetched pages table from seed URLs, one crawl per seed.
 
     ``seeds``: crawl_id, url. ``pages``: url, html, content_type. ``redirects``: url, final_url (final URLs do not redirect
-    again). Returns crawl_id, url, final_url, depth, visit_key, mimetype, title; ordering by depth and visit_key is the
-    order of the visit. A round is a few joins over the whole frontier; what it claims and fetches is written to the
+    again). Returns crawl_id, url, final_url, depth, visit_key (the places of the links that led there), mimetype, title;
+    ordering by depth and visit_key is the order of the visit. A round is a few joins over the whole frontier; what it claims and fetches is written to the
     shared folder, so lineage never grows and a lost executor costs one round. The HTML is parsed in one pass before the
     first round; rounds meet only titles and links, and a small frontier is broadcast by its stored size, so the pages are
     not shuffled for it. The driver only learns whether a level is empty. Only HTML pages count to ``max_pages``.
@@ -131,7 +131,7 @@ def crawl_plan(
     start = F.col("start_url")
     is_html = F.col("mimetype") == "text/html"
     frontier = seeds.select(
-        "crawl_id", F.col("url").alias("start_url"), urls.normalise_url(F.col("url"), F.lit("")).alias("url"), F.lit("").alias("visit_key")
+        "crawl_id", F.col("url").alias("start_url"), urls.normalise_url(F.col("url"), F.lit("")).alias("url"), F.array().cast("array<int>").alias("visit_key")
     )
     # the rules are the same expressions in every round, so they are built once
     url_ok, target_ok = admitted(F.col("url"), start, opts), admitted(F.col("final_url"), start, opts)
@@ -189,7 +189,7 @@ def crawl_plan(
             parents = parents.join(ended.select("crawl_id"), "crawl_id", "left_anti")
         links = page_links(parents, ["crawl_id", "start_url", "visit_key"], link)
         frontier = links.select(
-            "crawl_id", "start_url", F.col("link").alias("url"), F.concat("visit_key", F.format_string("%06d", F.col("pos"))).alias("visit_key")
+            "crawl_id", "start_url", F.col("link").alias("url"), F.concat("visit_key", F.array(F.col("pos"))).alias("visit_key")
         )
         depth += 1
     return visits.select("crawl_id", "url", "final_url", "depth", "visit_key", "mimetype", "title")

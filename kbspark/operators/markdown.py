@@ -1,15 +1,18 @@
 """Markdown documents to pages, sections and chunks.
 
-Lines are exploded once and meet again per document in one shuffle; every rule that depends on earlier lines (fence
-state, page, open headings, offsets) is a running window over the same partitioning and order. Frames never look
-ahead: what follows a line is found by a running window over the reverse order of the few heading rows.
+What a line is by itself (blank, marker, fence, heading) is a column expression over the array of lines. What depends on the lines before and
+after it (fence state, page, open headings, offsets, where a section ends) is found in one pass over the flat lines of a batch of documents, each
+still in its row. Lines become rows afterwards, so nothing is shuffled or sorted for the tree; chunks shuffle the paragraphs once, by document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..constants import MD_MAX_CHARS
@@ -34,10 +37,6 @@ def _lines_window():
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
-def _before(w):
-    return w.rowsBetween(Window.unboundedPreceding, -1)
-
-
 def _so_far(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -73,42 +72,124 @@ def marker_pages(docs: DataFrame) -> DataFrame:
 # --- line facts ----------------------------------------------------------------------------------------------
 
 
+_HEAD = "struct<line_no: int, no: bigint, heading: string>"
+_FACTS = {
+    "n_lines": "int", "n_chars": "int", "line_no": "int", "line": "string", "blank": "boolean", "marker": "bigint", "start": "bigint", "max_marker": "bigint",
+    "page": "bigint", "level": "int", "heading": "string", "section_no": "bigint", "para": "bigint", "page_before": "bigint", "page_after": "bigint",
+    "last_page": "bigint", "last_marker": "bigint", **{f"h{lv}": _HEAD for lv in LEVELS},
+    "next": "struct<line_no: int, at: bigint, page: bigint, page_before: bigint>",
+}
+_BATCH_DOCS = 256
+
+
 def line_facts(docs: DataFrame) -> DataFrame:
-    """Every line with its offset, page, heading level and the headings that are open at it."""
-    base = lines(docs)
-    w = _lines_window()
-    blank = ~F.col("line").rlike(r"(?U)\S")
-    base = base.withColumns(
-        {
-            "blank": blank,
-            "marker": F.nullif(F.regexp_extract("line", MARKER, 1), F.lit("")).cast("long"),
-            "fence": F.col("line").rlike(FENCE),
-        }
-    )
-    previous = F.last(F.when(~F.col("blank"), F.struct(F.col("marker").alias("m"))), ignorenulls=True).over(_before(w))
-    base = base.withColumns(
-        {
-            "start": F.coalesce(F.sum(F.length("line") + 1).over(_before(w)), F.lit(0)).cast("long"),
-            "fences": F.sum(F.col("fence").cast("int")).over(_so_far(w)),
-            "starts_page": F.when(~F.col("blank"), previous["m"]),
-            "max_marker": F.max("marker").over(_so_far(w)),
-        }
-    )
-    is_text = ~F.col("fence") & (F.col("fences") % 2 == 0)
-    level = F.when(is_text, F.length(F.regexp_extract("line", HEADING, 1)))
-    base = base.withColumns(
-        {
-            "page": F.coalesce(F.max("starts_page").over(_so_far(w)), F.lit(0)),
-            "level": F.nullif(level, F.lit(0)),
-            "heading": strip(F.regexp_extract("line", HEADING, 2)),
-        }
-    )
-    facts = {"section_no": F.count("level").over(_so_far(w))}
+    """Every line with its offset, page, paragraph, heading level, the headings that are open at it and, for a heading, the one that ends its section.
+
+    A null text has no lines. The rows stay where the document is: nothing is shuffled.
+    """
+    split = F.split("text", "\n")
+    each = docs.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n_chars"), split.alias("lines"))
+    each = each.select(
+        "doc_id", "n_chars", "lines",
+        F.transform("lines", lambda x: ~x.rlike(r"(?U)\S")).alias("blank"),
+        F.transform("lines", lambda x: F.nullif(F.regexp_extract(x, MARKER, 1), F.lit("")).cast("long")).alias("marker"),
+        F.transform("lines", lambda x: x.rlike(FENCE)).alias("fence"),
+        F.transform("lines", lambda x: F.length(F.regexp_extract(x, HEADING, 1))).alias("level"),
+        F.transform("lines", lambda x: strip(F.regexp_extract(x, HEADING, 2))).alias("heading"),
+        F.transform("lines", lambda x: F.length(x)).alias("length"),
+    )
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in _FACTS.items())
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for low in range(0, batch.num_rows, _BATCH_DOCS):
+                yield _facts(batch.slice(low, _BATCH_DOCS))
+
+    return each.mapInArrow(run, schema)
+
+
+def _running_max(values: np.ndarray, known: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest known value so far within each document, and whether there is one."""
+    ranks, place = np.unique(values[known], return_inverse=True)
+    rank = np.zeros(len(values), dtype=np.int64)
+    rank[known] = place + 1
+    wide = len(ranks) + 1
+    best = np.maximum.accumulate(rank + doc * wide) - doc * wide
+    return (ranks[np.maximum(best, 1) - 1] if len(ranks) else np.zeros(len(values), dtype=np.int64)), best > 0
+
+
+def _ends(level: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each heading, the number of the first later one of its document with its level or a smaller one; -1 if none."""
+    out, still = np.full(len(level), -1), []
+    for k, (lv, d) in enumerate(zip(level.tolist(), doc.tolist(), strict=True)):
+        while still and (still[-1][2] != d or still[-1][1] >= lv):
+            j, _, of = still.pop()
+            if of == d:
+                out[j] = k
+        still.append((k, lv, d))
+    return out
+
+
+def _facts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    flat = {n: batch.column(n).flatten() for n in ("lines", "blank", "marker", "fence", "level", "heading", "length")}
+    numbers = {n: flat[n].to_numpy(zero_copy_only=False) for n in ("blank", "fence", "level", "length")}
+    n_lines = np.diff(batch.column("lines").offsets.to_numpy()).astype(np.int64)
+    first = n_lines.cumsum() - n_lines
+    doc = np.repeat(np.arange(len(n_lines)), n_lines)
+    total = len(doc)
+
+    def within(counts: np.ndarray) -> np.ndarray:
+        """Running sum within the document."""
+        run = counts.cumsum()
+        return run - np.repeat(run[first] - counts[first], n_lines)
+
+    blank, fence = numbers["blank"].astype(bool), numbers["fence"].astype(bool)
+    size = numbers["length"].astype(np.int64) + 1
+    line_no = np.arange(total) - np.repeat(first, n_lines) + 1
+    has_marker = flat["marker"].is_valid().to_numpy(zero_copy_only=False)
+    marker = flat["marker"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    solid = np.flatnonzero(~blank)
+    before = np.full(total, -1)  # the solid line before a solid one
+    before[solid[1:]] = np.where(doc[solid[1:]] == doc[solid[:-1]], solid[:-1], -1)
+    opens = (before >= 0) & has_marker[before]
+    page, has_page = _running_max(np.where(opens, marker[before], 0), opens, doc)
+    page = np.where(has_page, page, 0)
+    max_marker, has_max = _running_max(marker, has_marker, doc)
+    is_text = ~fence & (within(fence.astype(np.int64)) % 2 == 0)
+    level = np.where(is_text, numbers["level"].astype(np.int64), 0)
+    section_no = within((level > 0).astype(np.int64))
+    start = within(size) - size
+    edge = np.zeros(total, dtype=bool)
+    edge[first] = True
+    page_before = np.concatenate([[0], page[:-1]])
+    last = np.zeros(total, dtype=bool)
+    last[first + n_lines - 1] = True
+    last_of = np.repeat(first + n_lines - 1, n_lines)
+
+    def ints(values: np.ndarray, missing: np.ndarray | None = None, kind: pa.DataType = pa.int64()) -> pa.Array:
+        return pa.array(values, kind, mask=missing)
+
+    heads = np.flatnonzero(level > 0)
+    out = {
+        "n_lines": ints(np.repeat(n_lines, n_lines), kind=pa.int32()), "n_chars": batch.column("n_chars").take(pa.array(doc)), "line_no": ints(line_no, kind=pa.int32()),
+        "line": flat["lines"], "blank": flat["blank"], "marker": flat["marker"], "start": ints(start), "max_marker": ints(max_marker, ~has_max),
+        "page": ints(page), "level": ints(level, level == 0, pa.int32()), "heading": flat["heading"], "section_no": ints(section_no),
+        "para": ints(within(blank.astype(np.int64))), "page_before": ints(page_before, edge), "page_after": ints(np.append(page[1:], 0), last),
+        "last_page": ints(page[last_of]), "last_marker": ints(max_marker[last_of], ~has_max[last_of]),
+    }
     for lv in LEVELS:
-        own = F.when(F.col("level") == lv, F.struct("line_no", F.col("section_no").alias("no"), "heading"))
-        facts[f"h{lv}"] = F.last(own, ignorenulls=True).over(_so_far(w))
-    base = base.withColumn("section_no", facts.pop("section_no")).withColumns(facts)
-    return base.drop("fence", "fences", "starts_page")
+        own = np.maximum.accumulate(np.where(level == lv, np.arange(total), -1)) if total else np.zeros(0, np.int64)
+        missing = own < np.repeat(first, n_lines)
+        at = np.maximum(own, 0)
+        parts = [ints(line_no[at], kind=pa.int32()), ints(section_no[at]), flat["heading"].take(pa.array(at))]
+        out[f"h{lv}"] = pa.StructArray.from_arrays(parts, names=["line_no", "no", "heading"], mask=pa.array(missing))
+    end = np.full(total, -1)
+    ends = _ends(level[heads], doc[heads])
+    end[heads[ends >= 0]] = heads[ends[ends >= 0]]
+    at = np.maximum(end, 0)
+    parts = [ints(line_no[at], kind=pa.int32()), ints(start[at]), ints(page[at]), ints(page_before[at], edge[at])]
+    out["next"] = pa.StructArray.from_arrays(parts, names=["line_no", "at", "page", "page_before"], mask=pa.array(end < 0))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *out.values()], names=["doc_id", *out])
 
 
 def open_headings() -> Column:
@@ -160,25 +241,14 @@ def page_texts(facts: DataFrame) -> DataFrame:
     )
     text = F.when(F.size(solid) > 0, F.array_join(F.transform(inner, lambda x: x["line"]), "\n")).otherwise("")
     texts = grouped.select("doc_id", "page", text.alias("markdown"))
-    ids = facts.groupBy("doc_id").agg(F.coalesce(F.max("marker"), F.lit(0)).alias("last"))
+    ids = facts.where("line_no = 1").select("doc_id", F.coalesce("last_marker", F.lit(0)).alias("last"))
     every = ids.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("page"))
     return every.join(texts, ["doc_id", "page"], "left").select("doc_id", (F.col("page") + 1).alias("page"), F.coalesce("markdown", F.lit("")).alias("markdown"))
 
 
 def sections(facts: DataFrame, noise: list[str] | None = None) -> DataFrame:
     """Heading tree with line, character and page ranges; one root row per document."""
-    w = _lines_window()
-    last_page = F.max("page").over(Window.partitionBy("doc_id"))
-    rows = facts.withColumns({"page_before": F.lag("page").over(w), "page_after": F.lead("page").over(w), "last_page": last_page})
-    heads = rows.where(F.col("level").isNotNull())
-    back = _before(Window.partitionBy("doc_id").orderBy(F.col("line_no").desc()))
-    following = [
-        F.last(F.when(F.col("level") == lv, F.struct("line_no", F.col("start").alias("at"), "page", "page_before")), ignorenulls=True).over(back)
-        for lv in LEVELS
-    ]
-    heads = heads.withColumns({f"n{lv}": following[lv - 1] for lv in LEVELS})
-    candidates = F.array_compact(F.array(*[F.when(F.col("level") >= lv, F.col(f"n{lv}")) for lv in LEVELS]))
-    heads = heads.withColumns({"next": F.array_min(candidates), "chain": open_headings()})
+    heads = facts.where(F.col("level").isNotNull()).withColumn("chain", open_headings())
     body = F.col("line_no") + 1
     line_end = F.coalesce(F.col("next.line_no") - 1, F.col("n_lines"))
     parent = F.coalesce(F.get(F.col("chain"), F.size("chain") - 2)["no"], F.lit(0))
@@ -201,7 +271,7 @@ def sections(facts: DataFrame, noise: list[str] | None = None) -> DataFrame:
         (page_end + 1).alias("page_end"),
         is_noise(F.col("chain"), noise or []).alias("filtered"),
     )
-    first = facts.groupBy("doc_id").agg(F.first("n_lines").alias("n"), F.first("n_chars").alias("c"), F.coalesce(F.max("marker"), F.lit(0)).alias("p"))
+    first = facts.where("line_no = 1").select("doc_id", F.col("n_lines").alias("n"), F.col("n_chars").alias("c"), F.coalesce("last_marker", F.lit(0)).alias("p"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     root = first.select(
         "doc_id", zero.alias("section_no"), F.lit(ROOT).alias("section_id"), zero.alias("level"), F.lit("").alias("heading"), F.lit("").alias("heading_path"),
@@ -215,21 +285,22 @@ def sections(facts: DataFrame, noise: list[str] | None = None) -> DataFrame:
 def with_children(tree: DataFrame) -> DataFrame:
     """Sections with the ids of their direct children in order (the sections of one document)."""
     kids = tree.where(F.col("parent_id").isNotNull()).groupBy("doc_id", F.col("parent_id").alias("section_id")).agg(
-        F.sort_array(F.collect_list("section_id")).alias("children_ids")
+        F.sort_array(F.collect_list(F.struct("section_no", F.col("section_id").alias("id")))).alias("kids")
     )
+    kids = kids.select("doc_id", "section_id", F.transform("kids", lambda k: k["id"]).alias("children_ids"))
     return tree.join(kids, ["doc_id", "section_id"], "left").withColumn("children_ids", F.coalesce("children_ids", F.array().cast("array<string>")))
 
 
 def paragraphs(facts: DataFrame, noise: list[str] | None = None) -> DataFrame:
     """Paragraphs of every section's own body. The path travels with the lines, so no join brings it back."""
-    w = _so_far(_lines_window())
-    rows = facts.withColumns({"para": F.sum(F.col("blank").cast("int")).over(w), "chain": open_headings()})
+    rows = facts.withColumn("chain", open_headings())
     keep = (
         (F.col("section_no") > 0) & F.col("level").isNull() & ~F.col("blank") & F.col("marker").isNull()
         & ~F.col("line").rlike(IMAGE_ONLY) & ~is_noise(F.col("chain"), noise or [])
     )
     kept = rows.where(keep).select("doc_id", "section_no", "para", "line_no", "line", "page", heading_path(F.col("chain")).alias("heading_path"))
-    grouped = kept.groupBy("doc_id", "section_no", "para").agg(
+    # dealt by document once: the groups below and those of the chunks are all within a document
+    grouped = kept.repartition("doc_id").groupBy("doc_id", "section_no", "para").agg(
         F.min("line_no").cast("long").alias("line_start"), F.max("line_no").cast("long").alias("line_end"), F.min_by("page", "line_no").alias("page"),
         F.first("heading_path").alias("heading_path"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"),
     )
@@ -238,19 +309,25 @@ def paragraphs(facts: DataFrame, noise: list[str] | None = None) -> DataFrame:
 
 
 _PACKED = T.ArrayType(
-    T.StructType([T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("text", T.StringType())])
-)
+    T.StructType([
+        T.StructField("section_no", T.LongType()), T.StructField("line_start", T.LongType()), T.StructField("line_end", T.LongType()), T.StructField("text", T.StringType()),
+    ])
+)
 
 
-def _packed(paras: Column, limit: int) -> Column:
-    def run(groups: pd.Series) -> pd.Series:
+def _packed(sections: Column, limit: int) -> Column:
+    def run(documents: pd.Series) -> pd.Series:
         rows = [
-            [{"line_start": a, "line_end": b, "text": t} for a, b, t in sp.pack_paragraphs([(p["line_start"], p["line_end"], p["text"]) for p in g], limit)]
-            for g in groups
+            [
+                {"section_no": s["section_no"], "line_start": a, "line_end": b, "text": t}
+                for s in own
+                for a, b, t in sp.pack_paragraphs([(p["line_start"], p["line_end"], p["text"]) for p in s["p"]], limit)
+            ]
+            for own in documents
         ]
         return pd.Series(rows, dtype=object)
 
-    return F.pandas_udf(run, _PACKED)(paras)
+    return F.pandas_udf(run, _PACKED)(sections)
 
 
 def pack_sections(paras: DataFrame, limit: int = MD_MAX_CHARS) -> DataFrame:
@@ -259,13 +336,17 @@ def pack_sections(paras: DataFrame, limit: int = MD_MAX_CHARS) -> DataFrame:
     grouped = paras.groupBy("doc_id", "section_no").agg(
         F.first("heading_path").alias("heading_path"), F.sort_array(F.collect_list(item)).alias("p")
     )
-    pages = F.map_from_entries(F.transform("p", lambda x: F.struct(x["line_start"], x["page"])))
-    rows = grouped.withColumn("pages", pages).withColumn("c", _packed(F.col("p"), limit))
-    rows = rows.select("doc_id", "section_no", "heading_path", "pages", F.posexplode("c").alias("pos", "c"))
-    order = Window.partitionBy("doc_id").orderBy("section_no", "pos")
+    # paragraphs come dealt by document, so this meets no further exchange
+    whole = grouped.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_no", "heading_path", "p"))).alias("s"))
+    pages = F.map_from_entries(F.flatten(F.transform("s", lambda s: F.transform(s["p"], lambda x: F.struct(x["line_start"], x["page"])))))
+    paths = F.map_from_entries(F.transform("s", lambda s: F.struct(s["section_no"], s["heading_path"])))
+    rows = whole.select("doc_id", pages.alias("pages"), paths.alias("paths"), _packed(F.col("s"), limit).alias("c"))
+    # outer, since Spark would otherwise pack a second time to see whether there is something to explode
+    rows = rows.select("doc_id", "pages", "paths", F.posexplode_outer("c").alias("pos", "c")).where("pos IS NOT NULL")
     return rows.select(
-        "doc_id", F.row_number().over(order).cast("long").alias("chunk_no"), section_id(F.col("section_no")).alias("section_id"), "heading_path",
-        (F.element_at("pages", F.col("c.line_start")) + 1).alias("page"), "c.line_start", "c.line_end", F.col("c.text").alias("body"),
+        "doc_id", (F.col("pos") + 1).cast("long").alias("chunk_no"), section_id(F.col("c.section_no")).alias("section_id"),
+        F.element_at("paths", F.col("c.section_no")).alias("heading_path"), (F.element_at("pages", F.col("c.line_start")) + 1).alias("page"),
+        "c.line_start", "c.line_end", F.col("c.text").alias("body"),
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from pyspark.sql.types import StructType
+
 from ..constants import BATCH_DOCS, DEFAULT_LANGUAGE, UPLOAD_RETRIES
 from ..session import scratch_path, stored
 
@@ -112,6 +114,41 @@ def copy_table(source: DataFrame, path: str, id_col: str = "_id") -> DataFrame:
     )
 
 
+def copy_rows(source: DataFrame, path: str, schema: str, id_col: str = "_id") -> tuple[DataFrame, DataFrame]:
+    """Copy rows into a table of another schema: (report, failures).
+
+    A row fails if its id is null, if another row has its id (of these the one with the smallest hash of its content is copied) or if a value
+    does not fit the type of its column. Failures keep the id, the reasons and the row as JSON, so that a later run can take them as its source;
+    nothing fails silently and nothing stops the copy. ``report``: rows_read, rows_written, rows_failed.
+    """
+    spark = source.sparkSession
+    target = StructType.fromDDL(schema)
+    missing = [f.name for f in target if f.name not in source.columns]
+    if missing:
+        raise ValueError(f"the source has no {missing}")
+    content = F.to_json(F.struct(*source.columns))
+    fitted = {f.name: F.col(f.name).try_cast(f.dataType) for f in target}
+    bad = [F.when(F.col(n).isNotNull() & c.isNull(), F.lit(f"type of {n}")) for n, c in fitted.items()]
+    marked = source.select(
+        F.struct(*[c.alias(n) for n, c in fitted.items()]).alias("row"), F.col(id_col).alias("id"), content.alias("content"),
+        F.array_compact(F.array(F.when(F.col(id_col).isNull(), F.lit("no id")), *bad)).alias("reasons"),
+    )
+    marked = stored(marked.withColumn("place", F.struct(F.xxhash64("content").alias("hash"), F.monotonically_increasing_id().alias("row"))), scratch_path(spark, "copy"))
+    # ids that come twice are found with partial counts; only their rows are compared
+    fit = F.size("reasons") == 0
+    first = marked.where(fit).groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    judged = marked.join(first.select(F.col("id").alias("of_id"), "first"), F.col("id") == F.col("of_id"), "left")
+    again = fit & F.col("first").isNotNull() & (F.col("place") != F.col("first"))
+    judged = judged.withColumn("reasons", F.when(again, F.array(F.lit("repeated id"))).otherwise(F.col("reasons")))
+    failed = F.size("reasons") > 0
+    judged.where(~failed).select("row.*").write.mode("overwrite").parquet(f"{path}/rows")
+    judged.where(failed).select(F.col("id").cast("string").alias("id"), "reasons", "content").write.mode("overwrite").parquet(f"{path}/failures")
+    failures = spark.read.schema("id string, reasons array<string>, content string").parquet(f"{path}/failures")
+    counts = [marked.agg(F.count(F.lit(1)).alias("rows_read")), spark.read.schema(target).parquet(f"{path}/rows").agg(F.count(F.lit(1)).alias("rows_written"))]
+    counts.append(failures.agg(F.count(F.lit(1)).alias("rows_failed")))
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]), failures  # a row each
+
+
 def write_artifacts(spark: SparkSession, pages: DataFrame, sections: DataFrame, chunks: DataFrame, path: str) -> dict[str, str]:
     """Pages and sections as one JSON record per document, chunks as JSON lines."""
     out = {name: f"{path}/{name}" for name in ("pages", "sections", "chunks")}

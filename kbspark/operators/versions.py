@@ -85,6 +85,11 @@ def _commit(spark: SparkSession, path: str, new: Manifest) -> None:
         raise
 
 
+def files_of(spark: SparkSession, path: str, root: str, part: str) -> list[str]:
+    """Data files of a partition in a data folder."""
+    return [n for n in _names(spark, f"{path}/data/{root}/{part}") if n.startswith("part-")]
+
+
 def read(spark: SparkSession, path: str, version: int | None = None, only: set[str] | None = None) -> DataFrame:
     """The rows of a version, or those of the partitions ``only``. The files are chosen by the manifest, not by what lies in the folders."""
     now = manifest(spark, path, version)

@@ -5,7 +5,7 @@ import importlib
 from .registry import ORACLES, QUERIES
 
 MODULES = [
-    "events", "catalog", "retrieval", "spans", "chunks", "markup", "web", "assembly", "dialogue", "store", "live",
+    "events", "catalog", "retrieval", "spans", "chunks", "markup", "web", "assembly", "dialogue", "store", "live", "changes",
 ]
 
 for _name in MODULES:

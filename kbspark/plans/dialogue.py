@@ -100,3 +100,21 @@ def fsm_init(spark, sf):
     good, _ = dl.states(dl.parse_dialogues(_json(spark, sf)))
     out = dl.initialise(good, updates)
     return out.select("dialogue_id", F.col("state_id").cast("long").alias("state_id"), F.md5("text").alias("digest"), "changed")
+
+
+@query(
+    "fsm_chatbot",
+    f"""WITH {ST_SQL}, s AS (SELECT * FROM st WHERE kind != 'get_projects'),
+h AS (SELECT DISTINCT conv_id FROM s WHERE turn = 1 AND conv_id % 3 = 0)
+SELECT conv_id AS dialogue_id, turn AS state_id, CASE WHEN conv_id % 4 = 1 THEN '#00' || conv_id END AS colour, conv_id % 4 = 1 OR conv_id IN (SELECT conv_id FROM h) AS changed FROM s""",
+)
+def fsm_chatbot(spark, sf):
+    """Every fourth project gives its chat window a look of its own, which alone makes its dialogue differ."""
+    k = F.col("conv_id")
+    colour = F.struct(F.concat(F.lit("#00"), k.cast("string")).alias("colour"))
+    updates = load(spark, sf, "conversations").select("conv_id").distinct().select(
+        k.alias("dialogue_id"), F.when(k % 3 == 0, "img").alias("image_url"), F.lit(1).alias("image_state"), F.lit(None).cast("string").alias("message"),
+        F.lit(0).alias("message_state"), F.when(k % 4 == 1, colour).alias("chatbot"),
+    )
+    good, _ = dl.states(dl.parse_dialogues(_json(spark, sf)))
+    return dl.initialise(good, updates).select("dialogue_id", F.col("state_id").cast("long").alias("state_id"), "chatbot.colour", "changed")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..sources import logs as records
-from ..sources.tables import LOGS_SQL, RAW_LOGS_SQL, logs, raw_logs
+from ..sources.tables import LOGS_SQL, RAW_LOGS_SQL, load, logs, raw_logs
 from .registry import query
 
 RANGE = ("2024-01-03", "2024-01-20")
@@ -57,6 +57,19 @@ def approx_sessions_users(spark, sf):
     return both.join(ev.unique_users(rows, approximate=True).withColumnRenamed("users", "approx_users"), "project_id")
 
 
+@query(
+    "approx_error",
+    f"WITH {LOGS_SQL} SELECT project_id, true AS sessions_close, true AS users_close FROM logs WHERE {RANGE_SQL} GROUP BY project_id",
+)
+def approx_error(spark, sf):
+    """The sketches against the exact counts: each is at most a tenth away, and one more where there are few."""
+    rows = ev.in_range(logs(spark, sf), *ev.day_bounds(*RANGE))
+    exact = ev.project_summary(rows).select("project_id", "sessions").join(ev.unique_users(rows), "project_id")
+    both = exact.join(approx_sessions_users(spark, sf), "project_id")
+    close = lambda c: F.abs(F.col(f"approx_{c}") - F.col(c)) <= 1 + 0.1 * F.col(c)
+    return both.select("project_id", close("sessions").alias("sessions_close"), close("users").alias("users_close"))
+
+
 def _segment_sql(bounds):
     rows = ", ".join(f"({i}, TIMESTAMP '{a}', TIMESTAMP '{b}')" for i, (a, b) in enumerate(zip(bounds, bounds[1:])))
     return f"""WITH {LOGS_SQL}, seg(segment, a, b) AS (VALUES {rows}), pr AS (SELECT DISTINCT project_id FROM logs)
@@ -168,6 +181,39 @@ def log_normalise(spark, sf):
     return out.withColumn("ts", F.date_format("ts", STAMP)).withColumn("status_code", F.col("status_code").cast("long"))
 
 
+@query(
+    "log_fields",
+    f"""WITH {RAW_LOGS_SQL}
+SELECT event_id, '1' AS version, 'node' AS host, module || '.py' AS filename, 'nlp' AS component, CASE WHEN response THEN 'http://h' || path END AS request_url,
+  CASE WHEN response THEN CASE WHEN event_id % 4 = 0 THEN 'c' || event_id ELSE '' END END AS correlation_id,
+  CASE WHEN event_type = 'error' THEN 7 END::BIGINT AS process, CASE WHEN event_type = 'error' THEN 'main' END AS thread_name,
+  CASE WHEN event_id % 6 = 0 THEN 'x' || event_id END AS request_id_field, CASE WHEN response AND event_id % 8 = 0 THEN 'u' || user_id END AS user_field,
+  (CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN response AND event_id % 8 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_fields FROM raw""",
+)
+def log_fields(spark, sf):
+    """Where records were written, headers, process fields with exceptions and added fields under their column names."""
+    k, raw = F.col("event_id"), raw_logs(spark, sf)
+    ids = load(spark, sf, "events").select(k.alias("e"), "user_id")
+    scope = F.col("scope")
+    raw = raw.join(ids, k == F.col("e")).withColumns(
+        {
+            "filename": F.concat(F.coalesce("module_override", "module"), F.lit(".py")), "process": F.lit(7), "thread_name": F.lit("main"), "process_name": F.lit("worker"),
+            "extra": F.when(k % 6 == 0, F.create_map(F.lit("x-request-id"), F.concat(F.lit("x"), k.cast("string")))),
+            "scope": F.when(
+                scope.isNotNull(),
+                scope.withField("request_url", F.concat(F.lit("http://h"), scope["path"]))
+                .withField("headers", F.when(k % 4 == 0, F.create_map(F.lit("x-correlation-id"), F.concat(F.lit("c"), k.cast("string")))))
+                .withField("attributes", F.create_map(F.lit("user"), F.when(k % 8 == 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))), F.lit("other"), F.lit("o"))),
+            ),
+        }
+    )
+    out = records.record_fields(raw, "node", {"component": "nlp"}, ("user",))
+    return out.select(
+        "event_id", "version", "host", "filename", "component", "request_url", "correlation_id", "process", "thread_name",
+        F.element_at("fields", "request_id").alias("request_id_field"), F.element_at("fields", "user").alias("user_field"), F.size("fields").cast("long").alias("n_fields"),
+    )
+
+
 @query(
     "request_context",
     f"""WITH {RAW_LOGS_SQL}

@@ -52,6 +52,19 @@ def answer_assembly_stream(spark, sf):
     return _shown(spark.read.parquet(f"{out}/data"))
 
 
+@query("answer_assembly_expiring", f"WITH {ANSWERS_SQL} {ANSWER_SELECT}")
+def answer_assembly_expiring(spark, sf):
+    """Pieces carry the time they were sent; an answer's pieces come out of order over three batches, and its state ends an hour after the last."""
+    source, out = scratch_path(spark, "pieces"), scratch_path(spark, "answers")
+    minute = F.crc32("response_id") % 600 + F.col("chunk_index")
+    rows = pieces(spark, sf).withColumn("sent_at", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * minute))
+    table = rows.repartition(6, F.xxhash64("response_id", "chunk_index"))
+    table.write.parquet(source)
+    stream = jobs.read_stream(spark, source, table.schema, files_per_trigger=2)
+    jobs.drain(an.assemble_stream(stream, timeout_minutes=60, late_minutes=10_000), out)
+    return _shown(spark.read.parquet(f"{out}/data"))
+
+
 @query(
     "turns_from_answers",
     f"""WITH {ANSWERS_SQL}, q AS (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS who FROM conversations)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import timemarks as tm
 from ..operators import markdown as md
 from ..sources.tables import load
 from .registry import query
@@ -174,6 +175,24 @@ def time_estimates(spark, sf):
     return _estimates(spark, sf, docs, md.line_facts(docs)).select("doc_id", "unit", "unit_confidence", "anchor", "anchor_confidence")
 
 
+COVERS = ["Annual report for fiscal 2019", "For the year ended March 31, 2021 and before", "Results of fiscal year 2020 and fiscal 2023", "A report of 2018", ""]
+COVER_SQL = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(COVERS)) + " END || chr(10) || text"
+COVER_PATTERNS = [
+    "(?i)\\bfiscal\\s+(?:year\\s+)?((?:19|20)[0-9]{2})\\b", "(?i)\\byear\\s+ended[^,]*,?\\s+(?:[A-Za-z]+\\s+[0-9]{1,2},?\\s+)?((?:19|20)[0-9]{2})\\b",
+    "(?i)\\bannual\\s+report\\s+(?:for\\s+)?(?:fiscal\\s+)?((?:19|20)[0-9]{2})\\b",
+]
+COVER_YEARS_SQL = ", ".join(f"list_max(regexp_extract_all(substr(t, 1, 3000), '{p}', 1))" for p in COVER_PATTERNS)
+
+
+@query("cover_years", f"WITH c AS (SELECT doc_id, {COVER_SQL} AS t FROM documents) SELECT doc_id, greatest({COVER_YEARS_SQL}) AS year FROM c")
+def cover_years(spark, sf):
+    """The latest reporting year that a cover names; a year without such a phrase is none."""
+    line = F.element_at(F.array(*[F.lit(c) for c in COVERS]), (F.col("doc_id") % len(COVERS) + 1).cast("int"))
+    docs = load(spark, sf, "documents").select("doc_id", F.concat(line, F.lit("\n"), "text").alias("text"))
+    cover = F.substring("text", 1, tm.COVER_LENGTH)
+    return docs.select("doc_id", F.array_max(tm.cover_markers(cover, "year")).alias("year"))
+
+
 @query(
     "md_chunks",
     f"""WITH RECURSIVE {PACK_SQL}, {TIME_SQL}

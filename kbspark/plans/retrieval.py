@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..constants import BM25_B, BM25_K1
+from ..functions import text as tx
 from ..functions.vectors import dot, knn_score, normalise
 from ..operators import bm25, compose, fusion, knn, postings, vector_index
 from ..session import scratch_path
@@ -446,6 +447,18 @@ def answer_context(spark, sf):
     return out.select("query_id", F.md5("query").alias("query"), F.md5("prompt").alias("prompt"), F.size("messages").cast("long").alias("messages"))
 
 
+@query(
+    "rewrite_prompts",
+    """SELECT item_id, 'Write the last question in ' || CASE item_id % 4 WHEN 0 THEN 'Czech' WHEN 1 THEN 'English' ELSE 'English' END
+  || ' so that it can be understood without the conversation. Give the question only.' AS prompt FROM benchmark""",
+)
+def rewrite_prompts(spark, sf):
+    """The rewriting prompt by language; no language and an unknown one get the default."""
+    k = F.col("item_id")
+    code = F.when(k % 4 == 0, "cs").when(k % 4 == 1, "en").when(k % 4 == 2, "xx")
+    return load(spark, sf, "benchmark").select("item_id", tx.rewrite_prompt(code).alias("prompt"))
+
+
 @query(
     "top_n_turns",
     f"""WITH {TEXT_SQL}, r AS ({bm25_sql('', 10**9)}), m AS (SELECT r.query_id, r.doc_id, rank, kb_id FROM r JOIN tq ON tq.query_id = r.query_id JOIN td ON td.doc_id = r.doc_id WHERE rank <= 1 + item_id % 7),

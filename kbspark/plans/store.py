@@ -61,6 +61,36 @@ def copy_check(spark, sf):
     return store.copy_table(_stored(spark, sf), scratch_path(spark, "copy"))
 
 
+PLANTED_SQL = """r AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE 'c' || doc_id END AS id, doc_id % 23 = 0 AS wrong FROM documents),
+f AS (SELECT doc_id, id, CASE WHEN id IS NULL AND wrong THEN 'no id,type of n' WHEN id IS NULL THEN 'no id' WHEN wrong THEN 'type of n' END AS reasons FROM r),
+a AS (SELECT doc_id, id, reasons FROM f UNION ALL SELECT doc_id, id, coalesce(reasons, 'repeated id') FROM f WHERE doc_id % 29 = 0)"""
+
+
+def _planted(spark, sf):
+    """Rows without an id, with a number that is none, and repeats."""
+    k = F.col("n")
+    rows = _stored(spark, sf).select(F.when(k % 19 != 0, F.col("_id")).alias("_id"), "kb_id", "text", F.when(k % 23 == 0, F.concat(F.lit("n"), k)).otherwise(k.cast("string")).alias("n"), k.alias("doc_id"))
+    return rows.unionByName(rows.where(F.col("doc_id") % 29 == 0))
+
+
+@query(
+    "copy_failures",
+    f"""WITH {PLANTED_SQL} SELECT doc_id, coalesce(id, '') AS id, reasons, count(*) AS times FROM a WHERE reasons IS NOT NULL GROUP BY ALL""",
+)
+def copy_failures(spark, sf):
+    """Planted bad rows of a copy are reported one by one."""
+    _, failures = store.copy_rows(_planted(spark, sf), scratch_path(spark, "copy"), "_id string, kb_id string, text string, n bigint")
+    return failures.groupBy(
+        F.get_json_object("content", "$.doc_id").cast("long").alias("doc_id"), F.coalesce("id", F.lit("")).alias("id"), F.array_join("reasons", ",").alias("reasons")
+    ).agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("copy_report", f"WITH {PLANTED_SQL} SELECT count(*) AS rows_read, count(*) FILTER (reasons IS NULL) AS rows_written, count(reasons) AS rows_failed FROM a")
+def copy_report(spark, sf):
+    report, _ = store.copy_rows(_planted(spark, sf), scratch_path(spark, "copy"), "_id string, kb_id string, text string, n bigint")
+    return report
+
+
 @query(
     "artifacts",
     f"""WITH {MD_SQL} SELECT doc_id AS document, (SELECT max(marker) FROM f WHERE f.doc_id = tot.doc_id) + 1 AS pages, 1 + (SELECT count(level) FROM f WHERE f.doc_id = tot.doc_id) AS sections FROM tot""",

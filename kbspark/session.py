@@ -76,17 +76,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage.
-
-    A reliable checkpoint survives the loss of the executors that computed it.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends and its size is known to the planner."""
     df.write.mode("overwrite").parquet(path)

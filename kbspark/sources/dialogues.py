@@ -48,16 +48,20 @@ def find_states(requests: DataFrame, states_table: DataFrame) -> tuple[DataFrame
 def initialise(states_table: DataFrame, updates: DataFrame) -> DataFrame:
     """Set state texts of a new project's dialogue.
 
-    ``updates``: dialogue_id, image_url, image_state, message, message_state. ``changed`` marks dialogues that differ
-    from the default one; the others keep using it.
+    ``updates``: dialogue_id, image_url, image_state, message, message_state and optionally ``chatbot``, the look of the chat window, which
+    takes the place of the dialogue's own and is given with each of its states. ``changed`` marks dialogues that differ from the default one;
+    the others keep using it.
     """
+    chatbot = "chatbot" in updates.columns
+    look = updates.where(F.col("chatbot").isNotNull()).select("dialogue_id") if chatbot else None
     rows = states_table.join(updates, "dialogue_id", "left")
     ids = states_table.select("dialogue_id", "state_id")
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     image = given("image_url") & (F.col("state_id") == F.col("image_state"))
     message = given("message") & (F.col("state_id") == F.col("message_state"))
     text = F.when(message, F.col("message")).when(image, F.col("image_url")).otherwise(F.col("text"))
-    hit = updates.join(ids, "dialogue_id").where(image | message).select("dialogue_id").distinct().withColumn("changed", F.lit(True))
+    hit = updates.join(ids, "dialogue_id").where(image | message).select("dialogue_id")
+    hit = (hit.unionByName(look) if chatbot else hit).distinct().withColumn("changed", F.lit(True))
     return (
         rows.withColumn("text", text)
         .drop("image_url", "image_state", "message", "message_state")

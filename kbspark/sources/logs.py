@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HEADER_NAMES = {"request_id": "x_request_id"}
+# Headers that extra fields and scopes carry, and the names of their columns (fixed values).
+HEADER_NAMES = {"x-correlation-id": "correlation_id", "x-request-id": "request_id", "x-response-time": "response_time"}
+FORMAT_VERSION = "1"
 
 
 def log_type() -> Column:
@@ -54,6 +56,45 @@ def normalise_records(raw: DataFrame) -> DataFrame:
     )
 
 
+def record_fields(raw: DataFrame, host: str, component: dict[str, str] | None = None, scope_attributes: tuple[str, ...] = ()) -> DataFrame:
+    """What a record has beside :func:`normalise_records`: where it was written, the request's further fields and whatever the caller added.
+
+    ``raw`` may have filename, process, thread_name, process_name (kept with an exception only), ``extra`` (map of added fields; headers get their
+    column's name, and the later of two entries of one name wins) and, in its scope, path_params, request_url, ``headers`` (map) and
+    ``attributes`` (map), of which ``scope_attributes`` with a value are kept. ``component`` are fields of the whole application. Missing columns
+    are null.
+    """
+    kind, failed = log_type(), F.col("exc_text").isNotNull()
+    response = kind == "response"
+    inner = {f.name for f in raw.schema["scope"].dataType.fields}
+
+    def own(name: str, kind: str = "string") -> Column:
+        return F.col(name).cast(kind) if name in raw.columns else F.lit(None).cast(kind)
+
+    def scoped(name: str, kind: str = "string") -> Column:
+        return F.when(response, F.col(f"scope.{name}").cast(kind)) if name in inner else F.lit(None).cast(kind)
+
+    no_map = F.create_map().cast("map<string,string>")
+    extra = F.coalesce(own("extra", "map<string,string>"), no_map)
+    renamed = F.transform_keys(extra, lambda k, _: F.coalesce(F.element_at(_names(), k), k))
+    headers = F.coalesce(scoped("headers", "map<string,string>"), no_map)
+    header = lambda name: F.when(response, F.coalesce(F.element_at(headers, name), F.lit("")))
+    named = [header(name).alias(column) for name, column in HEADER_NAMES.items()]
+    attributes = F.coalesce(scoped("attributes", "map<string,string>"), no_map)
+    kept = F.map_filter(attributes, lambda k, v: k.isin(*scope_attributes) & (F.coalesce(v, F.lit("")) != "")) if scope_attributes else no_map
+    return raw.select(
+        "event_id", F.lit(FORMAT_VERSION).alias("version"), F.lit(host).alias("host"), own("filename").alias("filename"),
+        *[F.lit(v).alias(k) for k, v in (component or {}).items()],
+        scoped("path_params").alias("path_params"), scoped("request_url").alias("request_url"), *named,
+        *[F.when(failed, own(c, t)).alias(c) for c, t in (("process", "bigint"), ("thread_name", "string"), ("process_name", "string"))],
+        F.map_concat(F.map_filter(kept, lambda k, _: ~F.map_contains_key(renamed, k)), renamed).alias("fields"),
+    )
+
+
+def _names() -> Column:
+    return F.create_map(*[F.lit(x) for pair in HEADER_NAMES.items() for x in pair])
+
+
 def drop_health_checks(records: DataFrame) -> DataFrame:
     return records.where(F.coalesce(F.col("path"), F.lit("")) != "/health")
 

@@ -37,13 +37,15 @@ _STATE = "held string"  # JSON of the pieces that wait for the rest of their ans
 _EMPTY = {"session": None, "parts": {}, "last": -1, "matched": [], "done": False}
 
 
-def _collect(key, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None = None) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:  # abandoned answer
+def _collect(key, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None = None, event_time: bool = False) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # abandoned or long finished
         state.remove()
         return
     held = json.loads(state.get[0]) if state.exists else dict(_EMPTY, parts={})
-    parts = held["parts"]
+    parts, latest = held["parts"], held.get("latest", 0)
     for frame in frames:
+        if event_time and len(frame):
+            latest = max(latest, int(frame["sent_at"].max().timestamp() * 1000))
         for row in frame.to_dict("records"):
             number, text = str(row["chunk_index"]), row["text"] or ""
             parts[number] = min(parts.get(number, text), text)  # as in the batch form
@@ -60,22 +62,30 @@ def _collect(key, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms:
         held = dict(_EMPTY, parts={}, done=True)
     elif held["done"]:
         held = dict(_EMPTY, parts={}, done=True)
+    held["latest"] = latest
     state.update((json.dumps(held),))
-    if timeout_ms:
+    if event_time:
+        state.setTimeoutTimestamp(max(latest + timeout_ms, state.getCurrentWatermarkMs() + 1))
+    elif timeout_ms:
         state.setTimeoutDuration(timeout_ms)
 
 
-def assemble_stream(pieces: DataFrame, timeout_minutes: int | None = None) -> DataFrame:
+def assemble_stream(pieces: DataFrame, timeout_minutes: int | None = None, late_minutes: int | None = None) -> DataFrame:
     """Emit an answer once, as soon as its last missing piece is there.
 
-    With a timeout, answers that get no piece for so long are dropped; this suits a continuous run, because a drained
-    run with a processing-time timeout never ends.
+    Without a timeout a mark of each finished answer stays for good. With ``late_minutes`` the pieces carry ``sent_at``: the state of an answer,
+    finished or not, goes ``timeout_minutes`` after its latest piece by event time, once pieces that are ``late_minutes`` younger have come.
+    Pieces older than that are dropped. This ends in a drained run too, since it does not wait for a clock. With a timeout alone, processing time
+    counts; this suits a continuous run, because a drained run with a processing-time timeout never ends.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_minutes else GroupStateTimeout.NoTimeout
-    timeout_ms = timeout_minutes * 60_000 if timeout_minutes else None
+    by_event = late_minutes is not None
+    if by_event:
+        pieces = pieces.withWatermark("sent_at", f"{late_minutes} minutes")
+    timeout = GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout if timeout_minutes else GroupStateTimeout.NoTimeout
+    timeout_ms = (timeout_minutes or 0) * 60_000 or (1 if by_event else None)
 
     def collect(key, frames, state):
-        return _collect(key, frames, state, timeout_ms)
+        return _collect(key, frames, state, timeout_ms, by_event)
 
     return pieces.groupBy("response_id").applyInPandasWithState(collect, _OUT, _STATE, "append", timeout)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import versions
 from ..operators.events import metric_columns
 from ..sources.logs import drop_health_checks, normalise_records
 
@@ -19,12 +21,14 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", na
     return reader.load(path)
 
 
-def drain(stream: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append everything that is available to a file sink with its checkpoint, then stop."""
+def drain(stream: DataFrame, path: str, partition_by: list[str] | None = None) -> list[dict]:
+    """Append everything that is available to a file sink with its checkpoint, then stop; the progress of the micro-batches."""
     writer = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
 
 
 def drain_batches(stream: DataFrame, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
@@ -41,6 +45,19 @@ def drain_batches(stream: DataFrame, path: str, change: Callable[[DataFrame], Da
     query.trigger(availableNow=True).start().awaitTermination()
 
 
+def drain_versions(stream: DataFrame, path: str, partitions: list[str], name: str) -> None:
+    """Add every micro-batch to a table that changes by versions; a repeated batch is in already and is not added again.
+
+    Closed partitions are compacted beside the stream (:func:`kbspark.operators.versions.compact`), in the same process or while it rests.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        versions.append(batch, path, partitions, mark=(name, batch_id))
+
+    query = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(save)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
 # --- event log -----------------------------------------------------------------------------------------------
 
 
