@@ -7,8 +7,8 @@ are less alike than independent ones and estimate the similarity with less varia
 
 Documents with one set are one node. Nodes meet in bands of four places; at a similarity of 0.8 all 32 bands miss with a probability of 5e-8.
 A band's group is never paired with itself. Its members are first compared with its most shared member, whose links join most of a group of
-copies. What is left are members outside the largest component of a group; only these ask the group, in parts of bounded size, and only for
-members of other components whose signatures agree well enough: first for the best few, then for all. Links are confirmed on whole sets.
+copies. What is left are members outside the largest component of a group; only these ask the group, in parts of bounded size, for members of
+other components whose signatures agree well enough, and a part passes on the links of a forest. All links are confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ ROWS = 4  # places of a band; as 64 bits they are the band's value
 BANDS = PLACES // ROWS
 # Least number of equal places for a pair to be confirmed: 5 standard deviations below what a similarity of 0.8 gives.
 ALIKE = 79
-PART = 512  # members of a group that are asked in one part
-BEST = 4  # partners that a member is confirmed with before all
+PART, BLOCK = 128, 256  # members of a group that are asked, and that ask, in one task
+PART_SHINGLES = 1 << 21  # of all sets on one side
 _LINKS_PER_COPY = 256  # links that meet one copy of a set
 _SLICE = 1 << 16  # shingles signed at once
 _TEXT = 1 << 20  # bytes split into words at once
@@ -178,8 +178,8 @@ def _with_set(links: DataFrame, column: str, sets: DataFrame, name: str) -> Data
     many = materialise(per.where("copies > 1"), "many-links").withColumnRenamed(column, "many")
     dealt = links.join(small(many), F.col(column) == F.col("many"), "left")
     dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("src", "dst"), F.coalesce("copies", F.lit(1))).cast("int")).drop("many", "copies")
-    wanted = sets.join(per.withColumnRenamed(column, "wanted"), F.col("node") == F.col("wanted"))
-    copied = wanted.select("wanted", F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("of_copy"))
+    linked = sets.join(small(materialise(per, "linked").withColumnRenamed(column, "wanted")), F.col("node") == F.col("wanted"))
+    copied = linked.select("wanted", F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("of_copy"))
     return dealt.join(copied, (F.col(column) == F.col("wanted")) & (F.col("copy") == F.col("of_copy"))).drop("wanted", "copy", "of_copy")
 
 
@@ -190,69 +190,105 @@ def confirmed(links: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (F.size("one") + F.size("other") - common)).select("src", "dst")
 
 
-def _asked(best: int | None):
-    """Pairs (src, dst) between the asking members and the others of a part. In a part the others come first."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
 
-    def pairs(there: dict[str, np.ndarray], here: dict[str, np.ndarray], band: int) -> Iterator[np.ndarray]:
+
+class _Forest:
+    """Which nodes of a part are joined already."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.parent[self.find(x)] = self.find(y)
+
+
+def _asked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the asking members and the others of a part and block, those of a forest; in the rows the others come first."""
+    key, there, forest = None, None, _Forest()
+
+    def links(here: dict) -> Iterator[tuple[int, int]]:
         for low in range(0, len(here["node"]), 64):
-            node, n, root, code, main = [here[k][low : low + 64, None] for k in ("node", "n", "root", "code", "main")]
-            equal = code == there["code"][None, :, :]
-            alike = equal.sum(axis=2)
-            earlier = equal[:, :, : band * ROWS].reshape(*equal.shape[:2], band, ROWS).all(axis=3).any(axis=2) if band else np.zeros(alike.shape, dtype=bool)
+            code = here["code"][low : low + 64]
+            alike = (code[:, None, :] == there["code"][None, :, :]).sum(axis=2)
+            n = here["n"][low : low + 64, None]
             fits = 100 * np.minimum(n, there["n"]) >= PERCENT * np.maximum(n, there["n"])
-            twice = ~there["main"] & (there["node"] < node)  # both ask
-            ok = (alike >= ALIKE) & ~earlier & fits & (root != there["root"]) & ~twice
-            i, j = np.nonzero(ok)
-            if best is not None and len(i):
-                order = np.lexsort((there["node"][j], -alike[i, j], there["root"][j], i))
-                i, j = i[order], j[order]
-                new = np.concatenate([[True], (i[1:] != i[:-1]) | (there["root"][j[1:]] != there["root"][j[:-1]])])
-                first = np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-                keep = np.arange(len(i)) - first < best
-                i, j = i[keep], j[keep]
-            if len(i):
-                yield np.stack([node[i, 0], there["node"][j]], axis=1)
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, there = None, None
-        for batch in batches(source, 4096):
-            if not batch.num_rows:
-                continue
-            numbers = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1)
-            role = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            code = np.frombuffer(b"".join(batch.column(8).to_pylist()), dtype="<u2").reshape(-1, PLACES)
-            data = {"node": 4, "n": 5, "root": 6}
-            data = {k: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for k, c in data.items()}
-            data |= {"main": batch.column(7).to_numpy(zero_copy_only=False).astype(bool), "code": code}
-            edges = np.flatnonzero((numbers[1:] != numbers[:-1]).any(axis=1) | (role[1:] != role[:-1])) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(role)], strict=True):
-                part = {k: v[a:b] for k, v in data.items()}
-                if tuple(numbers[a].tolist()) != key:
-                    key, there = tuple(numbers[a].tolist()), None
-                if role[a] == 0:
-                    there = part if there is None else {k: np.concatenate([there[k], part[k]]) for k in part}
-                elif there is not None:
-                    for found in pairs(there, part, key[0]):
-                        yield pa.RecordBatch.from_pydict({"src": found[:, 0], "dst": found[:, 1]})
-
-    return run
-
-
-def asked(met: DataFrame, roots: DataFrame, nodes: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (src, dst) of group members in different components whose signatures agree well enough: for each member outside the largest
-    component of a group and each other component, the ``best`` by agreement in every part, or all."""
+            twice = there["asks"] & (there["node"] < here["node"][low : low + 64, None])  # both ask
+            ok = (alike >= ALIKE) & fits & ~twice
+            for i in np.flatnonzero(ok.any(axis=1)).tolist():
+                own, root = here["sets"][low + i], int(here["root"][low + i])
+                found = np.flatnonzero(ok[i])
+                for j in found[np.argsort(-alike[i, found], kind="stable")].tolist():
+                    other = int(there["root"][j])
+                    if forest.find(root) == forest.find(other):
+                        continue
+                    common = _common(own, there["sets"][j])
+                    if 100 * common >= PERCENT * (len(own) + len(there["sets"][j]) - common):
+                        forest.join(root, other)
+                        yield int(here["node"][low + i]), int(there["node"][j])
+
+    for batch in batches(source, 512):
+        if not batch.num_rows:
+            continue
+        numbers = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1)
+        role = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = {k: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for k, c in {"node": 4, "n": 5, "root": 6}.items()}
+        data["asks"] = batch.column(7).to_numpy(zero_copy_only=False).astype(bool)
+        data["code"] = np.frombuffer(b"".join(batch.column(8).to_pylist()), dtype="<u2").reshape(-1, PLACES)
+        flat, ends = batch.column(9).flatten().to_numpy(zero_copy_only=False), np.append(0, data["n"].cumsum())
+        edges = np.flatnonzero((numbers[1:] != numbers[:-1]).any(axis=1) | (role[1:] != role[:-1])) + 1
+        found = []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(role)], strict=True):
+            part = {k: v[a:b] for k, v in data.items()}
+            part["sets"] = [flat[ends[i] : ends[i + 1]] for i in range(a, b)]
+            if tuple(numbers[a].tolist()) != key:
+                key, there, forest = tuple(numbers[a].tolist()), None, _Forest()
+            if role[a] == 0:
+                there = part if there is None else {k: there[k] + part[k] if k == "sets" else np.concatenate([there[k], part[k]]) for k in part}
+            elif there is not None:
+                found += links(part)
+        if found:
+            table = np.array(found, dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"src": table[:, 0], "dst": table[:, 1]})
+
+
+def asked(met: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (src, dst) between members of groups that are in different components, enough to join what all of them would.
+
+    Members outside the largest component of a group ask all members of the groups with that component, whichever band they met in. Both sides
+    are cut into parts of bounded size, so a large group becomes many tasks and nothing of it is left out.
+    """
     rooted = met.join(roots, F.col("node") == F.col("of_node"), "left").select(*met.columns, F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("share"))
     main = split.groupBy("band", "value").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("share", "root")).alias("top")).where("roots > 1")
     open_groups = main.select("band", "value", F.col("top.root").alias("main_root"))
-    left = rooted.join(open_groups, ["band", "value"]).withColumn("main", F.col("root") == F.col("main_root"))
-    left = left.join(nodes.select(F.col("node").alias("signed"), "signature"), F.col("node") == F.col("signed"))
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    there = left.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("role", F.lit(0))
-    here = left.where("NOT main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("role", F.lit(1))
-    columns = ["band", "value", "part", "role", "node", "n", "root", "main", "signature"]
-    rows = there.select(*columns).union(here.select(*columns)).repartition("band", "value", "part")
-    return rows.sortWithinPartitions("band", "value", "part", "role").mapInArrow(_asked(best), "src long, dst long").distinct()
+    cluster = rooted.join(open_groups, ["band", "value"]).select("main_root", "node", "n", "root").distinct()
+    cluster = materialise(cluster.withColumn("asks", F.col("root") != F.col("main_root")), "open-clusters")
+
+    def parts(rows: Column, shingles: Column, most: int) -> Column:
+        return F.greatest(F.ceil(rows / most), F.ceil(shingles / PART_SHINGLES)).cast("int")
+
+    asking = F.col("asks").cast("int")
+    sizes = cluster.groupBy("main_root").agg(
+        parts(F.count(F.lit(1)), F.sum("n"), PART).alias("parts"), parts(F.sum(asking), F.sum(asking * F.col("n")), BLOCK).alias("blocks")
+    )
+    sizes = materialise(sizes.withColumnRenamed("main_root", "of_root"), "cluster-sizes")
+    placed = cluster.join(small(sizes), F.col("main_root") == F.col("of_root")).join(nodes.select("node", "signature"), "node").join(sets, "node")
+    number = F.xxhash64("node")
+    there = placed.withColumns({"part": F.pmod(number, F.col("parts")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    here = placed.where("asks").withColumns({"block": F.pmod(number, F.col("blocks")).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    keys = ["main_root", "part", "block"]
+    columns = ["node", "n", "root", "asks", "signature", "shingles"]
+    rows = there.select(*keys, F.lit(0).alias("role"), *columns).union(here.select(*keys, F.lit(1).alias("role"), *columns))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(_asked, "src long, dst long").distinct()
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -266,19 +302,17 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(moved.union(fresh_nodes), "roots")
 
 
-def linked_roots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Smallest node reachable over links from each node that has one: (of_node, root). ``nodes`` (node, n, signature) and ``sets`` (node,
-    shingles) are stored tables."""
+def linked_roots(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Smallest node reachable over links from each node that has one: (of_node, root). ``nodes`` (node, n, signature) and ``rows`` (row,
+    shingles, a row per node among others) are stored tables. Sets are read again only for nodes that share a band with another."""
     met = materialise(members(nodes), "band-members")
+    wanted = materialise(met.select("node").distinct(), "candidates")
+    sets = rows.select(F.col("row").alias("node"), "shingles").join(small(wanted), "node", "left_semi")
+    sets = materialise(sets, "candidate-sets")
     links = materialise(stars(met), "star-links")
     first = materialise(confirmed(links, sets), "confirmed")
     roots = materialise(components(first).select(F.col("node").alias("of_node"), "root"), "roots")
-    for best in (BEST, None):
-        pairs = materialise(asked(met, roots, nodes, best), "asked-pairs")
-        if pairs.isEmpty():
-            break
-        roots = joined_roots(roots, materialise(confirmed(pairs, sets), "confirmed"))
-    return roots
+    return joined_roots(roots, materialise(asked(met, roots, nodes, sets), "asked-links"))
 
 
 def membership(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -291,8 +325,8 @@ def membership(docs: DataFrame, key: str, text: str) -> DataFrame:
     least = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"))).alias("least")
     grouped = rows.where("n > 0").groupBy("high", "low").agg(F.min("row").alias("node"), least, F.count(F.lit(1)).alias("copies"))
     sets = materialise(grouped, "sets")
-    nodes = rows.join(sets.select(F.col("node").alias("first")), F.col("row") == F.col("first"), "left_semi").withColumnRenamed("row", "node")
-    roots = linked_roots(nodes.select("node", "n", "signature"), nodes.select("node", "shingles"))
+    nodes = rows.select(F.col("row").alias("node"), "n", "signature").join(sets.select("node"), "node", "left_semi")
+    roots = linked_roots(materialise(nodes, "nodes"), rows)
     rooted = sets.join(roots, F.col("node") == F.col("of_node"), "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     classes = materialise(rooted.drop("least").join(smallest, "root").select("high", "low", "copies", "component"), "set-classes")

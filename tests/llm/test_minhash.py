@@ -69,10 +69,11 @@ def near_copies(rng, n, length):
     return [" ".join(edited(rng, base, rng.choice((0, 1, 1, 2, 3, 4, 6)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("part", "best", "copies"), [(512, 4, 256), (16, 1, 3)])
-def test_large_groups_of_near_copies(spark, monkeypatch, part, best, copies):
+@pytest.mark.parametrize(("part", "block", "shingles", "copies"), [(128, 256, 1 << 21, 256), (16, 7, 1 << 21, 3), (128, 256, 900, 256)])
+def test_large_groups_of_near_copies(spark, monkeypatch, part, block, shingles, copies):
     monkeypatch.setattr(minhash, "PART", part)
-    monkeypatch.setattr(minhash, "BEST", best)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PART_SHINGLES", shingles)
     monkeypatch.setattr(minhash, "_LINKS_PER_COPY", copies)
     rng = random.Random(part)
     texts = [*near_copies(rng, 260, 100), *near_copies(rng, 80, 60), *near_copies(rng, 60, 25)]
