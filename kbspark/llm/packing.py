@@ -74,7 +74,7 @@ def encoder(vocabulary: str) -> _Words:
 
 def encode(text: str, words: _Words) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit numbers, without the end. A string of an added token in the text is that token."""
-    if words.cut is not None and words.cut.search(text):
+    if any(token in text for token in words.added):
         return b"".join([words.added.get(part) or _encode(part, words) for part in words.cut.split(text)])
     return _encode(text, words)
 
