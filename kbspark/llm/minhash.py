@@ -36,7 +36,7 @@ PART_SHINGLES = 1 << 21  # of all sets on one side
 _LINKS_PER_COPY = 256  # links that meet one copy of a set
 _SLICE = 1 << 16  # shingles signed at once
 _TEXT = 1 << 20  # bytes split into words at once
-_HASHED = 300_000  # word hashes that a worker keeps
+_HASHED = 150_000  # word hashes that a worker keeps
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # splitmix64
 
