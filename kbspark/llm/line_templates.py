@@ -3,7 +3,9 @@
 A line is parsed into tokens. The first level of the tree is the number of tokens, the next levels are the leading tokens; tokens that hold a
 digit are variable fields everywhere. A template needs literal tokens: one of the leading tokens and half of all. Lines of numbers, which have
 too few of them, are compared by their exact tokens. Below a leaf a line stands for its own tokens and for the templates in which one of a few contiguous
-fields of the rest is variable. Templates are hashes, so a leaf is never gathered: its lines meet by grouping alone.
+fields of the rest is variable. A line too short for such fields may vary in any one token, a leading one too; each of these templates is a leaf
+of its own, as the others of its leaf would not share its leading tokens. Templates are hashes, so a leaf is never gathered: its lines meet by
+grouping alone.
 
 A template recurs when it is found in enough unlike documents. Documents are alike if links between SimHash fingerprints join them, the same
 ones that near-duplicate removal goes by, so no line decides alone and lines that occur together do not hide each other. Copies of whole
@@ -61,23 +63,32 @@ def leaf(parts: list[bytes]) -> int:
     return _hash([b"%d" % len(parts), *parts[:LEADING]])
 
 
-def templates(parts: list[bytes]) -> list[int]:
-    """The templates that a line stands for: its own tokens, then one variable field each where enough literal tokens are left."""
-    own = [_hash([b"0", *parts])]
-    rest = len(parts) - LEADING
-    if rest < FIELDS:
-        return own
-    left = _literal(parts)
+def branches(parts: list[bytes]) -> list[tuple[int, int]]:
+    """The templates that a line stands for, each with its leaf: its own tokens, then one variable field each where enough literal tokens are left."""
+    at = leaf(parts)
+    own = [(at, _hash([b"0", *parts]))]
+    rest, left = len(parts) - LEADING, _literal(parts)
     if _DIGIT.search(b" ".join(parts)) or left < len(parts) and not _enough(parts):
         return own  # digits are left in exact lines only
+    if rest < FIELDS:
+        for j, token in enumerate(parts):
+            still = left - _literal([token])
+            if still >= 2 and 2 * still >= len(parts) and token != VARIABLE:
+                template = _hash([b"%d" % (j + 1), *parts[:j], VARIABLE, *parts[j + 1 :]])
+                own.append((template, template))
+        return own
     for j in range(FIELDS):
         a, b = LEADING + rest * j // FIELDS, LEADING + rest * (j + 1) // FIELDS
         if left < len(parts) and 2 * (left - _literal(parts[a:b])) < len(parts):
             continue
-        own.append(_hash([b"%d" % (j + 1), *parts[:a], *[VARIABLE] * (b - a), *parts[b:]]))
+        own.append((at, _hash([b"%d" % (j + 1), *parts[:a], *[VARIABLE] * (b - a), *parts[b:]])))
     return own
 
 
+def templates(parts: list[bytes]) -> list[int]:
+    return [t for _, t in branches(parts)]
+
+
 def parsed(text: bytes) -> dict[int, list[bytes]]:
     """Distinct lines of a text by the hash of their tokens; short lines are left out."""
     out = {}
@@ -90,7 +101,13 @@ def parsed(text: bytes) -> dict[int, list[bytes]]:
 
 def _leaves(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(source):
-        found = [(leaf(p), len(p) >= LONG_TOKENS) for text in utf8(batch.column(0)) for p in parsed(text).values()]
+        found = []
+        for text in utf8(batch.column(0)):
+            for p in parsed(text).values():
+                if len(p) >= LEADING + FIELDS:
+                    found.append((leaf(p), len(p) >= LONG_TOKENS))
+                else:
+                    found += [(x, False) for x in {x for x, _ in branches(p)}]
         yield pa.RecordBatch.from_pydict({"leaf": pa.array([x for x, _ in found], pa.int64()), "long": pa.array([x for _, x in found], pa.bool_())})
 
 
@@ -104,9 +121,10 @@ def _members(lookup):
             for text in utf8(batch.column(0)):
                 own = []
                 for parts in parsed(text).values():
-                    at = leaf(parts)
-                    if leaves is None or at in leaves:
-                        own += [(at, t, len(parts) >= LONG_TOKENS) for t in templates(parts)]
+                    if len(parts) < LEADING + FIELDS:
+                        own += [(x, t, False) for x, t in branches(parts) if leaves is None or x in leaves]
+                    elif leaves is None or leaf(parts) in leaves:
+                        own += [(x, t, len(parts) >= LONG_TOKENS) for x, t in branches(parts)]
                 if own:
                     fp = simhash.fingerprint(text)
                     fp -= (fp >> 63) << 64

@@ -206,6 +206,18 @@ def test_line_dedup_of_long_passages_and_of_one_line_documents(spark):
     assert left_of(spark, copies) == copies
 
 
+def test_line_dedup_of_short_lines_with_names(spark):
+    r = random.Random(16)
+    names = ["Alice", "Bob", "Carol", "Dan", "Eve", "Frank", "Grace", "Heidi", "Ivan", "Judy"]
+    mine = [own_line(r) for _ in names]
+    for line in ("Posted by {} in Sports", "Posted by {}", "{} has replied to you", "Ask {} again", "From 12 Mar by {}"):
+        assert left_of(spark, [f"{m}\n{line.format(n)}" for m, n in zip(mine, names)]) == mine, line
+    kept = [f"{m}\n{a} {n} {b}\n{a} {b}\n- {n} {b}" for m, n, a, b in zip(mine, names, names[1:] + names[:1], names[2:] + names[:2])]
+    assert left_of(spark, kept) == kept  # two names of three tokens differ
+    few = [f"{m}\nPosted by {n} in Sports" for m, n in zip(mine[:7], names)]
+    assert left_of(spark, few) == few
+
+
 def test_line_dedup_keeps_rows_of_numbers(spark):
     r = random.Random(14)
     row = lambda: f"{r.randint(1, 99)} {r.random():.3f} {r.randint(1900, 2030)} {r.randint(0, 9)} {r.random():.3f} 7 {r.randint(0, 999)}"
