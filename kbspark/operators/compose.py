@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import CONTEXT_TURNS
 from ..functions import text as tx
@@ -22,17 +22,24 @@ def corpus_chunks(files: DataFrame, entries: DataFrame, model: str = "hashed_bag
     entry are left out.
     """
     documents, rejected = parse_files(files)
-    own = documents.join(entries.select("path", "kb_id", "project_id"), "path")
-    headed = own.withColumn("text", tx.with_header(F.col("text"), F.col("path")))
-    chunks = chunking.chunk_records(headed, F.col("page") - 1)
-    chunks = knn.embed(chunks, model).withColumn("_id", F.concat_ws("_", "kb_id", F.col("page").cast("string"), F.col("chunk_idx").cast("string")))
-    general = entries.withColumn("source_file", F.col("path")).withColumn("embedding_model", F.lit(model))
+    general = entries.withColumns({"source_file": F.col("path"), "embedding_model": F.lit(model)})
     for name, kind in (("language", "string"), ("source_type", "string"), ("custom", "string"), ("created_at", "timestamp")):
         if name not in general.columns:
             general = general.withColumn(name, F.lit(None).cast(kind))
-    described = store.assemble_metadata(chunks.drop("project_id", "path"), general.drop("path")).drop("kb_id")
-    rows = chunks.select("_id", "kb_id", "project_id", "text", "vector").join(described, "_id")
-    return rows.withColumn("model_partition", tx.partition_name(F.lit(model))), rejected
+    # an entry with several files: the file is part of the chunk's id
+    several = F.count(F.lit(1)).over(Window.partitionBy("kb_id")) > 1
+    general = general.withColumn("of_file", F.when(several, tx.text_hash(F.col("path"))))
+    own = documents.join(general.select("path", F.struct(*[c for c in general.columns if c != "path"]).alias("entry")), "path")
+    headed = own.withColumn("text", tx.with_header(F.col("text"), F.col("path")))
+    chunks = chunking.chunk_records(headed, F.col("page") - 1)
+    entry = lambda c: F.col(f"entry.{c}")
+    described = store.metadata_struct(F.col, entry, chunks.columns, general.columns).alias("metadata")
+    place = [F.col("page").cast("string"), F.col("chunk_idx").cast("string")]
+    rows = knn.embed(chunks, model).select(
+        F.concat_ws("_", entry("kb_id"), entry("of_file"), *place).alias("_id"), entry("kb_id").alias("kb_id"), entry("project_id").alias("project_id"),
+        "text", "vector", described, tx.partition_name(F.lit(model)).alias("model_partition"),
+    )
+    return rows, rejected
 
 
 def ingest(files: DataFrame, entries: DataFrame, path: str, model: str = "hashed_bag") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..constants import CRAWL_MAX_PAGES, MIME_SOURCE
 from ..functions import html, urls
@@ -151,8 +152,8 @@ def crawl_plan(
         if rules is not None:
             checked = robots_allowed(checked, rules, agent).withColumn("ok", F.col("ok") & F.col("allowed")).drop("allowed")
         resolved = checked.join(moved, "url", "left").withColumn("final_url", F.coalesce("_to", "url")).drop("_to")
-        level = stored(resolved.withColumn("final_ok", F.col("ok") & target_ok), f"{base}/level/round={depth}")
-        if level.isEmpty():
+        level, counts = _counted(resolved.withColumn("final_ok", F.col("ok") & target_ok), f"{base}/level/round={depth}", rows=F.lit(True))
+        if not counts["rows"]:
             break
         # a URL goes to the first that claims it: as its own address or as the target of an admitted redirect
         claims = level.where((F.col("final_url") == F.col("url")) | F.col("ok"))
@@ -163,9 +164,9 @@ def crawl_plan(
             old = known.withColumnRenamed("url", "final_url")
             claims = claims.where(F.col("final_url") == F.col("url")).unionByName(redirected.join(old, ["crawl_id", "final_url"], "left_anti"))
         fetched = claims.join(found, "final_url").withColumn("mimetype", mimetype).where(supported)
-        fetched = stored(fetched.withColumn("depth", F.lit(depth).cast("long")), f"{base}/fetched/round={depth}")
+        fetched, counts = _counted(fetched.withColumn("depth", F.lit(depth).cast("long")), f"{base}/fetched/round={depth}", pages=is_html)
         kept, ended = fetched, None
-        pages_seen += fetched.where(is_html).count()
+        pages_seen += counts["pages"]
         if pages_seen >= opts.max_pages:
             # some crawl may have reached its budget: cut each behind the last HTML page that still counts; the rank is bounded below the shuffle
             left = F.lit(opts.max_pages).cast("long")
@@ -195,6 +196,22 @@ def crawl_plan(
     return visits.select("crawl_id", "url", "final_url", "depth", "visit_key", "mimetype", "title")
 
 
+def _counted(df: DataFrame, path: str, **what: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` stored at ``path``, and how many of its rows each condition holds for, counted while they are written."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    out = stored(df.observe(seen, *[F.count_if(c).alias(name) for name, c in what.items()]), path)
+    found = seen.get
+    return out, {name: found.get(name) or 0 for name in what}
+
+
+def rejected_pages(pages: DataFrame, opts: CrawlOptions) -> DataFrame:
+    """Fetched pages (url, content_type) that a crawl leaves out for their type, with the type and the reason."""
+    mimetype = urls.mime_type(F.col("url"), F.col("url"), F.col("content_type")).alias("mimetype")
+    m = F.col("mimetype")
+    reason = F.when(m.isNull(), "unknown type").when(m.isin(*opts.exclude_mimetypes), "excluded type").when(~m.isin(*opts.supported_mimetypes()), "unsupported type")
+    return pages.select("url", mimetype).withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def crawl_records(visited: DataFrame, project_id: str, language: str) -> DataFrame:
     """Catalog entries of a crawl without uploading anything."""
     return visited.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from pyspark.sql.types import StructType
@@ -19,25 +21,33 @@ _LOADER_TYPES = {
 }
 
 
-def assemble_metadata(loader: DataFrame, general: DataFrame) -> DataFrame:
-    """Defaults, then the loader's fields, then the fields of the entry; unknown fields are dropped."""
-    rows = loader.alias("l").join(general.alias("g"), "kb_id")
+def metadata_struct(loader: Callable[[str], Column], general: Callable[[str], Column], given: list[str], described: list[str]) -> Column:
+    """Defaults, then the fields that the loader has ``given``, then those of the entry; unknown fields are dropped. ``loader`` and ``general``
+    give the column of a field, ``described`` are the fields of the entries."""
     fields: list[Column] = []
     for name, default in LOADER_DEFAULTS.items():
         kind = _LOADER_TYPES[name]
-        value = F.col(f"l.{name}").cast(kind) if name in loader.columns else F.lit(None).cast(kind)
+        value = loader(name).cast(kind) if name in given else F.lit(None).cast(kind)
         fields.append(F.coalesce(value, F.lit(default).cast(kind)).alias(name))
     fields += [
-        F.col("kb_id"),
-        F.col("g.project_id").alias("project_id"),
-        F.coalesce(F.col("g.language"), F.lit(DEFAULT_LANGUAGE)).alias("language"),
-        F.col("g.source_file").alias("source_file"),
-        F.coalesce(F.col("g.source_type"), F.lit("pdf")).alias("source_type"),
-        F.col("g.custom").alias("custom"),
+        general("kb_id").alias("kb_id"),
+        general("project_id").alias("project_id"),
+        F.coalesce(general("language"), F.lit(DEFAULT_LANGUAGE)).alias("language"),
+        general("source_file").alias("source_file"),
+        F.coalesce(general("source_type"), F.lit("pdf")).alias("source_type"),
+        general("custom").alias("custom"),
     ]
-    fields += [F.col(f"g.{c}").alias(c) for c in ("embedding_model", "created_at") if c in general.columns]
+    fields += [general(c).alias(c) for c in ("embedding_model", "created_at") if c in described]
+    return F.struct(*fields)
+
+
+def assemble_metadata(loader: DataFrame, general: DataFrame) -> DataFrame:
+    """Metadata of the loader's rows with those of their entries, by ``kb_id``; see :func:`metadata_struct`."""
+    rows = loader.alias("l").join(general.alias("g"), "kb_id")
+    entry = lambda c: F.col(c) if c == "kb_id" else F.col(f"g.{c}")
+    made = metadata_struct(lambda c: F.col(f"l.{c}"), entry, loader.columns, general.columns)
     keep = [F.col("l._id").alias("_id")] if "_id" in loader.columns else []
-    return rows.select("kb_id", *keep, F.struct(*fields).alias("metadata"))
+    return rows.select("kb_id", *keep, made.alias("metadata"))
 
 
 def first_metadata(chunks: DataFrame) -> DataFrame:
