@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ _STRIDE = 32
 _BYTES = 1 << 20  # texts aligned at once
 _LINKS = 1 << 20  # links expanded at once
 _WIDE = 4096  # links of a group that is expanded by distinct ids
-_UNITS = 150_000  # encoded units that a worker keeps
+_UNITS = 300_000  # encoded units that a worker keeps
 
 
 def _from(longer: np.ndarray, start: np.ndarray, sought: np.ndarray) -> np.ndarray:
@@ -105,37 +106,42 @@ class Tokenizers:
         self.b_decimal = [np.array([b"%d%s" % (i, end) for i in range(size)], dtype=object) for end in (b",", b";")]
         self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
-    def unit(self, text: str) -> tuple[bytes, bytes, bool]:
-        """Ids of space+text by A, ids by B, both as 32-bit numbers, and whether B's tokens give space+text again."""
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) >= _UNITS:
-                self.known.clear()
-            ids = self.pieces.encode(text)
-            whole = b"".join([self.b_tokens[i] for i in ids]) == f" {text}".encode()
-            found = np.array(self.words.encode(f" {text}"), dtype="<u4").tobytes(), np.array(ids, dtype="<u4").tobytes(), whole
-            if len(text) <= 48:
-                self.known[text] = found
-        return found
-
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids by A and by B; None if the text is empty or B's tokens do not give it again."""
-        if not text:
-            return None
+    def _units(self, text: str) -> list[str]:
         if not self.cut:
-            units = [text]
-        elif text[0] == " " or text[-1] == " " or _RUN.search(text):
-            units = _GAP.split(text)
-        else:
-            units = text.split(" ")
-        unit = self.unit
-        found = [unit(u) for u in units]
-        a, b = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
-        if not all([f[2] for f in found]):
-            joined = b"".join([self.b_tokens[i] for i in np.frombuffer(b, dtype="<u4").tolist()])
-            if joined != f" {text}".encode():
-                return None
-        return a, b
+            return [text]
+        if text[0] == " " or text[-1] == " " or _RUN.search(text):
+            return _GAP.split(text)
+        return text.split(" ")
+
+    def _coded(self, units: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """Ids of space+unit by A, ids of the unit by B, both as 32-bit numbers, and whether B's tokens give space+unit again."""
+        out, tokens = [], self.b_tokens
+        for unit, b in zip(units, self.pieces.encode(units, num_threads=1), strict=True):
+            a = self.words.encode(f" {unit}")
+            out.append((array("I", a).tobytes(), array("I", b).tobytes(), b"".join([tokens[i] for i in b]) == f" {unit}".encode()))
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids by A and by B of each text; None if it is empty or B's tokens do not give it again. Units not met before are encoded together."""
+        cut, known = [self._units(t) if t else [] for t in texts], self.known
+        new = {u for units in cut for u in units if u not in known}
+        if len(known) + len(new) > _UNITS:
+            known.clear()
+            new = {u for units in cut for u in units}
+        order = list(new)
+        known.update(zip(order, self._coded(order), strict=True))
+        out: list[tuple[bytes, bytes] | None] = []
+        for text, units in zip(texts, cut, strict=True):
+            found = [known[u] for u in units]
+            a, b = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+            whole = all([f[2] for f in found])
+            if not whole:  # the pieces of the whole text decide
+                whole = b"".join([self.b_tokens[i] for i in np.frombuffer(b, dtype=np.uint32).tolist()]) == f" {text}".encode()
+            out.append((a, b) if text and whole else None)
+        for u in order:
+            if len(u) > 48:
+                del known[u]
+        return out
 
 
 @dataclass
@@ -226,14 +232,14 @@ def aligned(docs: DataFrame, key: str, text: str, a: str = A, b: str = B) -> Dat
     schema = f"row long, key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<bigint>, times array<bigint>"
 
     def chunk(texts: list[str | None], tokens: Tokenizers) -> list[pa.Array]:
-        coded = [tokens.encode(t or "") for t in texts]
+        coded = tokens.encode([t or "" for t in texts])
         has = [i for i, c in enumerate(coded) if c is not None]
         numbers = np.zeros((4, len(texts)), dtype=np.int64)
         digests, offsets = [""] * len(texts), np.zeros(len(texts) + 1, dtype=np.int32)
         pairs = times = np.zeros(0, np.int64)
         if has:
-            ids_a = np.frombuffer(b"".join([coded[i][0] for i in has]), dtype="<u4")
-            ids_b = np.frombuffer(b"".join([coded[i][1] for i in has]), dtype="<u4")
+            ids_a = np.frombuffer(b"".join([coded[i][0] for i in has]), dtype=np.uint32)
+            ids_b = np.frombuffer(b"".join([coded[i][1] for i in has]), dtype=np.uint32)
             numbers[0, has], numbers[1, has] = [len(coded[i][0]) // 4 for i in has], [len(coded[i][1]) // 4 for i in has]
             a_ends, b_ends = tokens.a_bytes[ids_a].cumsum(), tokens.b_bytes[ids_b].cumsum()
             groups = grouped(ids_a, ids_b, a_ends, b_ends, a_ends[numbers[0, has].cumsum() - 1])
