@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import (
@@ -24,6 +26,9 @@ PIECES = T.ArrayType(
     )
 )
 
+_PIECE = pa.struct([("chunk_index", pa.int64()), ("text", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())])
+_AT_ONCE = 256  # texts whose pieces are Python objects at a time
+
 Splitter = Callable[[str, int, int, list], list]
 SPLITTERS: dict[str, Splitter] = {"separator": sp.span_pieces, "recursive": sp.recursive_pieces}
 
@@ -37,15 +42,19 @@ def pieces(text: Column, splitter: str, size: int, overlap: int, separators: lis
     """Chunks of a text column as an array of structs."""
     split = SPLITTERS[splitter]
 
-    def run(texts: pd.Series) -> pd.Series:
-        rows = [
-            [{"chunk_index": n, "text": t, "char_start": a, "char_end": b} for n, t, a, b in split(x, size, overlap, separators)]
-            if x is not None else []
-            for x in texts
-        ]
-        return pd.Series(rows, dtype=object)
+    def some(texts: pa.Array) -> pa.Array:
+        own = [split(x, size, overlap, separators) if x is not None else [] for x in texts.to_pylist()]
+        edges = np.cumsum([0, *map(len, own)], dtype=np.int32)
+        columns = zip(*(p for found in own for p in found), strict=True) if edges[-1] else [[]] * 4
+        parts = [pa.array(c, f.type) for c, f in zip(columns, _PIECE, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(parts, fields=list(_PIECE)))
+
+    def run(texts: pa.Array) -> pa.Array:
+        made = [some(texts.slice(low, _AT_ONCE)) for low in range(0, len(texts), _AT_ONCE)]
+        return pa.concat_arrays(made) if made else pa.array([], pa.list_(_PIECE))
 
-    return F.pandas_udf(run, PIECES)(text)
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # the annotations of this module are strings
+    return F.arrow_udf(run, PIECES)(text)
 
 
 def _exploded(df: DataFrame, made: Column, text: str) -> DataFrame:

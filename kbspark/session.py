@@ -29,9 +29,13 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+ARROW_BYTES = 2 << 20  # of the rows that a Python worker gets at once, about
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """What every job relies on: all times are UTC and the workers know the package."""
+    """What every job relies on: all times are UTC, the workers know the package and get bounded batches, however long the texts are."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     ship_package(spark)
     return spark
 
