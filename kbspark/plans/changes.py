@@ -1,6 +1,9 @@
 """Tables under change: versions, log compaction, statistics by difference, vectors kept from run to run."""
 
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import functions as F, types as T
 
 from ..functions import text as tx
 from ..operators import embeddings, knn, statistics, versions
@@ -94,12 +97,24 @@ def changed_statistics(spark, sf):
 DIMS = 16
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _bag(places: pa.Array) -> pa.Array:
+    """Sums per element of what tokens add; a place is twice the element, and one more where the token takes."""
+    n, sizes = len(places), pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+    flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    cell = np.repeat(np.arange(n) * DIMS, sizes) + flat // 2
+    sums = np.bincount(cell, weights=1.0 - 2.0 * (flat % 2), minlength=n * DIMS)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * DIMS), pa.array(sums))
+
+
 def md5_bag(text):
-    """A model that SQL can compute as well: each token adds or takes one from an element that its MD5 names."""
+    """A model that SQL can compute as well: each token adds or takes one from an element that its MD5 names.
+
+    Each token is hashed once; the elements are summed from small numbers, not by going over the tokens for each element.
+    """
     hashes = F.transform(tx.tokens(text), lambda t: F.md5(t))
-    places = F.transform(hashes, lambda h: F.struct((F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % DIMS).alias("at"), F.when(F.substring(h, 8, 1) < "8", 1.0).otherwise(-1.0).alias("by")))
-    one = lambda d: F.aggregate(places, F.lit(0.0), lambda a, p: a + F.when(p["at"] == d, p["by"]).otherwise(0.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), one)
+    place = lambda h: 2 * (F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % DIMS) + F.when(F.substring(h, 8, 1) < "8", 0).otherwise(1)
+    return _bag(F.transform(hashes, lambda h: place(h).cast("int")))
 
 
 knn.register_embedder("md5_bag", md5_bag)

@@ -25,3 +25,22 @@ def test_pieces_of_many_texts(spark):
     got = {(r.doc_id, r.chunk_index): (r.text, r.char_start, r.char_end) for r in out.collect()}
     assert {k[0] for k in got} == {n for n in range(700) if n % 5 > 1}
     assert got[7, 0] == ("a", 0, 1) and got[7, 1] == ("b7", 2, 4) and got[699, 1] == ("b69", 2, 5)
+
+
+def test_model_hashes_each_token_once(spark):
+    """The MD5 of a token is asked for in one place of the plan, whatever the number of elements, and its sums are right."""
+    from hashlib import md5
+
+    from kbspark.plans.changes import DIMS, md5_bag
+
+    def vector(words):
+        out = [0.0] * DIMS
+        for w in words:
+            h = md5(w.encode()).hexdigest()
+            out[int(h[:7], 16) % DIMS] += 1.0 if h[7] < "8" else -1.0
+        return out
+
+    texts = ["One two two\nthree", "", "x y z x", " \n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", md5_bag(F.col("text")).alias("v"))
+    assert {r.n: list(r.v) for r in rows.collect()} == {n: vector(t.lower().split()) for n, t in enumerate(texts)}
+    assert "sequence" not in rows._jdf.queryExecution().optimizedPlan().toString()
