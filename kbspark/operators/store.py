@@ -74,7 +74,8 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], partitions: list[str
     fresh = stored(incoming, scratch_path(spark, "upsert"))
     if exists(spark, path):
         old = spark.read.schema(fresh.schema).parquet(path)
-        touched = fresh.select(*partitions).distinct()
+        # few values, whatever the size of the store: sent to the rows, since rows dealt by them would be a task for each partition
+        touched = F.broadcast(fresh.select(*partitions).distinct())
         old = old.join(touched, partitions, "left_semi").select(*fresh.columns)
         fresh = stored(overwrite_by_key(old, fresh, keys), scratch_path(spark, "upsert"))
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)

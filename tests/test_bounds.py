@@ -44,3 +44,27 @@ def test_model_hashes_each_token_once(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", md5_bag(F.col("text")).alias("v"))
     assert {r.n: list(r.v) for r in rows.collect()} == {n: vector(t.lower().split()) for n, t in enumerate(texts)}
     assert "sequence" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_upsert_deals_no_rows_by_partition(spark, monkeypatch):
+    """The rows of a partition are not brought to one task to see whether the partition is touched."""
+    from kbspark.operators import store
+    from kbspark.session import scratch_path
+
+    rows = spark.range(200).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("kb_id"), (F.col("id") % 2).cast("string").alias("project_id"), F.lit("old").alias("v"))
+    path, plans, real = scratch_path(spark, "t-upsert"), [], store.stored
+
+    def kept(df, to):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, to)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.upsert(rows, path, ["kb_id", "project_id"], ["project_id"])
+        monkeypatch.setattr(store, "stored", kept)
+        store.upsert(rows.where("kb_id IN ('k1', 'k3') OR project_id = '0'").withColumn("v", F.lit("new")), path, ["kb_id", "project_id"], ["project_id"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans[-1].count("SortMergeJoin") == 1 and plans[-1].count("BroadcastHashJoin") == 1
+    assert {r.v: r["count"] for r in spark.read.parquet(path).groupBy("v").count().collect()} == {"new": 102, "old": 98}
