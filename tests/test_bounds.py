@@ -68,3 +68,57 @@ def test_upsert_deals_no_rows_by_partition(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plans[-1].count("SortMergeJoin") == 1 and plans[-1].count("BroadcastHashJoin") == 1
     assert {r.v: r["count"] for r in spark.read.parquet(path).groupBy("v").count().collect()} == {"new": 102, "old": 98}
+
+
+def test_index_sorts_texts_and_tokenises_once(spark, tmp_path, monkeypatch):
+    """The plan of the segments sorts texts, not tokens, and finds the tokens once; segments go on over batches; the result is that of the scan."""
+    from kbspark.operators import bm25, postings
+
+    seen, real = [], type(spark.range(1)).mapInArrow
+
+    def kept(df, *args, **kwargs):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, *args, **kwargs)
+
+    text = F.when(F.col("id") % 9 == 0, F.lit(None)).when(F.col("id") % 9 == 1, F.lit("...")).otherwise(F.concat_ws(" ", F.lit("common words"), F.col("id").cast("string"), F.repeat(F.lit("pad "), 300)))
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("p"), text.alias("text"))
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", kept)
+        postings.write(docs, str(tmp_path / "index"), ("p",))
+    plan = seen[0]
+    assert plan.count("regexp_extract_all") == 1
+    assert plan.index("regexp_extract_all") < plan.index("Sort [")  # the projection stands above the sort
+    assert spark.read.parquet(str(tmp_path / "index" / "documents")).count() == 1  # 3,111 documents, 940,000 tokens
+    asked = spark.createDataFrame([("a", "common 17", "2"), ("b", "words 40 pad", "1")], "query_id string, text string, p string")
+    shown = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc_id", "score", "rank").collect())
+    assert shown(postings.search(asked, str(tmp_path / "index"), ("p",))) == shown(bm25.search(asked, docs, ("p",)))
+
+
+def test_highlight_chooses_chunks_before_their_vectors(spark, monkeypatch):
+    """Chunks of pages without a hit are left out below the join that adds the vectors."""
+    from kbspark.operators import spans
+
+    plans, real = [], spans.stored
+
+    def kept(df, to):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, to)
+
+    monkeypatch.setattr(spans, "stored", kept)
+    page = [F.lit("p").alias("project_id"), F.lit("kb").alias("kb_id"), F.concat(F.lit("f"), F.col("d").cast("string")).alias("source_file"), F.lit(1).cast("long").alias("page")]
+    base = spark.range(0, 60, 1, 2).select(F.floor(F.col("id") / 3).alias("d"), (F.col("id") % 3).alias("j"), F.col("id").alias("vec_id"))
+    name = F.concat(F.lit("c"), F.col("d").cast("string"))
+    own = F.col("j") == 0
+    chunks = base.select(
+        *page, "vec_id", F.when(own, "L0").otherwise("L1").alias("chunk_level"), F.when(own, name).otherwise(F.concat_ws("_", name, "j")).alias("chunk_id"),
+        F.when(~own, name).alias("parent_chunk_id"), F.concat(F.lit("text "), "d").alias("text"), F.lit(0).cast("long").alias("char_start"), F.lit(6).cast("long").alias("char_end"),
+    )
+    vectors = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    hits = spark.createDataFrame([("q", "p", "kb", "f4", 1)], "query_id string, project_id string, kb_id string, source_file string, page long")
+    asked = spark.createDataFrame([("q", "text 4", [1.0, 0.0])], "query_id string, text string, vector array<double>")
+    out = spans.highlight_spans(hits, asked, chunks.join(vectors, "vec_id").drop("vec_id")).collect()
+    assert sorted((r.level, r.chunk_id) for r in out) == [("L0", "c4"), ("L1", "c4_1")]
+    parents = next(p for p in plans if "LeftSemi" in p and "l0_score" in p)
+    lines = parents.splitlines()
+    depth = lambda word: min(len(x) - len(x.lstrip(" :+-")) for x in lines if word in x)
+    assert depth("LeftSemi") > min(len(x) - len(x.lstrip(" :+-")) for x in lines if "Join Inner" in x and "vec_id" in x)
