@@ -103,11 +103,6 @@ def _load_arrow(batch: pa.RecordBatch) -> Docs:
     return Docs(column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
-def _load_pandas(frame: pd.DataFrame) -> Docs:
-    lists = [list(t) for t in frame["tokens"]]
-    return Docs(pa.array([t for ts in lists for t in ts], pa.string()), np.array([len(t) for t in lists], dtype=np.int64))
-
-
 def _take(docs: Docs, part: np.ndarray) -> Docs:
     if len(part) == len(docs.lengths):
         return docs
@@ -320,4 +315,4 @@ def _search_blocks(q: DataFrame, rows: DataFrame, stats: DataFrame, phrase: bool
             weight_lists.append(list(sums.values()))
         return Pack(term_lists, weight_lists, k1b)
 
-    return topk.block_topk(rows.withColumn("_size", F.size("tokens")), ready.withColumn("_size", F.size("terms")), pack, _load_pandas, _take, _phrase_scores if phrase else _scores, id_type)
+    return topk.block_topk(rows.withColumn("_size", F.size("tokens")), ready.withColumn("_size", F.size("terms")), pack, _load_arrow, _take, _phrase_scores if phrase else _scores, id_type)

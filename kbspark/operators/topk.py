@@ -157,9 +157,13 @@ def scan_topk(
     return rows.mapInArrow(_typed(run, id_type), schema)
 
 
-def _typed(run, id_type: str):
+def _result_schema(id_type: str) -> pa.Schema:
     id_arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[id_type]
-    schema = pa.schema([("query_id", pa.string()), ("doc_id", id_arrow), ("value", pa.float64()), ("k", pa.int32())])
+    return pa.schema([("query_id", pa.string()), ("doc_id", id_arrow), ("value", pa.float64()), ("k", pa.int32())])
+
+
+def _typed(run, id_type: str):
+    schema = _result_schema(id_type)
 
     def typed(batches):
         for batch in run(batches):
@@ -201,26 +205,34 @@ def block_topk(
     rows: DataFrame,
     queries: DataFrame,
     pack: Callable[[pd.DataFrame], object],
-    load: Callable[[pd.DataFrame], object],
+    load: Callable[[pa.RecordBatch], object],
     take: Callable[[object, np.ndarray], object],
     kernel: Kernel,
     id_type: str,
 ) -> DataFrame:
-    """Many queries: co-group the block pairs and keep each pair's top k. Both sides carry ``_size``, their number of values."""
+    """Many queries: co-group the block pairs and keep each pair's top k. Both sides carry ``_size``, their number of values.
+
+    A block of rows stays Arrow columns: its tokens or elements never become Python objects.
+    """
     spread_rows, spread_queries = with_blocks(rows, queries, "doc_id", "query_id")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        top = LocalTopK(right["k"].to_numpy() if len(right) else np.empty(0, dtype=int))
-        if len(left) and len(right):
-            ids, packed, loaded = plain_ids(left["doc_id"].to_numpy()), pack(right), load(left)
-            step = max(1, MAX_CELLS // len(right))
-            for lo in range(0, len(left), step):
-                part = np.arange(lo, min(lo + step, len(left)))
+    schema = _result_schema(id_type)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = right.to_pandas()
+        top = LocalTopK(asked["k"].to_numpy() if len(asked) else np.empty(0, dtype=int))
+        if left.num_rows and len(asked):
+            batch = left.combine_chunks().to_batches()[0]
+            ids, packed, loaded = plain_ids(batch.column("doc_id").to_numpy(zero_copy_only=False)), pack(asked), load(batch)
+            step = max(1, MAX_CELLS // len(asked))
+            for lo in range(0, batch.num_rows, step):
+                part = np.arange(lo, min(lo + step, batch.num_rows))
                 top.add(kernel(packed, take(loaded, part)), ids[part])
-        return top.frame(right["query_id"].to_numpy().astype(object)) if len(right) else top.frame(np.empty(0, dtype=object))
+        out = top.frame(asked["query_id"].to_numpy().astype(object))
+        return pa.Table.from_arrays([pa.array(out[f.name], from_pandas=True).cast(f.type) for f in schema], schema=schema)
 
     keys = ["_key", "_rb", "_qb"]
-    return spread_rows.groupBy(*keys).cogroup(spread_queries.groupBy(*keys)).applyInPandas(run, RESULT.format(id_type=id_type))
+    return spread_rows.groupBy(*keys).cogroup(spread_queries.groupBy(*keys)).applyInArrow(run, RESULT.format(id_type=id_type))
 
 
 def id_type_of(df: DataFrame, column: str = "doc_id") -> str:

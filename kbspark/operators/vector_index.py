@@ -151,10 +151,6 @@ def _load(batch: pa.RecordBatch) -> _Rows:
     return _Rows(np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1), _matrix(batch))
 
 
-def _load_frame(frame: pd.DataFrame) -> _Rows:
-    return _Rows(np.frombuffer(b"".join(frame["code"]), dtype=np.uint8).reshape(len(frame), -1), _stack(frame["vector"]))
-
-
 def _take(rows: _Rows, part: np.ndarray) -> _Rows:
     return _Rows(rows.codes[part], rows.vectors[part])
 
@@ -213,6 +209,6 @@ def search(
         sized = F.size("vector").alias("_size")
         local = topk.block_topk(
             rows.drop("cell").select("*", sized), q.drop("cell").select("*", sized), lambda f: pack(_stack(f["vector"]), f["k"].to_numpy()),
-            _load_frame, _take, _scores, id_type,
+            _load, _take, _scores, id_type,
         )
     return topk.merge_topk(local).select("query_id", "doc_id", F.col("value").alias("cosine"), knn_score(F.col("value")).alias("score"), "rank")

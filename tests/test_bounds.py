@@ -122,3 +122,19 @@ def test_highlight_chooses_chunks_before_their_vectors(spark, monkeypatch):
     lines = parents.splitlines()
     depth = lambda word: min(len(x) - len(x.lstrip(" :+-")) for x in lines if word in x)
     assert depth("LeftSemi") > min(len(x) - len(x.lstrip(" :+-")) for x in lines if "Join Inner" in x and "vec_id" in x)
+
+
+def test_blocks_stay_arrow(spark):
+    """The loader of a block gets an Arrow batch, whose tokens are no Python objects; the result is that of the shipped form."""
+    from kbspark.operators import bm25, topk
+
+    rows = spark.range(50).select(F.lit("").alias("_key"), F.col("id").alias("doc_id"), F.array(F.lit("a"), F.col("id").cast("string")).alias("tokens"), F.lit(2).alias("_size"))
+    asked = spark.createDataFrame([("q", "", 3, 1)], "query_id string, _key string, k int, _size int")
+    kernel = lambda n, batch: batch
+    load = lambda batch: batch.column("tokens").flatten().to_numpy(zero_copy_only=False)[1::2].astype(float).reshape(1, -1)
+    out = topk.block_topk(rows, asked, len, load, lambda m, i: m[:, i], kernel, "bigint").collect()
+    assert sorted((r.doc_id, r.value) for r in out) == [(47, 47.0), (48, 48.0), (49, 49.0)]
+    docs = spark.createDataFrame([(i, f"x y{i % 3} z" if i % 4 else None, str(i % 2)) for i in range(40)], "doc_id long, text string, p string")
+    q = spark.createDataFrame([("a", "y1 x", "0"), ("b", "z y2", "1"), ("c", "none", "1")], "query_id string, text string, p string")
+    shown = lambda n: sorted(tuple(r) for r in bm25.search(q, docs, ("p",), max_queries=n).collect())
+    assert shown(0) == shown(10) and len(shown(0)) == 10
