@@ -26,6 +26,7 @@ MODEL = "piece_bpe_32k.model"
 _CACHE = 300_000  # encoded units that a worker keeps
 _UNIT = 48  # longer units are not kept
 _DOCS = 1024
+_SIEVE = 1 << 22
 _ONE = " "
 
 
@@ -59,7 +60,8 @@ class Model:
         self.bits = (len(letters) + 1).bit_length()
         self.wide = 62 // self.bits  # characters in one sort key
         self.other = re.compile("([^" + "".join(map(re.escape, letters)) + "])")
-        self.points = np.array([ord(c) for c in letters])
+        self.of_point = np.zeros(ord(letters[-1]) + 1, dtype=np.int64)
+        self.of_point[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         rows = np.zeros((len(self.texts), self.longest), dtype=np.int64)
         for k, t in enumerate(self.texts):
             rows[k, : len(t)] = [self.letter[c] for c in t]
@@ -85,12 +87,17 @@ class Model:
                 self.left[k], self.right[k] = found
         order = np.argsort(keys)
         self.pair_keys, self.pair_made = np.array(keys, dtype=np.int64)[order], np.array(values, dtype=np.int64)[order]
+        self.maybe = np.zeros(_SIEVE, dtype=bool)  # most pairs join to nothing, which a bit of their key tells
+        self.maybe[self.pair_keys & (_SIEVE - 1)] = True
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two pieces join to; a number above all pieces if none."""
-        key = a * len(self.texts) + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_made[at], 1 << 40)
+        key, out = a * len(self.texts) + b, np.full(len(a), 1 << 40)
+        some = np.flatnonzero(self.maybe[key & (_SIEVE - 1)])
+        at = np.minimum(np.searchsorted(self.pair_keys, key[some]), len(self.pair_keys) - 1)
+        found = self.pair_keys[at] == key[some]
+        out[some[found]] = self.pair_made[at[found]]
+        return out
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the merges leave piece b after piece a as they are.
@@ -166,25 +173,42 @@ def _run(own: tuple[tuple[int, int], ...], n: int) -> tuple[int, ...]:
     return tuple(runs[p] for p in parts if p)
 
 
+def _ordered(values: np.ndarray, most: int) -> np.ndarray:
+    """The order of small numbers up to ``most``: each is sorted together with its place where both fit one number, which is several times faster."""
+    bits = max(len(values) - 1, 1).bit_length()
+    if most.bit_length() + bits > 62:
+        return np.argsort(values)
+    return np.sort((values << bits) | np.arange(len(values))) & ((1 << bits) - 1)
+
+
 def suffix_array(letters: np.ndarray, bits: int, wide: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of the ``depth`` letters that begin there, and the packed first ``wide`` letters of each position."""
+    """Positions in the order of the letters up to the unit's end (at most ``depth``), and the packed first ``wide`` letters of each position.
+
+    Only positions that are equal so far and have not met the end of their unit are sorted further, by the next ``wide`` letters.
+    """
     n = len(letters)
     padded = np.concatenate([letters, np.zeros(depth + wide, dtype=np.int64)])
     key = np.zeros(n + depth, dtype=np.int64)
     for k in range(wide):
         key = (key << bits) | padded[k : k + len(key)]
-    rank, covered = key, wide
-    while True:
-        order = np.argsort(rank[:n], kind="stable")
-        if covered >= depth:
-            return order, key
-        ranked = rank[order]
-        dense = np.zeros(n + depth, dtype=np.int64)
-        dense[order] = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])
-        step = min(covered, depth - covered)
-        shifted = np.zeros(n + depth, dtype=np.int64)
-        shifted[: n + depth - step] = dense[step:]
-        rank, covered = dense * (n + 2) + shifted, covered + step
+    ends = np.append(np.flatnonzero(letters == 0), n)
+    left = np.repeat(ends, np.diff(ends, prepend=-1))[:n] - np.arange(n)  # letters up to the end of the unit
+    order = np.argsort(key[:n])
+    ranked = key[order]
+    first = np.append(True, ranked[1:] != ranked[:-1])  # of the positions that are equal so far
+    rank = np.zeros(n + depth, dtype=np.int64)
+    rank[order] = np.cumsum(first)
+    for start in range(wide, depth, wide):
+        place = np.flatnonzero((left[order] >= start) & ~(first & np.append(first[1:], True)))
+        if not len(place):
+            break
+        at, group = order[place], np.cumsum(first[place])
+        most = int(group[-1]) * (n + 2) + n
+        value = group * (n + 2) + rank[at + start]
+        by = _ordered(value, most)
+        order[place], value = at[by], value[by]
+        first[place[1:]] |= value[1:] != value[:-1]
+    return order, key
 
 
 def occurrences(own: Model, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,10 +251,9 @@ def _bound(order: np.ndarray, key: np.ndarray, start: int, low: np.ndarray, high
 def encode_units(own: Model, units: list[str]) -> list[bytes]:
     """Ids of each unit as little-endian unsigned 32-bit numbers; units hold letters of the vocabulary only and none is empty."""
     lengths = np.array([len(u) for u in units], dtype=np.int64)
-    points = np.frombuffer("\0".join(units).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    points = np.frombuffer("\0".join(units).encode("utf-32-le"), dtype="<u4")
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    letters = np.searchsorted(own.points, points) + 1
-    letters[(starts + lengths)[:-1]] = 0
+    letters = own.of_point[points]
     position, piece = occurrences(own, letters)
     offset = np.arange(len(letters)) - np.repeat(starts, np.append(lengths[:-1] + 1, lengths[-1]))
     ends = offset[position] + own.lengths[piece]  # of an edge, in its unit
@@ -266,7 +289,6 @@ class Encoder:
     def __init__(self, own: Model):
         self.own = own
         self.known: dict[str, bytes] = {}
-        self.simple: dict[str, bytes] = {}
         self._runs = tuple(sorted({1: int(own.ids[own.number[SPACE]]), **own.runs}.items()))
         self._space = self.known_bytes([self._runs[0][1]])
 
@@ -274,78 +296,71 @@ class Encoder:
     def known_bytes(ids) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def units(self, text: str) -> list[str]:
-        """Parts of a text, with its dummy space, that no piece crosses: spaced words, runs of further spaces, characters without a piece."""
+    def units(self, text: str) -> tuple[list[str], bool]:
+        """Parts of a text, with its dummy space, that no piece crosses: words, each with the space before it, and runs of further spaces.
+
+        The space before a word is not written here. The second value tells whether there are runs.
+        """
         words = text.replace(SPACE, _ONE).split(_ONE)
         if "" not in words:
-            return [SPACE + w for w in words]
-        out = []
-        spaces = 0
-        for i, word in enumerate(f"{_ONE}{text}".replace(SPACE, _ONE).split(_ONE)):
+            return words, False
+        out, spaces = [], 1
+        for i, word in enumerate(words):
             spaces += i > 0
-            if not word:
-                continue
-            out += [_ONE * (spaces - 1)] * (spaces > 1)
-            out += [SPACE + word] * (spaces > 0)
-            spaces = 0
+            if word:
+                out += [_ONE * (spaces - 1), word] if spaces > 1 else [word]
+                spaces = 0
         if spaces:
             out.append(_ONE * spaces)
-        return out
+        return out, True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         known = self.known
-        if len(known) > _CACHE:
+        split = [self.units(t) if t else ([], False) for t in texts]
+        met = set().union(*[units for units, _ in split])
+        new = met.difference(known)
+        if len(known) > _CACHE:  # what this batch has stays
+            kept = {u: known[u] for u in met - new}
             known.clear()
-        get_units = self.units
-        split = [get_units(t) if t else [] for t in texts]
-        new = {u for units in split for u in units}.difference(known)
-        whole, parts = [], {}
+            known.update(kept)
+        whole, parts, local = [], {}, {}
+        search = self.own.other.search
         for u in new:
             if u[0] == _ONE:
-                continue
-            if self.own.other.search(u) is None:
+                local[u] = self.known_bytes(_run(self._runs, len(u)))
+            elif search(u) is None:
                 whole.append(u)
             else:
-                parts[u] = [x for x in self.own.other.split(u) if x]
-        todo = {x for own in parts.values() for x in own if x[0] in self.own.letter and x not in known}
-        todo.update(whole)
-        todo = list(todo - {SPACE})
-        local = dict(zip(todo, encode_units(self.own, todo), strict=True)) if todo else {}
-        local[SPACE] = self._space
+                parts[u] = [x for x in self.own.other.split(SPACE + u) if x]
+        more = list({x for own in parts.values() for x in own if x[0] in self.own.letter and x != SPACE})
+        coded = encode_units(self.own, [SPACE + u for u in whole] + more) if whole or more else []
+        local.update(zip(whole, coded))
+        of_part = dict(zip(more, coded[len(whole):], strict=True))
+        of_part[SPACE] = self._space
         bytes_of = self.own.bytes
-        for u in new:
-            if u[0] == _ONE:
-                local[u] = self.known_bytes(_run(self._runs, len(u)))
         for u, own in parts.items():
-            local[u] = b"".join(local[x] if x in local else known[x] if x in known else self.known_bytes([bytes_of[b] for b in x.encode()]) for x in own)
-        if new:
-            known.update({u: b for u, b in local.items() if len(u) <= _UNIT})
+            local[u] = b"".join(of_part[x] if x in of_part else self.known_bytes([bytes_of[b] for b in x.encode()]) for x in own)
+        known.update(local if max(map(len, local), default=0) <= _UNIT else {u: b for u, b in local.items() if len(u) <= _UNIT})
         out = []
-        for units in split:
-            if any(u[0] == _ONE for u in units):
+        for units, runs in split:
+            if runs:
                 out.append(self._with_runs(units, local))
             else:
                 try:
-                    out.append(b"".join([known[u] for u in units]))
+                    out.append(b"".join(map(known.__getitem__, units)))
                 except KeyError:  # a long unit
                     out.append(b"".join([known[u] if u in known else local[u] for u in units]))
         return out
 
     def _with_runs(self, units: list[str], local: dict[str, bytes]) -> bytes:
         """A further run of spaces joins the space of the next word if that stayed a piece of its own."""
-        get = lambda u: self.known[u] if u in self.known else local[u]
-        out = []
-        i = 0
-        while i < len(units):
-            u = units[i]
-            if u[0] == _ONE and i + 1 < len(units) and (word := get(units[i + 1])).startswith(self._space):
-                out += [self.known_bytes(_run(self._runs, len(u) + 1)), word[4:]]
-                i += 2
-            else:
-                out.append(get(u))
-                i += 1
-        return b"".join(out)
+        known = self.known
+        found = [known[u] if u in known else local[u] for u in units]
+        for i, u in enumerate(units[:-1]):
+            if u[0] == _ONE and (word := found[i + 1]).startswith(self._space):
+                found[i], found[i + 1] = self.known_bytes(_run(self._runs, len(u) + 1)), word[4:]
+        return b"".join(found)
 
 
 def decode(own: Model, ids: bytes) -> bytes:
