@@ -32,43 +32,73 @@ RESULT = "query_id string, doc_id {id_type}, value double, k int"
 
 
 class LocalTopK:
-    """Running best ``k`` values per query with ties broken by the smaller id."""
+    """Running best ``k`` values per query with ties broken by the smaller id, for all queries of a pack at once.
 
-    def __init__(self, k: np.ndarray):
-        self.k = k
+    With ``digits`` the values come unrounded and are ranked as rounded; only those that may be among the best are rounded.
+    """
+
+    def __init__(self, k: np.ndarray, digits: int | None = None):
+        self.k, self.digits = np.asarray(k), digits
+        self.slack = 0.0 if digits is None else 10.0**-digits
         self.floor = np.full(len(k), -np.inf)
-        self.values: list[np.ndarray] = [np.empty(0)] * len(k)
-        self.ids: list[np.ndarray | None] = [None] * len(k)
+        self._values = np.full((len(k), int(self.k.max(initial=0))), -np.inf)  # -inf: nothing yet
+        self._ids: np.ndarray | None = None
+
+    @property
+    def values(self) -> list[np.ndarray]:
+        """The best values of each query so far."""
+        return [own[own > -np.inf] for own in self._values]
+
+    @property
+    def ids(self) -> list[np.ndarray | None]:
+        """Their ids; None where there are none."""
+        return [self._ids[q, : len(v)] if len(v) else None for q, v in enumerate(self.values)]
 
     def add(self, values: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
         """``values`` is queries x rows, for all queries or those numbered in ``queries``; ``-inf`` marks rows that do not match."""
         if values.shape[1] == 0:
             return
         best, floor = values.max(axis=1), self.floor if queries is None else self.floor[queries]
-        for line in np.flatnonzero((best >= floor) & (best > -np.inf)):
-            q = line if queries is None else queries[line]
-            row, k = values[line], int(self.k[q])
-            limit = max(self.floor[q], np.partition(row, -k)[-k]) if row.size > k else self.floor[q]
-            keep = np.flatnonzero((row >= limit) & (row > -np.inf))
-            merged = np.concatenate([self.values[q], row[keep]])
-            new_ids = ids[keep] if self.ids[q] is None else np.concatenate([self.ids[q], ids[keep]])
-            order = np.lexsort((new_ids, -merged))[:k]
-            self.values[q], self.ids[q] = merged[order], new_ids[order]
-            if len(order) == k:
-                self.floor[q] = merged[order[-1]]
+        lines = np.flatnonzero((best >= floor - self.slack) & (best > -np.inf))
+        if not len(lines):
+            return
+        q = lines if queries is None else queries[lines]
+        part = values if len(lines) == len(values) else values[lines]
+        limit = np.maximum(np.maximum(floor[lines], _lower_bounds(part, self.k[q])) - self.slack, np.finfo(np.float64).min)
+        line, row = np.divmod(np.flatnonzero(part >= limit[:, None]), part.shape[1])
+        found = part[line, row] if self.digits is None else np.round(part[line, row], self.digits)
+        if self._ids is None:
+            self._ids = np.zeros(self._values.shape, dtype=ids.dtype)
+        elif self._ids.dtype != ids.dtype:
+            self._ids = self._ids.astype(np.result_type(self._ids, ids))
+        held, place = np.nonzero(self._values[q] > -np.inf)
+        line = np.concatenate([held, line])
+        all_values, all_ids = np.concatenate([self._values[q[held], place], found]), np.concatenate([self._ids[q[held], place], ids[row]])
+        order = np.lexsort((all_ids, -all_values, line))
+        line = line[order]
+        rank = np.arange(len(line)) - np.searchsorted(line, line)
+        kept = rank < self.k[q[line]]
+        at, rank, order = q[line[kept]], rank[kept], order[kept]
+        self._values[at, rank], self._ids[at, rank] = all_values[order], all_ids[order]
+        full = rank == self.k[at] - 1
+        self.floor[at[full]] = all_values[order[full]]
 
     def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
-        found = [q for q in range(len(self.k)) if self.ids[q] is not None]
-        if not found:
+        if self._ids is None:
             return pd.DataFrame(columns=["query_id", "doc_id", "value", "k"])
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(query_ids[found], [len(self.values[q]) for q in found]),
-                "doc_id": np.concatenate([self.ids[q] for q in found]),
-                "value": np.concatenate([self.values[q] for q in found]),
-                "k": np.repeat(self.k[found], [len(self.values[q]) for q in found]).astype("int32"),
-            }
-        )
+        q, rank = np.nonzero(self._values > -np.inf)
+        return pd.DataFrame({"query_id": query_ids[q], "doc_id": self._ids[q, rank], "value": self._values[q, rank], "k": self.k[q].astype("int32")})
+
+
+def _lower_bounds(values: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each line a value that at least ``k`` of its values reach (-inf if there are fewer): the k-th largest of the maxima of groups of columns."""
+    n, most = values.shape[1], int(k.max())
+    if n <= most:
+        return np.where(k <= n, values.min(axis=1), -np.inf)
+    groups = min(n, max(64, 4 * most))
+    wide = n // groups
+    tops = np.sort(values[:, : wide * groups].reshape(len(values), wide, groups).max(axis=1), axis=1)
+    return tops[np.arange(len(k)), groups - np.maximum(k, 1)]
 
 
 def plain_ids(ids) -> np.ndarray:
@@ -125,13 +155,14 @@ def scan_topk(
     take: Callable[[object, np.ndarray], object],
     kernel: Kernel,
     id_type: str,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Few queries: ``packs`` maps a key to (query ids, k, kernel input) and travels as a broadcast."""
+    """Few queries: ``packs`` maps a key to (query ids, k, kernel input) and travels as a broadcast. ``digits``: see :class:`LocalTopK`."""
     shipped = rows.sparkSession.sparkContext.broadcast(packs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shipped.value
-        best = {key: LocalTopK(k) for key, (_, k, _) in queries.items()}
+        best = {key: LocalTopK(k, digits) for key, (_, k, _) in queries.items()}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -172,7 +203,7 @@ def _typed(run, id_type: str):
     return typed
 
 
-def with_blocks(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str) -> tuple[DataFrame, DataFrame]:
+def with_blocks(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, most_queries: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Assign both sides to block pairs (``_key``, ``_rb``, ``_qb``) of bounded size.
 
     Block numbers come from the rows and values (``_size``) per key, so a hot key is spread over as many tasks as its size
@@ -183,7 +214,7 @@ def with_blocks(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str)
         return F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("_size") / BLOCK_VALUES)).cast("int")
 
     row_blocks = rows.groupBy("_key").agg(blocks_of(BLOCK_ROWS).alias("_nr"))
-    query_blocks = queries.groupBy("_key").agg(blocks_of(BLOCK_QUERIES).alias("_nq"))
+    query_blocks = queries.groupBy("_key").agg(blocks_of(most_queries or BLOCK_QUERIES).alias("_nq"))
     blocks = stored(row_blocks.join(query_blocks, "_key"), scratch_path(rows.sparkSession, "blocks"))
     rows, queries = rows.drop("_size"), queries.drop("_size")
     spread_rows = rows.join(blocks, "_key").withColumns(
@@ -209,18 +240,21 @@ def block_topk(
     take: Callable[[object, np.ndarray], object],
     kernel: Kernel,
     id_type: str,
+    digits: int | None = None,
+    most_queries: int | None = None,
 ) -> DataFrame:
     """Many queries: co-group the block pairs and keep each pair's top k. Both sides carry ``_size``, their number of values.
 
-    A block of rows stays Arrow columns: its tokens or elements never become Python objects.
+    A block of rows stays Arrow columns: its tokens or elements never become Python objects. ``most_queries`` in a
+    block decide how often the rows are copied.
     """
-    spread_rows, spread_queries = with_blocks(rows, queries, "doc_id", "query_id")
+    spread_rows, spread_queries = with_blocks(rows, queries, "doc_id", "query_id", most_queries)
 
     schema = _result_schema(id_type)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = right.to_pandas()
-        top = LocalTopK(asked["k"].to_numpy() if len(asked) else np.empty(0, dtype=int))
+        top = LocalTopK(asked["k"].to_numpy() if len(asked) else np.empty(0, dtype=int), digits)
         if left.num_rows and len(asked):
             batch = left.combine_chunks().to_batches()[0]
             ids, packed, loaded = plain_ids(batch.column("doc_id").to_numpy(zero_copy_only=False)), pack(asked), load(batch)
