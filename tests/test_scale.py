@@ -1,8 +1,37 @@
 """Work that must not grow faster than its input."""
 
+import datetime as dt
+
 import numpy as np
 
 from kbspark.operators import knn, topk
+from kbspark.streaming import answers, jobs
+
+
+def test_answers_share_the_keys_of_the_state(spark, tmp_path, monkeypatch):
+    """Three answers in one bucket: one ends in the first batch, one in the second, one is abandoned; a later one finds the state gone."""
+    begin = dt.datetime(2024, 1, 1)
+    schema = "response_id string, session_id string, chunk_index long, is_last_chunk boolean, text string, matched array<struct<kb_id: string, page: bigint>>, sent_at timestamp"
+    first, last = [("kb", 2), (None, None)], begin + dt.timedelta(days=9)
+    batches = [
+        [("a", "s", 1, True, 'é"\n', first, begin), ("a", None, 0, None, None, None, begin), ("b", "s", 0, False, "x", None, begin), (None, "t", 0, False, "n", None, begin)],
+        [("b", "s", 1, True, "y", None, begin + dt.timedelta(minutes=1)), ("a", "s", 0, False, "", None, begin), (None, "t", 1, True, "m", [], begin), ("c", "s", 1, True, "c", [], begin)],
+        [("z", None, 0, True, "", [], last)],
+        [("z", None, 0, True, "", [], last)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/batch={i}")
+    stream = jobs.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_trigger=1).drop("batch")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        progress = jobs.drain(answers.assemble_stream(stream, timeout_minutes=30, late_minutes=5, buckets=1), f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = [(r.response_id, r.session_id, r.text_full, [tuple(m) for m in r.matched]) for r in spark.read.parquet(f"{tmp_path}/out/data").collect()]
+    want = [("a", "s", 'é"\n', first), ("b", "s", "xy", []), (None, "t", "nm", []), ("z", None, "", [])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) == 1
 
 
 def test_only_values_that_may_win_are_rounded(monkeypatch):
