@@ -135,3 +135,38 @@ def test_wide_groups_and_blocks_of_links(monkeypatch):
         monkeypatch.setattr(alignment, "_LINKS", block)
         doc, pair, times = alignment.linked(cut, 10)
         assert {(int(d), int(p)): int(t) for d, p, t in zip(doc, pair, times, strict=True)} == want
+
+
+def test_new_units_are_encoded_together(monkeypatch):
+    """A is asked once for many new words, and units that are cut off, forgotten or too long to be kept have the same ids."""
+    own = alignment.Tokenizers(alignment.A, alignment.B)
+    asked, encode = [], own.words.encode
+    monkeypatch.setattr(own.words, "encode", lambda text: asked.append(text) or encode(text))
+    words = [f"w{k}x{k * k}" for k in range(3000)]
+    own.encode([" ".join(words[:2000]), " ".join(words[1000:])])
+    assert len(asked) == 1
+    own.encode([" ".join(words)])
+    assert len(asked) == 1 and len(own.known) == 3000
+    texts = ["b" * 60 + " a", "\na b\x85", "a\x1c \x1cb c", " x  y ", "a▁b c d", "", "b" * 60, "ﬁ a"]
+    for units in (300_000, 4, 0):
+        monkeypatch.setattr(alignment, "_UNITS", units)
+        for some in (texts, texts[3:], texts[:1]):
+            has, ids, many = own.encode(some)
+            want = [tokens(t) for t in some]
+            assert has.tolist() == [i for i, t in enumerate(want) if t]
+            for side in range(2):
+                assert ids[side].tolist() == [i for t in want if t for i, _ in t[side]]
+                assert many[side].tolist() == [len(t[side]) for t in want if t]
+            assert not any(len(u) > 48 for u in own.known)
+
+
+def test_digests_across_blocks_of_groups(monkeypatch):
+    own, texts = alignment.tokenizers(alignment.A, alignment.B), ["don't we'll", "one", "naïve 日本 unbelievable", "x y z"]
+    has, (a, b), (n_a, n_b) = own.encode(texts)
+    a_ends = own.a_bytes[a].cumsum()
+    cut = alignment.grouped(a, b, a_ends, own.b_bytes[b].cumsum(), a_ends[n_a.cumsum() - 1])
+    edges = np.searchsorted(cut.doc, np.arange(len(has) + 1)).tolist()
+    want = [e[-1] for e in expected(texts)]
+    for block in (1, 2, 5, 1 << 16):
+        monkeypatch.setattr(alignment, "_GROUPS", block)
+        assert alignment.digests(cut, edges, own) == want
