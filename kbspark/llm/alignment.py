@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import batches, materialise
-from .packing import _GAP, _RUN, encoder
+from .packing import encoder
 
 A, B = "byte_bpe_50k", "piece_bpe_32k.model"
 SPACE = "▁"
@@ -38,6 +39,9 @@ _UNITS = 500_000  # encoded units that a worker keeps
 _LONG = 48  # characters of a unit that is kept, at most
 _JOINED = 20_000  # units that A encodes at once
 _GROUPS = 1 << 16  # groups written at once
+# A single space between two others is a boundary of the vocabulary's pattern, so what stands between such spaces can be encoded by itself.
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+_RUN = re.compile(r" \s|\s ")
 
 
 def _from(longer: np.ndarray, start: np.ndarray, sought: np.ndarray) -> np.ndarray:

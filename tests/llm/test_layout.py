@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -105,6 +106,19 @@ def test_encoding_is_that_of_the_tokenizer():
         assert ids == TOKENIZER.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_texts_are_encoded_whole(monkeypatch):
+    """The vocabulary is asked once for a text, however many words it has; at an added token once for each part."""
+    asked, real = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(packing, "_loaded", {})
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda own, text: asked.append(text) or real(own, text))
+    words = packing.encoder(packing.VOCABULARY)
+    text = " ".join(f"word{i}x" for i in range(1000))
+    for t, parts in [(text, 1), (f"{text}<|endoftext|>{text}", 2)]:
+        asked.clear()
+        ids = np.frombuffer(packing.encode(t, words), dtype="<u4").tolist()
+        assert ids == TOKENIZER.encode(t, add_special_tokens=False).ids and len(asked) == parts
+
+
 def packed_right(rows, texts):
     """The contract of a packing; returns the share of the sequences that is filled."""
     documents, sequences = defaultdict(list), defaultdict(list)
