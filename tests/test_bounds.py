@@ -1,5 +1,6 @@
 """What bounds the memory, the reads and the work of a task."""
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -18,6 +19,20 @@ def test_python_workers_get_bounded_batches(spark):
     assert most <= 4 << 20
 
 
+def test_functions_get_bounded_batches(spark):
+    """The same for functions of a column, as those that cut, parse and pack texts."""
+    rows = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("word "), 400).alias("text"))
+
+    def arrow(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    def pandas(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    for function in (F.arrow_udf(arrow, "long"), F.pandas_udf(pandas, "long")):
+        assert rows.agg(F.max(function("text"))).first()[0] <= 4 << 20
+
+
 def test_pieces_of_many_texts(spark):
     """More texts than are cut at a time, with nulls and texts that give no piece."""
     text = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 1, F.lit(" \n")).otherwise(F.concat(F.lit("a\nb"), F.col("doc_id").cast("string")))
